@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .packing import op9_packing
 from .simhash import op6_simhash
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash": op6_simhash,
+    "op9_packing": op9_packing,
 }
 ORACLES = {
     "op4_exact_dedup": OP4_SQL,
