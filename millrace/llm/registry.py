@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .mixing import op1_mixing
 from .packing import op9_packing
 from .simhash import op6_simhash
 from .webp import op3_webp
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op3_webp": op3_webp,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash": op6_simhash,
