@@ -6,6 +6,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import op1_mixing
 from .packing import op9_packing
 from .simhash import op6_simhash
+from .warc import op8_warc
 from .webp import op3_webp
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_webp": op3_webp,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash": op6_simhash,
+    "op8_warc": op8_warc,
     "op9_packing": op9_packing,
 }
 ORACLES = {
