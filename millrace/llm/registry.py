@@ -6,6 +6,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import op1_mixing
 from .packing import op9_packing
 from .simhash import op6_simhash
+from .toxicity import op5_toxicity
 from .url_filter import OP7_SQL, op7_url_filter
 from .warc import op8_warc
 from .webp import op3_webp
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_webp": op3_webp,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_url_filter": op7_url_filter,
     "op8_warc": op8_warc,
