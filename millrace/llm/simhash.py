@@ -76,16 +76,24 @@ def _ball(fp: str, half: int) -> str:
     return f"transform(sequence(-1, 63), k -> CASE WHEN k < 0 THEN {fp} ELSE {fp} ^ shiftleft(1L, k) END)"
 
 
-def ball_links(nodes: DataFrame, radius: int) -> DataFrame:
+#: Fingerprints a task takes when it emits their variants.
+NODES_A_TASK = 1 << 14
+
+
+def ball_links(scratch: Scratch, nodes: DataFrame, radius: int) -> DataFrame:
     """Links (a, b), a < b, that connect all fingerprints of `nodes` (fp, distinct) within `radius` bits.
 
     Fingerprints that share a variant lie within radius of each other, so linking the least of them to
     each other one keeps every class whole; links between two members of a ball that both have a link
-    to its least one aren't listed. Radius 0 to 2 (a larger half radius multiplies the variants by 32)."""
-    if not 0 <= radius <= 2:
-        raise ValueError("radius 0 to 2")
-    half = (radius + 1) // 2
-    found = nodes.select("fp", F.explode(F.expr(_ball("fp", half))).alias("v")).groupBy("v").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
+    to its least one aren't listed. That asks for an even radius; above 2 a fingerprint would have 2081 variants."""
+    if radius not in (0, 2):
+        raise ValueError("radius 0 or 2")
+    half = radius // 2
+    spread = nodes.select("fp").repartition(1 + nodes.count() // NODES_A_TASK, "fp")
+    variants = spread.select("fp", F.explode(F.expr(_ball("fp", half))).alias("v"))
+    # most variants are met once, so they move as they are rather than summed up first
+    balls = variants.repartition("v").groupBy("v").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
+    found = scratch.save(balls, "balls")
     # a ball of two: its ends; of more: the members are among the ball's centre and its neighbours
     pairs = found.filter("n = 2").select("a", "b")
     more = found.filter("n > 2").select("a", F.explode(F.expr(_ball("v", half))).alias("b")).join(nodes.select(F.col("fp").alias("b")), "b", "left_semi").filter("a < b").select("a", "b")
@@ -122,7 +130,7 @@ def near_components(spark: SparkSession, docs: DataFrame, n: int = 5, radius: in
     scratch = Scratch(spark, "simhash")
     prints = scratch.save(fingerprints(docs, n, id_col, text_col), "prints")
     nodes = scratch.save(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    stars = components(scratch, ball_links(nodes.select("fp"), radius))
+    stars = components(scratch, ball_links(scratch, nodes, radius))
     rooted = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
