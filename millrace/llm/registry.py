@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .language_id import op2_language_id
 from .mixing import op1_mixing
 from .packing import op9_packing
 from .simhash import op6_simhash
@@ -13,6 +14,7 @@ from .webp import op3_webp
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_language_id": op2_language_id,
     "op3_webp": op3_webp,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
