@@ -7,6 +7,7 @@ from .language_id import op2_language_id
 from .mixing import op1_mixing
 from .packing import op9_packing
 from .simhash import op6_simhash
+from .suffix_dedup import op10_suffix_dedup
 from .toxicity import op5_toxicity
 from .url_filter import OP7_SQL, op7_url_filter
 from .warc import op8_warc
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {
     "op4_exact_dedup": OP4_SQL,
