@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,11 +28,15 @@ from ..session import Scratch, table
 
 SIZE = 2048
 CLOSING_ID = 0
-#: Words whose ids a worker remembers; beyond it starts anew.
-CACHE_WORDS = 400_000
-#: Characters for which Python's classes and case agree with any tokenizer's; others go to the tokenizer whole.
+#: Words whose ids a worker remembers; those met since then, and as many from before.
+CACHE_WORDS = 500_000
+#: Characters whose classes and case are the same to Python and to any tokenizer, and that NFC leaves
+#: alone; a text with others goes to the tokenizer whole.
 UNUSUAL = re.compile("[^\t\n\r -~¡-¬®-±´-¸º»¿-įı-ȶ]")
-WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+PLAIN = bytes([9, 10, 13, *range(32, 127)])
+#: Lower-case letters of those, then contractions, digits one by one, and runs of what is left.
+LETTERS = "a-zªµºß-öø-ʯ"
+WORD = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9{LETTERS}]+")
 
 
 class WordTokenizer:
@@ -51,6 +54,7 @@ class WordTokenizer:
         self.ends[[i for k, i in vocab.items() if k.endswith("</w>")]] = True
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -76,16 +80,20 @@ class WordTokenizer:
         """The ids as little-endian unsigned 32-bit words."""
         if not text:
             return b""
-        if UNUSUAL.search(text) or any(t in text for t in self.added):
+        unusual = text.encode().translate(None, PLAIN) if text.isascii() else UNUSUAL.search(text)
+        if unusual or any(t in text for t in self.added):
             return self.plain(text)
-        words = WORD.findall(unicodedata.normalize("NFC", text).lower())
+        words = WORD.findall(text.lower())
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+            self.cache, self.before = {}, self.cache
         get = self.cache.__getitem__
         try:
             return b"".join(map(get, words))
         except KeyError:
-            self.learn([w for w in dict.fromkeys(words) if w not in self.cache])
+            missing = [w for w in set(words) if w not in self.cache]
+            self.cache.update((w, self.before[w]) for w in missing if w in self.before)
+            if missing := [w for w in missing if w not in self.cache]:
+                self.learn(missing)
             return b"".join(map(get, words))
 
 
