@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language_id import op2_language_id
 from .mixing import op1_mixing
@@ -24,6 +26,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op4_exact_dedup": OP4_SQL,

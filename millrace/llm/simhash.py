@@ -13,12 +13,13 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch, table
@@ -137,6 +138,88 @@ def near_components(spark: SparkSession, docs: DataFrame, n: int = 5, radius: in
     return prints.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
+#: Fingerprints of its words that a text gets when near copies are sought by similarity.
+TABLES = 8
+
+
+def word_prints(docs: DataFrame, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and fps: `tables` independent SimHash fingerprints of each text's words, a word weighing the
+    root of its count. A near copy's words change little, so some of its fingerprints come close."""
+    steps = np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def prints(text: str | None) -> list[int]:
+        counts = Counter((text or "").encode().lower().split())
+        if not counts:
+            return [0] * tables
+        base = np.fromiter([xxhash.xxh64_intdigest(w, SEED) for w in counts], np.uint64)
+        weights = np.floor(np.sqrt(np.fromiter(counts.values(), np.float64)) * 256)
+        total, sums = weights.sum(), np.zeros(64 * tables)
+        for at in range(0, len(base), 4096):
+            mixed = base[at : at + 4096, None] + steps
+            mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            bits = np.unpackbits((mixed ^ mixed >> np.uint64(31)).view(np.uint8).reshape(len(mixed), -1), axis=1, bitorder="little")
+            sums += weights[at : at + 4096] @ bits.astype(np.float64)  # whole numbers: exact in any order
+        return np.packbits(2 * sums > total, bitorder="little").view(np.int64).tolist()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([prints(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "fps"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, "id long, fps array<long>")
+
+
+def similarity(one: str | None, two: str | None, n: int) -> float:
+    """Jaccard similarity of the texts' sets of n-word shingles, A-Z lower-cased; of two without words, 1."""
+    a, b = (_shingle_set(t, n) for t in (one, two))
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def _shingle_set(text: str | None, n: int) -> set[bytes]:
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def candidate_pairs(scratch: Scratch, docs: DataFrame, tables: int = TABLES, radius: int = 2) -> DataFrame:
+    """Pairs (a, b) of ids, a < b, that collide in some table. In a ball each fingerprint is paired with
+    the least one, and of one fingerprint each id with the least and with the one before it: as many
+    pairs as rows, however large a group is."""
+    prints = scratch.save(word_prints(docs.filter(F.col("doc_id").isNotNull()), tables), "prints")
+    found = None
+    for t in range(tables):
+        own = prints.select("id", F.element_at("fps", t + 1).alias("fp"))
+        nodes = scratch.save(own.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), f"nodes{t}")
+        links = ball_links(scratch, nodes, radius)
+        one, two = nodes.select(F.col("fp").alias("a"), F.col("rep").alias("x")), nodes.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
+        across = links.join(one, "a").join(two, "b").select("x", "y")
+        shared = own.join(nodes.filter("n > 1").select("fp", "rep"), "fp")
+        before = F.lag("id").over(Window.partitionBy("fp").orderBy("id"))
+        inside = shared.withColumn("before", before).select(F.explode(F.array("rep", "before")).alias("x"), F.col("id").alias("y"))
+        pairs = across.unionByName(inside).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        table_pairs = scratch.save(pairs, f"pairs{t}")
+        found = table_pairs if found is None else found.unionByName(table_pairs)
+    return scratch.save(found.distinct(), "pairs")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, n: int = 5, least: float = 0.8, tables: int = TABLES, radius: int = 2) -> DataFrame:
+    """The rows of `docs` without near copies: of documents linked by a similarity of at least `least`
+    over n-word shingles, the one of smallest doc_id stays; rows without doc_id stay. Pairs come from
+    ball hashing of the words' fingerprints, and each is verified on the whole texts."""
+    scratch = Scratch(spark, "near")
+    pairs = candidate_pairs(scratch, docs, tables, radius)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("two")), "b").select("a", "b", "one", "two")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [similarity(x, y, n) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    links = scratch.save(both.mapInArrow(verify, "a long, b long").distinct(), "verified")
+    copies = scratch.save(components(scratch, links).filter("node <> root").select(F.col("node").alias("copy_id")).distinct(), "copies")
+    return docs.join(copies, F.col("doc_id") == F.col("copy_id"), "left_anti")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(spark, table(spark, sf_dir, "documents"), n=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
