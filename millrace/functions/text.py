@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MASK = "DPNUM"
 
@@ -106,13 +107,13 @@ def file_name(c: Column) -> Column:
     return F.substring(F.regexp_replace(c, r"[^\p{L}\p{N}._-]", ""), 1, 128)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd_ascii(s: pd.Series) -> pd.Series:
     """Compatibility decomposition, then ASCII alone."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def tabs_expanded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.expandtabs())
 
@@ -156,6 +157,6 @@ def _stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [_stem(w) for w in ws])

@@ -1,6 +1,623 @@
-"""All registered queries of the analytics engine and their oracle SQL, by key."""
+"""All registered queries of the analytics engine and their oracle SQL, by key.
+
+Each query reads whole driver tables. `@query(sql)` registers a query with the DuckDB statement that gives
+the same rows; without SQL it is tested in tests/."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import measures, text, urls
+from ..operators import cluster, dom, features, scoring, series
+from ..operators import relational as rel
+from ..session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments: the lines of documents; site = source, visit = doc_id, in order of line."""
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+
+
+LINES = """lines AS (
+  SELECT doc_id, source, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)"""
+
+
+# ---------------------------------------------------------------- segments: dedup and joins
+
+
+@query(f"""WITH {LINES},
+kept AS (SELECT source, doc_id, line_no, regexp_replace(replace(replace(trim(line), chr(10), ' '), chr(13), ''), '[0-9]+', 'DPNUM', 'g') AS masked FROM lines WHERE trim(line) <> ''),
+first AS (SELECT *, row_number() OVER (PARTITION BY source, masked ORDER BY doc_id, line_no) AS nth FROM kept)
+SELECT source, count(*) AS n_segments, sum(length(masked))::BIGINT AS n_chars FROM first WHERE nth = 1 GROUP BY source""")
+def segment_dedup(spark, sf):
+    kept = lines(spark, sf).filter(F.trim("line") != "").withColumn("masked", text.mask_digits(text.one_line(F.trim("line"))))
+    first = kept.groupBy("source", "masked").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
+    return first.groupBy("source").agg(F.count("*").alias("n_segments"), F.sum(F.length("masked")).alias("n_chars"))
+
+
+@query(f"""WITH {LINES}, masked AS (SELECT source, doc_id, line_no, regexp_replace(line, '[0-9]+', 'DPNUM', 'g') AS masked FROM lines)
+SELECT source, masked, doc_id, line_no::INT AS line_no FROM (SELECT *, row_number() OVER (PARTITION BY source, masked ORDER BY doc_id DESC, line_no DESC) AS nth FROM masked) WHERE nth = 1""")
+def segment_keep_last(spark, sf):
+    masked = lines(spark, sf).withColumn("masked", text.mask_digits(F.col("line")))
+    last = masked.groupBy("source", "masked").agg(F.max(F.struct("doc_id", "line_no")).alias("at"))
+    return last.select("source", "masked", "at.doc_id", "at.line_no")
+
+
+@query("""SELECT user_id, event_type, k, event_id, value FROM (
+  SELECT *, props::JSON->>'k' AS k, row_number() OVER (PARTITION BY user_id, event_type, props::JSON->>'k' ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth = 1""")
+def keep_last_multi_key(spark, sf):
+    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    return rel.keep_last(e, ["user_id", "event_type", "k"], ["ts", "event_id"]).select("user_id", "event_type", "k", "event_id", "value")
+
+
+@query("""SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id) WHERE lower(d.lang) <> 'fr' AND trim(d.text) <> ''""")
+def left_join_site(spark, sf):
+    d = table(spark, sf, "documents").filter((F.lower("lang") != "fr") & (F.trim("text") != "")).select("doc_id", "source")
+    return d.join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", "source", "quality", "toxic")
+
+
+@query("""SELECT o.o_orderkey, o.o_custkey AS custkey_1, c.c_custkey AS custkey_2, c.c_mktsegment FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""")
+def inner_join_suffix(spark, sf):
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", F.col("o_custkey").alias("custkey_1"), F.col("c_custkey").alias("custkey_2"), "c_mktsegment")
+
+
+@query("""SELECT c.c_custkey, n.n_name, o.o_orderkey, row_number() OVER (ORDER BY o.o_totalprice DESC, o.o_orderkey) AS place
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_totalprice > 490000 AND c.c_mktsegment = 'BUILDING'""")
+def merge_filter_rank(spark, sf):
+    o = table(spark, sf, "orders").filter("o_totalprice > 490000")
+    c = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'")
+    n = table(spark, sf, "nation")
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    # a ranked report: the filters leave few rows
+    return j.withColumn("place", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long")).select("c_custkey", "n_name", "o_orderkey", "place")
+
+
+BIG = "o_totalprice > 450000"
+
+
+@query(f"SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE {BIG})")
+def semi_membership(spark, sf):
+    big = table(spark, sf, "orders").filter(BIG).select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").join(big, "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query(f"SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE {BIG})")
+def anti_membership(spark, sf):
+    big = table(spark, sf, "orders").filter(BIG).select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").join(big, "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query(f"SELECT c_mktsegment, c_custkey IN (SELECT o_custkey FROM orders WHERE {BIG}) AS has_big, count(*) AS n FROM customer GROUP BY ALL")
+def mark_join_flag(spark, sf):
+    marked = rel.mark_join(table(spark, sf, "customer"), table(spark, sf, "orders").filter(BIG), "c_custkey", "o_custkey", "has_big")
+    return marked.groupBy("c_mktsegment", "has_big").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {LINES}, t AS (SELECT split_part(text, ' ', 1) AS word, max_by(item_id, item_id) AS item_id FROM benchmark GROUP BY 1)
+SELECT doc_id, line_no::INT AS line_no, t.item_id FROM lines JOIN t ON split_part(line, ' ', 1) = t.word""")
+def broadcast_lookup_last(spark, sf):
+    known = table(spark, sf, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("word"), "item_id", F.col("item_id").alias("pos"))
+    rows = lines(spark, sf).withColumn("word", F.split_part("line", F.lit(" "), F.lit(1)))
+    return rel.lookup_last(rows, known, "word", "item_id", "pos").select("doc_id", "line_no", "item_id")
+
+
+# ---------------------------------------------------------------- third parties and URLs
+
+HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))"
+DOMAIN = f"regexp_extract({HOST}, '([^.]+[.][^.]+)$', 1)"
+PATTERNS = [("net sites", "example.net"), ("org sites", "example.org"), ("blogs", "#blog."), ("english", "#/en/")]
+
+
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as requests: visit_id is the remainder of page_id by 25, and the page of that id is the visited site."""
+    p = table(spark, sf, "pages").select("page_id", "url")
+    site = p.select(F.col("page_id").alias("visit_id"), F.col("url").alias("site_url"))
+    r = p.withColumn("visit_id", F.pmod("page_id", F.lit(25))).join(site, "visit_id", "left")
+    return r.withColumn("request_domain", urls.registrable_domain(urls.hostname(F.col("url")))).withColumn("site_host", urls.hostname(F.col("site_url")))
+
+
+REQUESTS = f"""r AS (SELECT p.page_id, p.url, s.url AS site_url, {DOMAIN.replace('url', 'p.url')} AS request_domain, {HOST.replace('url', 's.url')} AS site_host, {DOMAIN.replace('url', 's.url')} AS site_domain
+  FROM pages p LEFT JOIN pages s ON s.page_id = p.page_id % 25)"""
+
+
+@query(f"""WITH {REQUESTS}, hits AS (
+  SELECT 'net sites' AS provider, site_host FROM r WHERE request_domain = 'example.net' UNION ALL SELECT 'org sites', site_host FROM r WHERE request_domain = 'example.org'
+  UNION ALL SELECT 'blogs', site_host FROM r WHERE contains(url, 'blog.') UNION ALL SELECT 'english', site_host FROM r WHERE contains(url, '/en/'))
+SELECT provider, count(DISTINCT site_host) AS n_sites, string_agg(DISTINCT site_host, chr(9) ORDER BY site_host) AS sites FROM hits GROUP BY provider""")
+def pattern_theta_join(spark, sf):
+    hits = rel.pattern_join(requests(spark, sf), PATTERNS, "request_domain", "url")
+    return hits.groupBy("provider").agg(F.count_distinct("site_host").alias("n_sites"), F.array_join(F.sort_array(F.collect_set("site_host")), "\t").alias("sites"))
+
+
+REGEXES = [("mobile", "^m[.]"), ("paged", "[?&]page=[0-9]+"), ("long number", "/[0-9]{3,}")]
+
+
+@query("SELECT name, count(*) AS n, min(page_id) AS first_page FROM (SELECT page_id, split_part(url, '://', -1) AS rest FROM pages) p, (VALUES " + ", ".join(f"('{n}', '{r}')" for n, r in REGEXES) + ") t(name, rx) WHERE regexp_matches(rest, rx) GROUP BY name")
+def regex_pattern_join(spark, sf):
+    rest = table(spark, sf, "pages").select("page_id", F.element_at(F.split("url", "://"), -1).alias("rest"))
+    named = rest.select("page_id", F.explode(F.filter(F.array(*(F.when(F.col("rest").rlike(r), n) for n, r in REGEXES)), lambda x: x.isNotNull())).alias("name"))
+    return named.groupBy("name").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+
+
+@query(f"""SELECT page_id, {HOST} AS host, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS netloc, split_part(split_part(regexp_replace(url, '^[^:/?#]+://', ''), '#', 1), '?', 1) AS base_url, ltrim({HOST}, 'w.') AS stripped FROM pages""")
+def url_parts(spark, sf):
+    u = F.col("url")
+    return table(spark, sf, "pages").select("page_id", urls.hostname(u).alias("host"), urls.netloc(u).alias("netloc"), urls.base_url(u).alias("base_url"), urls.strip_www_letters(urls.hostname(u)).alias("stripped"))
+
+
+@query(f"WITH {REQUESTS} SELECT page_id, request_domain, site_domain, request_domain <> site_domain AS third_party FROM r")
+def registrable_domain(spark, sf):
+    r = requests(spark, sf).withColumn("site_domain", urls.registrable_domain(F.col("site_host")))
+    return r.select("page_id", "request_domain", "site_domain", urls.third_party(F.col("request_domain"), F.col("site_domain")).alias("third_party"))
+
+
+@query(f"""WITH {REQUESTS} SELECT request_domain, string_agg(DISTINCT site_host, chr(9) ORDER BY site_host) AS publishers, count(DISTINCT site_host) AS n_publishers FROM r WHERE request_domain <> site_domain GROUP BY request_domain""")
+def third_party_bipartite(spark, sf):
+    r = requests(spark, sf).filter(F.col("request_domain") != urls.registrable_domain(F.col("site_host")))
+    return r.groupBy("request_domain").agg(F.array_join(F.sort_array(F.collect_set("site_host")), "\t").alias("publishers"), F.count_distinct("site_host").alias("n_publishers"))
+
+
+GLUED = "regexp_replace(regexp_replace(regexp_replace(url, '^[^:/?#]+://[^/?#]*', ''), '#', ''), '[?]', '')"
+LINK_SQL = f"""SELECT page_id, least(length(p), 100) AS path_len, length(p) - length(replace(p, '-', '')) AS num_hyphen,
+  length(rtrim(p, '/')) - length(replace(rtrim(p, '/'), '/', '')) AS num_slash, contains(p, 'product')::BIGINT AS contains_product, contains(p, 'category')::BIGINT AS contains_category,
+  (len(list_filter(regexp_extract_all(p, '[0-9]+'), lambda x: length(x) > 3 AND length(x) < 32)) > 0)::BIGINT AS contains_pid FROM (SELECT page_id, {GLUED} AS p FROM pages)"""
+
+
+@query(LINK_SQL)
+def url_features(spark, sf):
+    return table(spark, sf, "pages").select("page_id", *(c.alias(n) for n, c in features.link_features(F.col("url")).items()))
+
+
+def _scaled_sql(name: str) -> str:
+    return f"(({name} - {measures.SCALER[name][0]}) / {measures.SCALER[name][1]})" if name in measures.SCALER else name
+
+
+@query(f"SELECT page_id, round(1 / (1 + exp(-({measures.INTERCEPT}" + "".join(f" + {_scaled_sql(n)} * {w}" for n, w in zip(features.LINK_FEATURES, measures.COEFFICIENTS)) + f"))), 9) AS p_product FROM ({LINK_SQL})")
+def product_likelihood(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.round(features.product_likelihood(F.col("url")), 9).alias("p_product"))
+
+
+# ---------------------------------------------------------------- aggregations
+
+
+@query("SELECT o_orderpriority, count(*) AS n, rank() OVER (ORDER BY count(*) DESC, o_orderpriority) AS place FROM orders GROUP BY 1")
+def group_count_desc(spark, sf):
+    counts = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"), "o_orderpriority")).cast("long"))
+
+
+@query("SELECT l_returnflag, count(l_suppkey) AS n, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem GROUP BY 1")
+def count_and_nunique(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("l_suppkey").alias("n"), F.count_distinct("l_suppkey").alias("n_suppliers"))
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+def distinct_combos(spark, sf):
+    return table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus").distinct()
+
+
+@query("SELECT o_custkey, bool_or(o_orderpriority = '1-URGENT') AS any_urgent FROM orders GROUP BY 1")
+def bool_or_per_key(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("any_urgent"))
+
+
+@query("SELECT o_orderkey, o_custkey, n FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n > 15")
+def having_keep_rows(spark, sf):
+    return rel.with_group_size(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], "n").filter("n > 15")
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1 HAVING count(*) = 4")
+def having_single(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"), F.count("*").alias("n")).filter("n = 4").drop("n")
+
+
+@query("""WITH b AS (SELECT ceil(o_totalprice / 10000)::BIGINT AS bin, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS hit FROM orders WHERE o_totalprice > 0 AND o_totalprice <= 400000 GROUP BY 1)
+SELECT k::BIGINT AS bin, coalesce(n, 0) AS n, round(100.0 * hit / nullif(n, 0), 6) AS pct FROM range(1, 41) t(k) LEFT JOIN b ON b.bin = k""")
+def rank_bin_percentage(spark, sf):
+    bins = table(spark, sf, "orders").withColumn("bin", measures.right_closed_bin(F.col("o_totalprice"), 10000, 40)).filter("bin IS NOT NULL")
+    per = bins.groupBy("bin").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("hit"))
+    return spark.range(1, 41).withColumnRenamed("id", "bin").join(per, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.try_divide(F.lit(100.0) * F.col("hit"), F.col("n")), 6).alias("pct"))
+
+
+@query("SELECT l_suppkey, string_agg(DISTINCT l_returnflag, chr(9) ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1")
+def set_collect_join(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.array_join(F.sort_array(F.collect_set("l_returnflag")), "\t").alias("flags"))
+
+
+@query("SELECT conv_id, count(*) AS n_turns, string_agg(role, ',' ORDER BY turn) AS roles, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS dialogue FROM conversations GROUP BY 1")
+def list_collect_struct(spark, sf):
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return turns.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.array_join(F.col("t.role"), ",").alias("roles"), F.array_join(F.col("t.text"), "\n\n").alias("dialogue"))
+
+
+@query("SELECT c_nationkey, unnest(range(1, n, 20))::INT AS start FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) WHERE n > 1")
+def listing_pages(spark, sf):
+    from ..sources.readers import listing_offsets
+
+    return listing_offsets(table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")), "n").select("c_nationkey", "start")
+
+
+@query("SELECT l_orderkey, max(l_extendedprice) AS area, arg_max(l_linenumber, (l_extendedprice, -l_linenumber)) AS l_linenumber FROM lineitem GROUP BY 1")
+def max_by_area(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("area"), F.max_by("l_linenumber", F.struct("l_extendedprice", -F.col("l_linenumber"))).alias("l_linenumber"))
+
+
+@query("""SELECT count(l_extendedprice) AS n, round(avg(l_extendedprice), 6) AS mean, round(stddev_samp(l_extendedprice), 6) AS std, min(l_extendedprice) AS least,
+  quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3, max(l_extendedprice) AS most FROM lineitem""")
+def describe_numeric(spark, sf):
+    return rel.describe(table(spark, sf, "lineitem"), "l_extendedprice")
+
+
+def _digit_events(spark, sf):
+    return table(spark, sf, "events").withColumn("v", F.floor("value").cast("long"))
+
+
+DIFFS = "d AS (SELECT user_id, event_type, ts, event_id, floor(value)::BIGINT AS v, floor(value)::BIGINT - lag(floor(value)::BIGINT) OVER w AS diff FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))"
+
+
+@query(f"""WITH {DIFFS}, c AS (SELECT user_id, event_type, diff, count(*) AS n FROM d WHERE diff IS NOT NULL GROUP BY ALL)
+SELECT user_id, event_type, arg_min(diff, (-n, diff)) AS mode, max(n) AS n_mode FROM c GROUP BY ALL""")
+def mode_of_diffs(spark, sf):
+    d = series.with_difference(_digit_events(spark, sf), ["user_id", "event_type"], ["ts", "event_id"], "v")
+    return series.mode_of(d, ["user_id", "event_type"], "diff", "mode")
+
+
+@query("SELECT event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap FROM events")
+def time_gaps(spark, sf):
+    return series.with_gap_seconds(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "ts").select("event_id", "gap")
+
+
+@query(f"""WITH {DIFFS}, s AS (SELECT user_id, event_type, count(*) FILTER (diff < 0) AS n_neg, count(*) FILTER (diff > 0) AS n_pos, count(DISTINCT v) AS vals, count(DISTINCT date_trunc('second', ts)) AS secs FROM d GROUP BY ALL),
+c AS (SELECT user_id, event_type, diff, count(*) AS n FROM d WHERE diff IS NOT NULL GROUP BY ALL),
+m AS (SELECT user_id, event_type, arg_min(diff, (-n, diff)) AS mode, max(n) FILTER (diff < 0) AS n_fall FROM c GROUP BY ALL),
+f AS (SELECT s.user_id, s.event_type, n_neg, n_pos, n_neg >= 5 AND (n_pos = 0 OR n_neg > 5 * n_pos) AS decreasing,
+  vals >= 5 AND n_neg >= 5 AND (n_pos = 0 OR coalesce(mode <= 0 AND coalesce(n_fall, 0) >= 5 AND n_neg > n_pos, false)) AS by_mode, secs >= 5 AS seconds FROM s LEFT JOIN m USING (user_id, event_type))
+SELECT *, decreasing AND by_mode AND seconds AS is_timer FROM f""")
+def timer_detection(spark, sf):
+    return series.countdowns(_digit_events(spark, sf), ["user_id", "event_type"], ["ts", "event_id"], "v", "ts")
+
+
+@query("""SELECT quality, count(*) FILTER (long_text) AS n_true, count(*) FILTER (NOT long_text) AS n_false FROM labels JOIN (SELECT doc_id, n_chars > 1000 AS long_text FROM documents) USING (doc_id) GROUP BY 1""")
+def crosstab_agreement(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("n_chars") > 1000, "true").otherwise("false").alias("long_text"))
+    return rel.crosstab(table(spark, sf, "labels").join(d, "doc_id"), "quality", "long_text", ["true", "false"])
+
+
+@query("""SELECT coalesce(avg((p = toxic)::INT), -1) AS overall, coalesce(avg((p = toxic)::INT) FILTER (toxic = 1), -1) AS on_positive, coalesce(avg((p = toxic)::INT) FILTER (toxic = 0), -1) AS on_negative, coalesce(avg((p = toxic)::INT) FILTER (toxic = 7), -1) AS on_none
+FROM (SELECT toxic, 1 - quality AS p FROM labels)""")
+def accuracy_split(spark, sf):
+    hit = (1 - F.col("quality") == F.col("toxic")).cast("double")
+    part = lambda c, n: F.coalesce(F.avg(F.when(c, hit)), F.lit(-1.0)).alias(n)
+    return table(spark, sf, "labels").agg(part(F.lit(True), "overall"), part(F.col("toxic") == 1, "on_positive"), part(F.col("toxic") == 0, "on_negative"), part(F.col("toxic") == 7, "on_none"))
+
+
+@query("SELECT props::JSON->>'k' AS k, count(*) AS n FROM events GROUP BY 1")
+def json_field_histogram(spark, sf):
+    return table(spark, sf, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
+
+
+KEYWORDS = ["the", "and", "und", "que"]
+
+
+@query("WITH h AS (SELECT source, doc_id, " + " + ".join(f"contains(lower(text), '{k}')::INT" for k in KEYWORDS) + " AS hits, n_chars FROM documents) SELECT source, arg_min(doc_id, (-hits, doc_id)) AS doc_id, max(hits)::BIGINT AS hits FROM h GROUP BY source")
+def keyword_top_hit(spark, sf):
+    hits = sum((F.contains(F.lower("text"), F.lit(k)).cast("long") for k in KEYWORDS), F.lit(0))
+    return table(spark, sf, "documents").withColumn("hits", hits).groupBy("source").agg(F.min_by("doc_id", F.struct(-F.col("hits"), F.col("doc_id"))).alias("doc_id"), F.max("hits").alias("hits"))
+
+
+@query("""WITH e AS (SELECT l_suppkey, greatest(0, max(l_quantity)) AS w, greatest(0, max(l_extendedprice)) AS h FROM lineitem GROUP BY 1)
+SELECT l_suppkey, sum((l_quantity < w * 0.2)::INT)::BIGINT AS x_low, sum((l_quantity >= w * 0.2 AND l_quantity <= w * 0.8)::INT)::BIGINT AS x_mid, sum((l_quantity > w * 0.8)::INT)::BIGINT AS x_high,
+  sum((l_extendedprice < h * 0.1)::INT)::BIGINT AS y_low, sum((l_extendedprice >= h * 0.1 AND l_extendedprice <= h * 0.9)::INT)::BIGINT AS y_mid, sum((l_extendedprice > h * 0.9)::INT)::BIGINT AS y_high FROM lineitem JOIN e USING (l_suppkey) GROUP BY 1""")
+def page_extent_bins(spark, sf):
+    li = table(spark, sf, "lineitem")
+    ext = li.groupBy("l_suppkey").agg(F.greatest(F.lit(0.0), F.max("l_quantity")).alias("w"), F.greatest(F.lit(0.0), F.max("l_extendedprice")).alias("h"))
+    j = li.join(ext, "l_suppkey")
+    names = ["x_low", "x_mid", "x_high", "y_low", "y_mid", "y_high"]
+    cols = measures.third_bins(F.col("l_quantity"), F.col("w"), 0.2, 0.8) + measures.third_bins(F.col("l_extendedprice"), F.col("h"), 0.1, 0.9)
+    return j.groupBy("l_suppkey").agg(*(F.sum(c).alias(n) for c, n in zip(cols, names)))
+
+
+@query("SELECT count(*) AS first_rows, (sum(n) - count(*))::BIGINT AS repeated_rows FROM (SELECT text, count(*) AS n FROM documents GROUP BY 1)")
+def duplicate_audit(spark, sf):
+    return rel.duplicate_audit(table(spark, sf, "documents"), "text")
+
+
+# ---------------------------------------------------------------- sessions, candidates, chunks
+
+PHASES = ["view", "click", "purchase", "signup", "error"]
+
+
+@query("SELECT user_id, " + ", ".join(f"arg_max(ts, (ts, event_id)) FILTER (event_type = '{p}') AS \"{p}\"" for p in PHASES) + " FROM events GROUP BY 1")
+def session_pivot(spark, sf):
+    e = table(spark, sf, "events")
+    return e.groupBy("user_id").agg(*(F.max(F.when(F.col("event_type") == p, F.col("ts"))).alias(p) for p in PHASES))
+
+
+@query("SELECT user_id, event_type AS phase, max(ts) AS at FROM events GROUP BY ALL")
+def session_unpivot(spark, sf):
+    wide = session_pivot(spark, sf)
+    pairs = ", ".join(f"'{p}', {p}" for p in PHASES)
+    return wide.selectExpr("user_id", f"stack({len(PHASES)}, {pairs}) AS (phase, at)").filter("at IS NOT NULL")
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, coalesce((l_quantity - min(l_quantity) OVER w) / nullif(max(l_quantity) OVER w - min(l_quantity) OVER w, 0), 0) AS q,
+  coalesce((l_extendedprice - min(l_extendedprice) OVER w) / nullif(max(l_extendedprice) OVER w - min(l_extendedprice) OVER w, 0), 0) AS p FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)),
+r AS (SELECT *, round(0.0 + q * 0.4 + p * 0.6, 9) AS score FROM s), k AS (SELECT *, row_number() OVER o AS rank, lead(score) OVER o AS next_score FROM r WINDOW o AS (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber, l_partkey, l_extendedprice))
+SELECT l_orderkey, l_linenumber, score, rank::INT AS rank, next_score, rank = 1 AND score > 0.5 AS chosen FROM k""")
+def minmax_rank_candidates(spark, sf):
+    li = table(spark, sf, "lineitem").withColumn("tie", F.struct("l_linenumber", "l_partkey", "l_extendedprice"))
+    return scoring.ranked(li, "l_orderkey", {"l_quantity": 0.4, "l_extendedprice": 0.6}, "tie", 0.5).select("l_orderkey", "l_linenumber", "score", "rank", "next_score", "chosen")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN sqrt(max(l_extendedprice) OVER (PARTITION BY l_orderkey)) < 1 THEN l_discount ELSE l_discount + sqrt(l_extendedprice) / sqrt(max(l_extendedprice) OVER (PARTITION BY l_orderkey)) END, 9) AS score FROM lineitem""")
+def link_rank_score(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(scoring.link_rank(None, "l_orderkey", "l_discount", "l_extendedprice"), 9).alias("score"))
+
+
+@query("SELECT c_custkey, ntile(8) OVER (ORDER BY c_name, c_custkey)::INT AS chunk FROM customer")
+def ntile_chunks(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.ntile(8).over(Window.orderBy("c_name", "c_custkey")).alias("chunk"))
+
+
+@query()
+def hash_sample(spark, sf):
+    return rel.hash_sample(table(spark, sf, "documents"), "doc_id", 50).select("doc_id", "source")
+
+
+@query()
+def per_group_sample(spark, sf):
+    return rel.sample_per_group(table(spark, sf, "documents"), "source", "doc_id", 5).select("source", "doc_id")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) <= floor(count(*) OVER () * 0.9) AS in_head FROM orders")
+def ordered_split(spark, sf):
+    return rel.ordered_split(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0.9)
+
+
+@query("SELECT 'customer' AS kind, count(*) AS n, round(sum(bal), 2) AS total FROM (SELECT c_acctbal AS bal FROM customer) UNION ALL SELECT 'supplier', count(*), round(sum(s_acctbal), 2) FROM supplier")
+def union_all_counts(spark, sf):
+    c = table(spark, sf, "customer").select(F.lit("customer").alias("kind"), F.col("c_acctbal").alias("bal"))
+    s = table(spark, sf, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_acctbal").alias("bal"))
+    return c.unionByName(s).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("bal"), 2).alias("total"))
+
+
+@query("SELECT part, count(*) AS n FROM (SELECT CASE WHEN count(*) OVER (PARTITION BY o_custkey) = 1 THEN 'single' ELSE 'repeated' END AS part FROM orders) GROUP BY 1")
+def split_reunion(spark, sf):
+    none, single, repeated = rel.split_by_count(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
+    parts = none.withColumn("part", F.lit("none")).unionByName(single.withColumn("part", F.lit("single"))).unionByName(repeated.withColumn("part", F.lit("repeated")))
+    return parts.groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def set_union(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).union(table(spark, sf, "supplier").select("s_nationkey")).distinct()
+
+
+@query("SELECT c_custkey AS k FROM customer INTERSECT SELECT s_suppkey FROM supplier")
+def set_intersect(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).intersect(table(spark, sf, "supplier").select("s_suppkey"))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier")
+def set_difference(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf, "supplier").select("s_suppkey"))
+
+
+# ---------------------------------------------------------------- text
+
+STOP = ["the", "and", "of", "to", "is", "in", "a", "it"]
+STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
+NORM_SQL = f"""list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+', 'dpnum', 'g'), '[^a-z\\s]', '', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN ({STOP_SQL}))"""
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform({NORM_SQL}, lambda w: CASE WHEN starts_with(w, 'dpnum') THEN 'dpnum' ELSE w END), ' ') AS normal FROM documents")
+def text_normalise_a(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.normalised(F.col("text"), STOP).alias("normal"))
+
+
+@query(f"""SELECT doc_id, array_to_string(list_transform({NORM_SQL}, lambda w: CASE WHEN starts_with(w, 'dpnum') THEN 'dpnum' ELSE w END), ' ') AS normal,
+  (len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w = upper(w) AND w <> lower(w) AND length(w) > 1)) > 0)::BIGINT AS caps FROM documents""")
+def text_normalise_b(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.normalised(F.col("text"), STOP).alias("normal"), text.has_caps_word(F.col("text")).alias("caps"))
+
+
+@query("""SELECT doc_id, length(text) AS n_chars, len(string_split(text, chr(10))) AS n_lines, length(text) - length(replace(text, 'e', '')) AS n_e, coalesce(list_max(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: length(x))), 0) AS longest_run,
+  (len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) > 3 AND length(x) < 32)) > 0)::BIGINT AS has_id FROM documents""")
+def text_stats(spark, sf):
+    c = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", F.length(c).cast("long").alias("n_chars"), text.line_count(c).alias("n_lines"), text.count_of(c, "e").alias("n_e"), text.longest_digit_run(c).alias("longest_run"), text.has_run_between(c, 3, 32).alias("has_id"))
+
+
+TERMS = "t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL)"
+
+
+@query(f"""WITH {TERMS}, d AS (SELECT term, count(*) AS df FROM c GROUP BY 1), r AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS raw FROM c JOIN d USING (term)),
+w AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 6) DESC, term) AS rank FROM w)
+SELECT doc_id, term, round(weight, 6) AS weight, rank::INT AS rank FROM k WHERE rank <= 3""")
+def tfidf_top_terms(spark, sf):
+    w = features.tfidf(table(spark, sf, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
+    return w.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))).filter("rank <= 3")
+
+
+@query(f"WITH {TERMS} SELECT term, count(*) AS n_docs, sum(tf)::BIGINT AS n FROM c GROUP BY 1")
+def bow_counts(spark, sf):
+    return features.term_counts(table(spark, sf, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n"))
+
+
+@query(f"WITH {TERMS}, n AS (SELECT term, sqrt(sum(tf * tf)) AS length FROM c GROUP BY 1) SELECT doc_id, round(sum(tf / length), 6) AS total FROM c JOIN n USING (term) GROUP BY 1")
+def bow_column_normalised(spark, sf):
+    v = features.column_normalised(features.term_counts(table(spark, sf, "documents"), "doc_id", "text"))
+    return v.groupBy("doc_id").agg(F.round(F.sum("value"), 6).alias("total"))
+
+
+# ---------------------------------------------------------------- vectors and clusters
+
+
+@query("""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
+SELECT a, count(*) AS n, round(max(s), 5) AS best FROM p GROUP BY 1""")
+def cosine_self_join(spark, sf):
+    e = table(spark, sf, "embeddings")
+    a, b = (e.select(F.col("vec_id").alias(n), "label", F.col("embedding").alias(f"v{n}")) for n in "ab")
+    p = a.join(b, "label").filter("a < b").withColumn("s", measures.cosine(F.col("va"), F.col("vb")))
+    return p.groupBy("a").agg(F.count("*").alias("n"), F.round(F.max("s"), 5).alias("best"))
+
+
+@query("SELECT b.p_brand AS brand, r.r_name AS region, s.size FROM (SELECT DISTINCT p_brand FROM part) b, region r, (VALUES ('S'), ('M'), ('L')) s(size)")
+def option_cartesian(spark, sf):
+    lists = table(spark, sf, "region").agg(F.collect_set("r_name").alias("regions"))
+    brands = table(spark, sf, "part").select("p_brand").distinct().agg(F.collect_set("p_brand").alias("brands"))
+    both = brands.crossJoin(lists).withColumn("sizes", F.array(F.lit("S"), F.lit("M"), F.lit("L")))
+    chosen = dom.option_combinations(both, ["brands", "regions", "sizes"])
+    return chosen.select(*(F.col("combination")[k].alias(n) for k, n in enumerate(("brand", "region", "size"))))
+
+
+@query("SELECT label, count(*) AS n, label = 0 AS noise FROM embeddings GROUP BY 1")
+def cluster_noise_counts(spark, sf):
+    return table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n")).withColumn("noise", F.col("label") == 0)
+
+
+LONG = "l AS (SELECT vec_id, label, unnest(range(64)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, pos, avg(x) AS m FROM l GROUP BY ALL)"
+
+
+@query(f"""WITH {LONG}, g AS (SELECT pos, avg(x) AS m FROM l GROUP BY 1), w AS (SELECT sum((x - m) ** 2) AS w FROM l JOIN c USING (label, pos)), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1),
+b AS (SELECT sum(n.n * (c.m - g.m) ** 2) AS b FROM c JOIN g USING (pos) JOIN n USING (label)) SELECT round((b / ((SELECT count(*) FROM n) - 1)) / (w / ((SELECT sum(n) FROM n) - (SELECT count(*) FROM n))), 6) AS score FROM w, b""")
+def calinski_harabasz(spark, sf):
+    return cluster.calinski_harabasz(table(spark, sf, "embeddings"), "label", "embedding")
+
+
+@query(f"""WITH {LONG}, v AS (SELECT vec_id, label, sqrt(sum((x - m) ** 2)) AS d FROM l JOIN c USING (label, pos) GROUP BY ALL), s AS (SELECT label, avg(d) AS s FROM v GROUP BY 1),
+p AS (SELECT a.label AS a, b.label AS b, sqrt(sum((a.m - b.m) ** 2)) AS d FROM c a JOIN c b ON a.pos = b.pos AND a.label <> b.label GROUP BY ALL)
+SELECT round(avg(r), 6) AS score FROM (SELECT a, max((x.s + y.s) / d) AS r FROM p JOIN s x ON x.label = a JOIN s y ON y.label = b GROUP BY a)""")
+def davies_bouldin(spark, sf):
+    return cluster.davies_bouldin(table(spark, sf, "embeddings"), "label", "embedding")
+
+
+@query("""WITH d AS (SELECT a.vec_id AS a, a.label AS la, b.label AS lb, avg(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY ALL),
+s AS (SELECT a, la, max(d) FILTER (la = lb) AS inner_, min(d) FILTER (la <> lb) AS outer_ FROM d GROUP BY ALL) SELECT round(avg(CASE WHEN inner_ IS NULL THEN 0 ELSE (outer_ - inner_) / greatest(inner_, outer_) END), 6) AS score FROM s""")
+def silhouette(spark, sf):
+    return cluster.silhouette(table(spark, sf, "embeddings"), "vec_id", "label", "embedding")
+
+
+@query()
+def dbscan(spark, sf):
+    return cluster.dbscan(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.9, 3)
+
+
+@query()
+def hdbscan(spark, sf):
+    df = table(spark, sf, "embeddings").withColumn("part", F.pmod("vec_id", F.greatest(F.lit(1), F.floor(F.lit(table(spark, sf, "embeddings").count() / 1000)).cast("long"))))
+    return cluster.grouped(df, "part", "vec_id", "embedding", lambda x: cluster.hdbscan_labels(x, 5))
+
+
+@query()
+def ward_linkage(spark, sf):
+    return cluster.grouped(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", lambda x: cluster.ward_labels(x, 1.5))
+
+
+@query()
+def single_linkage(spark, sf):
+    return cluster.single_linkage(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.8)
+
+
+def _report(spark: SparkSession, values: list[float], name: str) -> DataFrame:
+    return spark.createDataFrame([(k, float(v), float(s)) for k, (v, s) in enumerate(zip(values, np.cumsum(values)))], f"component int, {name} double, running double")
+
+
+@query()
+def svd(spark, sf):
+    return _report(spark, features.truncated_svd(table(spark, sf, "embeddings"), "embedding", 8), "singular_value")
+
+
+@query()
+def pca(spark, sf):
+    return _report(spark, features.principal_components(table(spark, sf, "embeddings"), "embedding", 8), "variance_share")
+
+
+@query()
+def gmm(spark, sf):
+    return features.gaussian_mixture(table(spark, sf, "embeddings"), "embedding", 5).select("vec_id", "prediction")
+
+
+@query()
+def logistic_cv(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    ready = features.hashed_vectors(features.grouped_folds(d, "source", 5), "text", 1 << 12)
+    return spark.createDataFrame(features.logistic_cv(ready, "features", "quality"), "fold int, accuracy double")
+
+
+# ---------------------------------------------------------------- DOM
+
+
+@query()
+def dom_nodes(spark, sf):
+    return dom.nodes(table(spark, sf, "pages")).select("page_id", "node_id", "parent_id", "depth", "tag", "path", F.length("text").alias("n_text"))
+
+
+@query()
+def dom_segments(spark, sf):
+    return dom.segments(table(spark, sf, "pages"))
+
+
+@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages) SELECT page_id, href FROM a WHERE href <> '' GROUP BY ALL""")
+def dom_links(spark, sf):
+    return dom.links(table(spark, sf, "pages")).select("page_id", "href")
+
+
+@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages), u AS (SELECT DISTINCT page_id, href FROM a WHERE href <> '')
+SELECT page_id, href, 5 * regexp_matches(href, '(?i)th|re')::INT / 21.0::DOUBLE AS score FROM u""")
+def button_regex_score(spark, sf):
+    none = F.lit(None).cast("string")
+    return dom.links(table(spark, sf, "pages")).select("page_id", "href", scoring.pattern_score("th|re", none, F.col("href"), none, none, none).alias("score"))
+
+
+@query()
+def link_filter(spark, sf):
+    found = dom.links(table(spark, sf, "pages")).join(table(spark, sf, "pages").select("page_id", "url"), "page_id")
+    full = urls.resolved(F.col("href"), F.col("url"))
+    bad = F.lower("text").isin("login", "register", "sign in") | F.lower("title").isin("login", "register", "sign in") | F.col("href").rlike("[.](jpg|jpeg|pdf|png)")
+    return found.withColumn("link", full).filter(F.col("link").isNotNull() & ~bad & (F.rtrim("link", F.lit("/")) != F.rtrim("url", F.lit("/")))).select("page_id", "link")
+
+
+# ---------------------------------------------------------------- shapes and formats
+
+
+@query("SELECT event_id, (props::JSON->>'k')::BIGINT AS k, coalesce(nullif(event_type, 'error'), 'None') AS category FROM events")
+def nested_json_explode(spark, sf):
+    wrapped = table(spark, sf, "events").select(F.to_json(F.struct(F.array(F.struct(F.array(F.struct("event_id", "props", F.nullif("event_type", F.lit("error")).alias("category"))).alias("entries"))).alias("pages"))).alias("doc"))
+    schema = "pages array<struct<entries: array<struct<event_id: long, props: string, category: string>>>>"
+    e = wrapped.select(F.explode(F.from_json("doc", schema)["pages"]).alias("p")).select(F.explode("p.entries").alias("e"))
+    return e.select("e.event_id", F.from_json("e.props", "k long")["k"].alias("k"), F.coalesce("e.category", F.lit("None")).alias("category"))
+
+
+@query("""WITH s AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS d, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity - m) / d, 6) AS quantity_std, round((l_extendedprice - lo) / (hi - lo), 6) AS price_scaled FROM lineitem, s""")
+def stddev_standardise(spark, sf):
+    li = table(spark, sf, "lineitem")
+    s = li.agg(F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("d"), F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
+    j = li.crossJoin(F.broadcast(s))  # one row of statistics
+    return j.select("l_orderkey", "l_linenumber", "l_partkey", F.round((F.col("l_quantity") - F.col("m")) / F.col("d"), 6).alias("quantity_std"), F.round((F.col("l_extendedprice") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6).alias("price_scaled"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS stamp, strftime(ts, '%b %d %H:%M:%S') AS pretty, date_trunc('second', ts)::TIMESTAMP AS second FROM events""")
+def timestamp_format(spark, sf):
+    stamp = F.date_format("ts", "yyyyMMdd-HHmmss")
+    return table(spark, sf, "events").select("event_id", stamp.alias("stamp"), F.date_format(F.to_timestamp(stamp, "yyyyMMdd-HHmmss"), "MMM dd HH:mm:ss").alias("pretty"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("second"))
