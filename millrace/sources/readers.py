@@ -59,7 +59,7 @@ def har_contents(spark: SparkSession, path: str) -> DataFrame:
 
 def small_files(spark: SparkSession, path: str) -> DataFrame:
     """url (a file's first line) and element (the rest, white space squeezed)."""
-    return spark.read.option("wholetext", True).text(path).select(F.substring_index("value", "\n", 1).alias("url"), F.trim(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", " ")).alias("element"))
+    return spark.read.text(path, wholetext=True).select(F.substring_index("value", "\n", 1).alias("url"), F.trim(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", " ")).alias("element"))
 
 
 def xml_records(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
