@@ -59,3 +59,46 @@ def centre_distance(x1: Column, y1: Column, w1: Column, h1: Column, x2: Column,
 
 def rectangles_meet(x1: Column, y1: Column, w1: Column, h1: Column, x2: Column, y2: Column, w2: Column, h2: Column) -> Column:
     return (x1 < x2 + w2) & (x2 < x1 + w1) & (y1 < y2 + h2) & (y2 < y1 + h1)
+
+
+def adjacent(a_from: Column, a_to: Column, b_from: Column, b_to: Column) -> Column:
+    """Share of the shorter of two intervals that the other covers; 0 where they don't meet."""
+    overlap = F.least(a_to, b_to) - F.greatest(a_from, b_from)
+    return F.greatest(F.lit(0.0), F.coalesce(F.try_divide(overlap.cast("double"), F.least(a_to - a_from, b_to - b_from).cast("double")), F.lit(0.0)))
+
+
+def seam_degree(x1: Column, y1: Column, w1: Column, h1: Column, x2: Column, y2: Column, w2: Column, h2: Column) -> Column:
+    """How much of a seam two rectangles share: side by side by height, one above the other by width;
+    0 if they overlap, the better of the two otherwise."""
+    beside = adjacent(y1, y1 + h1, y2, y2 + h2)
+    stacked = adjacent(x1, x1 + w1, x2, x2 + w2)
+    return F.when(rectangles_meet(x1, y1, w1, h1, x2, y2, w2, h2), F.lit(0.0)).otherwise(F.greatest(beside, stacked))
+
+
+def in_box(left: Column, top: Column, width: Column, height: Column, least: tuple[float, float], most: tuple[float, float]) -> Column:
+    """On the page, and within the given width and height."""
+    return (left >= 0) & (top >= 0) & width.between(least[0], most[0]) & height.between(least[1], most[1])
+
+
+def in_popup(style: Column, left: Column, top: Column, width: Column, height: Column, page_width: Column, page_height: Column, share: float = 0.3) -> Column:
+    """Shown, positioned above the page (z-index over 0), and centred within a share of the page: 1 or 0.
+    `style` is a map of style names to values."""
+    of = lambda k: F.element_at(style, k)
+    above = F.coalesce(of("z-index").try_cast("double") > 0, F.lit(False)) & F.coalesce(of("position").isin("fixed", "absolute"), F.lit(False))
+    seen = F.coalesce(of("display") != "none", F.lit(True)) & F.coalesce(of("visibility") != "hidden", F.lit(True))
+    centred = (F.abs(left + width / 2 - page_width / 2) <= page_width * share) & (F.abs(top + height / 2 - page_height / 2) <= page_height * share)
+    return (above & seen & centred).cast("int")
+
+
+def has_any(c: Column, words: list[str]) -> Column:
+    """Whether a text has one of the words as a piece, in any case."""
+    low = F.lower(c)
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(low, F.lit(w))
+    return F.coalesce(out, F.lit(False))
+
+
+def has_token(c: Column, words: list[str]) -> Column:
+    """Whether one of a text's tokens, split at white space, is one of the words."""
+    return F.coalesce(F.arrays_overlap(F.split(F.lower(c), r"\s+"), F.array(*map(F.lit, words))), F.lit(False))

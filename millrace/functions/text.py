@@ -160,3 +160,8 @@ def _stem(word: str) -> str:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [_stem(w) for w in ws])
+
+
+def language_or_null(c: Column, detected: Column, least: int = 64) -> Column:
+    """A caller's detected language; null for texts under `least` characters."""
+    return F.when(F.length(c) >= least, detected)

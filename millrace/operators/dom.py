@@ -166,3 +166,38 @@ def option_combinations(df: DataFrame, lists: list[str], name: str = "combinatio
     for k, c in enumerate(lists):
         df = df.withColumn(f"_c{k}", F.explode(c))
     return df.withColumn(name, F.array(*(F.col(f"_c{k}") for k in range(len(lists))))).drop(*(f"_c{k}" for k in range(len(lists))))
+
+
+def content_vectors(pages: DataFrame) -> DataFrame:
+    """page_id, node_id and a vector of text length, links, images and inputs of each node and below."""
+
+    def of(ns: list[dict]) -> list[tuple]:
+        own = [[0, int(n["tag"] == "a"), int(n["tag"] == "img"), int(n["tag"] in ("input", "select", "textarea", "button"))] for n in ns]
+        for k in range(len(ns) - 1, -1, -1):
+            if ns[k]["parent"] >= 0:
+                own[ns[k]["parent"]] = [a + b for a, b in zip(own[ns[k]["parent"]], own[k])]
+        return [(k, len(t), *v[1:]) for k, (t, v) in enumerate(zip(inner_texts(ns), own))]
+
+    wide = _per_page(pages, of, "page_id long, node_id long, n_text long, n_links long, n_images long, n_inputs long")
+    return wide.select("page_id", "node_id", F.array(*(F.col(c).cast("double") for c in ("n_text", "n_links", "n_images", "n_inputs"))).alias("content"))
+
+
+def sibling_similarity(node_table: DataFrame, content: DataFrame) -> DataFrame:
+    """page_id, parent_id and the mean cosine of the content vectors of all pairs of its children."""
+    from ..functions.measures import cosine
+
+    kids = node_table.filter("parent_id >= 0").select("page_id", "parent_id", "node_id").join(content, ["page_id", "node_id"])
+    a, b = (kids.select("page_id", "parent_id", F.col("node_id").alias(f"n{x}"), F.col("content").alias(f"c{x}")) for x in "ab")
+    pairs = a.join(b, ["page_id", "parent_id"]).filter("na < nb")
+    return pairs.groupBy("page_id", "parent_id").agg(F.count("*").alias("n_pairs"), F.avg(cosine(F.col("ca"), F.col("cb"))).alias("similarity"))
+
+
+def similar_blocks(node_table: DataFrame, content: DataFrame, most: float = 0.8) -> DataFrame:
+    """Segments by similarity: nodes whose children differ (mean similarity at most `most`) are split,
+    so a segment is a shown node all of whose ancestors are split while itself it isn't."""
+    like = sibling_similarity(node_table, content)
+    split = like.filter(F.col("similarity") <= most).select("page_id", F.col("parent_id").alias("node_id"), F.lit(True).alias("split"))
+    marked = node_table.join(split, ["page_id", "node_id"], "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    whole = marked.filter("NOT split").select("page_id", F.col("path").alias("_whole"))
+    inside = marked.select("page_id", "node_id", F.explode(_ancestors(F.col("path"))).alias("_whole")).filter(F.col("_whole") != "").join(marked.select("page_id", F.col("path").alias("_whole"), F.col("node_id").alias("_up")), ["page_id", "_whole"]).filter("_up <> node_id").join(whole, ["page_id", "_whole"], "left_semi").select("page_id", "node_id").distinct()
+    return marked.filter("NOT split").join(inside, ["page_id", "node_id"], "left_anti").filter(shown(F.col("tag"), F.col("attrs"))).drop("split")

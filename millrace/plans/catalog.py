@@ -621,3 +621,88 @@ def stddev_standardise(spark, sf):
 def timestamp_format(spark, sf):
     stamp = F.date_format("ts", "yyyyMMdd-HHmmss")
     return table(spark, sf, "events").select("event_id", stamp.alias("stamp"), F.date_format(F.to_timestamp(stamp, "yyyyMMdd-HHmmss"), "MMM dd HH:mm:ss").alias("pretty"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("second"))
+
+
+# ---------------------------------------------------------------- further shapes
+
+
+@query("SELECT o_orderkey, c_name FROM (SELECT o_orderkey, 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') AS name FROM orders) o JOIN customer c ON o.name = c.c_name")
+def crc_lookup_join(spark, sf):
+    key = lambda c: F.crc32(F.encode(c, "utf-8"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.format_string("Customer#%09d", "o_custkey").alias("name")).withColumn("sum", key(F.col("name")))
+    c = table(spark, sf, "customer").select("c_name", key(F.col("c_name")).alias("sum"))
+    return o.join(c, "sum").filter("name = c_name").select("o_orderkey", "c_name")
+
+
+@query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) <= 600")
+def group_size_cap(spark, sf):
+    return rel.with_group_size(table(spark, sf, "lineitem").select("l_suppkey"), ["l_suppkey"]).filter("group_size <= 600").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 2)::BIGINT AS pair, role, turn FROM conversations")
+def tuple_chunks(spark, sf):
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return table(spark, sf, "conversations").select("conv_id", F.floor(at / 2).cast("long").alias("pair"), "role", "turn")
+
+
+@query("SELECT source, doc_id, dense_rank() OVER (PARTITION BY source ORDER BY n_chars DESC)::INT AS page, count(*) OVER (PARTITION BY source) AS pages FROM documents")
+def dense_labels(spark, sf):
+    w = Window.partitionBy("source")
+    return table(spark, sf, "documents").select("source", "doc_id", F.dense_rank().over(w.orderBy(F.desc("n_chars"))).alias("page"), F.count("*").over(w).alias("pages"))
+
+
+@query("SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events WHERE event_type IN ('click', 'error')) WHERE nth = 1")
+def last_mark(spark, sf):
+    marks = table(spark, sf, "events").filter(F.col("event_type").isin("click", "error"))
+    return rel.keep_last(marks, ["user_id"], ["ts", "event_id"]).select("user_id", "event_type")
+
+
+@query("SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS nth FROM customer) WHERE nth > least(greatest(100, 0), 1000) AND nth <= 120")
+def offset_page(spark, sf):
+    # a page of a report: the first 120 rows by key, of which the last 20
+    first = table(spark, sf, "customer").orderBy("c_custkey").limit(120)
+    return first.withColumn("nth", F.row_number().over(Window.orderBy("c_custkey"))).filter("nth > 100").select("c_custkey", "c_name")
+
+
+@query("SELECT page_id, contains(lower(html), 'erth') OR contains(lower(html), 'zzz') AS has_piece, (len(list_intersect(regexp_split_to_array(lower(html), '\\s+'), ['the', 'und'])) > 0) AS has_token FROM pages")
+def word_filters(spark, sf):
+    return table(spark, sf, "pages").select("page_id", measures.has_any(F.col("html"), ["erth", "zzz"]).alias("has_piece"), measures.has_token(F.col("html"), ["the", "und"]).alias("has_token"))
+
+
+@query("WITH c AS (SELECT page_id, (length(lower(html)) - length(replace(lower(html), 'add to cart', ''))) / 11 AS cart, (length(lower(html)) - length(replace(lower(html), 'add to bag', ''))) / 10 AS bag FROM pages) SELECT page_id, (cart BETWEEN 1 AND 2 AND bag = 0) OR (bag BETWEEN 1 AND 2 AND cart = 0) AS product FROM c")
+def product_page_flags(spark, sf):
+    return table(spark, sf, "pages").select("page_id", scoring.is_product_page(F.col("html")).alias("product"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_totals(spark, sf):
+    return table(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def hourly_windows(spark, sf):
+    w = table(spark, sf, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour"), "event_type").agg(F.count("*").alias("n"))
+    return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query()
+def content_vectors(spark, sf):
+    return dom.content_vectors(table(spark, sf, "pages"))
+
+
+@query()
+def similar_blocks(spark, sf):
+    pages = table(spark, sf, "pages")
+    return dom.similar_blocks(dom.nodes(pages), dom.content_vectors(pages)).select("page_id", "node_id", "path")
+
+
+@query()
+def popup_style(spark, sf):
+    """Event properties in place of styles: the one of largest k by user."""
+    e = table(spark, sf, "events").withColumn("z", F.from_json("props", "k long")["k"])
+    return dom.popup_container(e, "user_id", "z", "event_id").select("user_id", "event_id", "z")
+
+
+@query()
+def word_vector_means(spark, sf):
+    return features.word_vectors(table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", "text"), "text", 16).select("doc_id")

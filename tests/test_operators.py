@@ -151,3 +151,33 @@ def test_pattern_score(spark):
     t = spark.range(1).select(scoring.pattern_score(scoring.ADD_TO_CART, F.lit("Add to Cart"), F.lit("/x"), F.lit(None).cast("string"), F.lit("add-to-bag"), F.lit("")).alias("s")).first().s
     assert abs(t - 8 / 21) < 1e-12
     assert spark.range(1).select(scoring.is_product_page(F.lit("<a>ADD TO CART</a>")).alias("p"), scoring.is_product_page(F.lit("add to cart add to bag")).alias("q")).first() == (True, False)
+
+
+def test_layout_functions(spark):
+    lit = [F.lit(v) for v in (0, 0, 4, 2, 5, 0, 4, 4)]
+    style = F.create_map(*(F.lit(x) for x in ("display", "block", "visibility", "visible", "position", "fixed", "z-index", "9")))
+    row = spark.range(1).select(
+        measures.seam_degree(*lit).alias("seam"), measures.in_box(F.lit(1), F.lit(1), F.lit(5), F.lit(5), (1, 1), (9, 9)).alias("box"),
+        measures.in_popup(style, F.lit(40), F.lit(40), F.lit(20), F.lit(20), F.lit(100), F.lit(100)).alias("popup"),
+        measures.in_popup(style, F.lit(0), F.lit(0), F.lit(2), F.lit(2), F.lit(100), F.lit(100)).alias("corner"),
+    ).first()
+    assert tuple(row) == (1.0, True, 1, 0)
+
+
+def test_signing(spark):
+    import base64
+    import hashlib
+    import hmac
+
+    from millrace.functions import signing
+
+    row = spark.createDataFrame([({"b": "x y", "a": "1/2"}, "k", "m")], "p map<string,string>, k string, m string").select(signing.canonical_query(F.col("p")).alias("q"), signing.hmac_sha256("k", "m").alias("h")).first()
+    assert row.q == "a=1%2F2&b=x%20y"
+    assert row.h == base64.b64encode(hmac.new(b"k", b"m", hashlib.sha256).digest()).decode()
+
+
+def test_similar_blocks_split_unlike_children(spark):
+    html = "<div><p>" + "long text " * 30 + "</p><a href=/a></a></div>"
+    pages = spark.createDataFrame([(1, html), (2, "<ul><li>one</li><li>two</li></ul>")], "page_id long, html string")
+    got = sorted((r.page_id, r.path) for r in dom.similar_blocks(dom.nodes(pages), dom.content_vectors(pages)).collect())
+    assert got == [(1, "/div[1]/a[1]"), (1, "/div[1]/p[1]"), (2, "/ul[1]")]
