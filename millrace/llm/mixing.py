@@ -100,8 +100,9 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: f
 
 def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of the mix, each as often as it is drawn; the columns of `docs`. Rows with one doc_id share a fate."""
-    copies = mix(spark, docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0").withColumnRenamed("doc_id", "drawn_id")
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("drawn_id"))).withColumn("copies", F.explode(F.expr("sequence(1, copies)"))).select(*(docs[c] for c in docs.columns))
+    copies = mix(spark, docs).groupBy("doc_id").agg(F.max("copies").alias("__copies")).filter("__copies > 0").withColumnRenamed("doc_id", "__drawn")
+    drawn = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__drawn")))
+    return drawn.withColumn("__nth", F.explode(F.expr("sequence(1, __copies)"))).drop("__copies", "__drawn", "__nth")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,8 +216,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, n: int = 5, least: float =
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     links = scratch.save(both.mapInArrow(verify, "a long, b long").distinct(), "verified")
-    copies = scratch.save(components(scratch, links).filter("node <> root").select(F.col("node").alias("copy_id")).distinct(), "copies")
-    return docs.join(copies, F.col("doc_id") == F.col("copy_id"), "left_anti")
+    copies = scratch.save(components(scratch, links).filter("node <> root").select(F.col("node").alias("__copy")).distinct(), "copies")
+    return docs.join(copies, F.col("doc_id") == F.col("__copy"), "left_anti")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 from millrace.llm import mixing as M
 
-SCHEMA = "doc_id long, text string, source string, size string, row int"
+SCHEMA = "doc_id long, text string, source string, copies string, row int"
 
 
 def frame(spark, rows):
