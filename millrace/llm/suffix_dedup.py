@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from ..session import Scratch, table
 
 LENGTH, SHALLOW = 50, 16
 #: Bytes of text a bucket holds, bytes of text whose anchors a range holds, and suffixes read at once.
-BUCKET_BYTES, RANGE_BYTES, BLOCK = 8 << 20, 16 << 20, 1 << 20
+BUCKET_BYTES, RANGE_BYTES, BLOCK = 2 << 20, 4 << 20, 1 << 17
 LEAST_GROUPS = 64
 NO_ID = np.iinfo(np.int64).max
 _RANDOM = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -277,16 +278,32 @@ def least_ids(strings: np.ndarray, counts: np.ndarray, ids: np.ndarray, length:
 
 # ---------------------------------------------------------------- the passes
 
+#: Neighbourhoods whose suffixes are sorted together, but for an anchor's own, which aren't parted.
+SORTED_AT_ONCE = 4096
+
+
+def slices(groups: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Parts of a sorted array of about `size` items that don't part a group."""
+    at = 0
+    while at < len(groups):
+        end = len(groups) if at + size >= len(groups) else int(np.searchsorted(groups, groups[at + size - 1], "right"))
+        yield at, end
+        at = end
+
 
 def decide(group: pa.Table, length: int) -> pa.Table:
     """All neighbourhoods of a range of anchors -> for each bucket, texts' suffixes to remove: index of
     the text in its bucket, position of the first suffix, and which of it and its neighbours."""
     span = 2 * length - gram_size(length)
+    press = zstandard.ZstdDecompressor()
     blobs = {c: group.column(c).to_pylist() for c in ("anchors", "docs", "texts", "firsts", "counts", "strings")}
     kinds = {"anchors": np.uint64, "docs": np.int64, "texts": np.int32, "firsts": np.int64, "counts": np.uint8, "strings": np.uint8}
+    blobs["strings"] = [press.decompress(x) for x in blobs["strings"]]
     part = {c: np.concatenate([np.frombuffer(x, kinds[c]) for x in blobs[c]]) for c in blobs}
-    bucket = np.repeat(np.array(group.column("bucket").to_pylist(), np.int32), [len(x) // 8 for x in blobs["anchors"]])
-    strings, counts = part["strings"].reshape(-1, span), part["counts"].astype(np.int64)
+    sizes = [len(x) // 8 for x in blobs["anchors"]]
+    bucket = np.repeat(np.array(group.column("bucket").to_pylist(), np.int32), sizes)
+    strings, counts = part.pop("strings").reshape(-1, span), part["counts"].astype(np.int64)
+    blobs.clear()
     # equal neighbourhoods become one, with the least id; a number of the row finds them, its bytes decide
     mark = np.zeros(len(strings), np.uint64)
     for k in range(span):
@@ -306,10 +323,12 @@ def decide(group: pa.Table, length: int) -> pa.Table:
     begin = np.cumsum(counts[first]) - counts[first]
     per_suffix = np.repeat(least, counts[first])
     pick = np.flatnonzero(several)
-    if len(pick):
-        found = least_ids(strings[first[pick]], counts[first[pick]], least[pick], length)
-        sizes = counts[first[pick]]
-        per_suffix[np.repeat(begin[pick] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(found))] = found
+    # equal suffixes have one anchor, so anchors are sorted some at a time
+    for i, j in slices(of[pick], SORTED_AT_ONCE):
+        some = pick[i:j]
+        sizes = counts[first[some]]
+        found = least_ids(strings[first[some]], sizes, least[some], length)
+        per_suffix[np.repeat(begin[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(found))] = found
     # bit k of a text's mask: its k-th suffix here also starts in a document of smaller id
     mask = np.zeros(len(order), np.int64)
     widest = int(counts.max(initial=0))
@@ -347,7 +366,7 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, id_col:
         names = ["range", "bucket", "anchors", "docs", "texts", "firsts", "counts", "strings"]
         types = (pa.int32(), pa.int32(), *(pa.binary(),) * 6)
         wanted = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in known.column("hashes").to_pylist()] or [np.empty(0, np.uint64)]))
-        out = []
+        out, press = [], zstandard.ZstdCompressor(level=1)
         if len(wanted) and texts.num_rows:
             texts = in_order(texts)
             data, starts, ends = joined(texts.column("text"))
@@ -364,8 +383,8 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, id_col:
                 text = np.searchsorted(starts, at, "right") - 1
                 strings = np.lib.stride_tricks.sliding_window_view(padded, span)[at]
                 strings[np.arange(span) >= (counts + length - 1)[:, None]] = 0
-                columns = (hashes, ids[text], text.astype(np.int32), at - starts[text], counts.astype(np.uint8), strings)
-                out += [(r, bucket, *(c[i:j].tobytes() for c in columns)) for r, i, j in cuts_of(where)]
+                columns = (hashes, ids[text], text.astype(np.int32), at - starts[text], counts.astype(np.uint8))
+                out += [(r, bucket, *(c[i:j].tobytes() for c in columns), press.compress(strings[i:j].tobytes())) for r, i, j in cuts_of(where)]
         return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names)
 
     schema = "range int, bucket int, anchors binary, docs binary, texts binary, firsts binary, counts binary, strings binary"

@@ -83,6 +83,15 @@ def test_deep_shallow_order():
         assert len(runs) == len(set(strings))
 
 
+def test_slices_keep_groups_whole():
+    groups = np.repeat(np.arange(50), np.random.default_rng(3).integers(1, 9, 50))
+    for size in (1, 4, 30, 1000):
+        parts = list(S.slices(groups, size))
+        assert [i for i, _ in parts] == [0, *(j for _, j in parts[:-1])] and parts[-1][1] == len(groups)
+        assert all(groups[j - 1] != groups[j] for _, j in parts[:-1])
+    assert list(S.slices(groups[:0], 4)) == []
+
+
 def test_grams_hash_alike():
     data = np.frombuffer(b"abcabcabcabcabcabcabcabcabcx", np.uint8)
     for size in range(1, 25):
