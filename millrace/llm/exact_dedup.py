@@ -7,7 +7,7 @@ hash, or the chunk's own bytes where that hash is shared. Equal recipes mean equ
 recipes are compared from then on, so long texts aren't moved again.
 
 Defined results: a null text counts as empty; an empty text has an empty recipe, and all empty texts
-are equal; rows that repeat both doc_id and text share one fate; other columns are ignored.
+are equal; a null doc_id is below all others, and stays where a text has no other; rows that repeat both doc_id and text share one fate; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch, table
 
 WINDOW = 32
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 512, 11, 16384
+#: Parts in which the rows of one recipe are dealt.
+SALTS = 64
 #: One 64-bit value for each byte: the rolling hash's alphabet.
 GEAR = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 256, dtype=np.uint64)
 
@@ -114,14 +116,19 @@ def exact_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     pieces = chunked(docs, id_col, text_col)
     shared = scratch.save(verified_collisions(pieces, chunk_id), "collisions")
     light = scratch.save(recipes(pieces, None if shared.isEmpty() else shared, chunk_id), "recipes")
-    groups = light.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    return light.join(groups, "recipe").select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    # a recipe's rows are dealt in SALTS parts, each summed alone; a part meets its recipe's totals again
+    # in a join on recipe and part, so that a text that a third of all rows have is nowhere one task's work
+    salted = light.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    parts = salted.groupBy("recipe", "salt").agg(F.max("id").alias("most"), F.count("*").alias("n"))
+    of_recipe = Window.partitionBy("recipe")
+    totals = parts.select("recipe", "salt", F.max("most").over(of_recipe).alias("keep_id"), F.sum("n").over(of_recipe).alias("group_size"))
+    return salted.join(totals, ["recipe", "salt"]).select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose text no row of a larger doc_id has; its columns unchanged."""
-    kept = exact_groups(spark, docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = exact_groups(spark, docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +139,7 @@ OP4_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
        count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 """

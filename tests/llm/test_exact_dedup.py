@@ -49,6 +49,13 @@ def test_dedup_keeps_columns_and_one_row(spark):
     assert sorted(r.doc_id for r in out.collect()) == [2, 4]
 
 
+def test_rows_without_id(spark):
+    rows = [(None, "a"), (1, "a"), (None, "alone")]
+    got = {(r.doc_id, r.keep_id, r.kept) for r in X.exact_groups(spark, frame(spark, rows)).collect()}
+    assert got == {(None, 1, False), (1, 1, True), (None, None, True)}
+    assert "alone" in {r.text for r in X.exact_dedup(spark, frame(spark, rows)).collect()}
+
+
 def test_cuts_depend_on_the_text_alone():
     a = long_text(5, 30_000).encode()
     alone = np.frombuffer(a, np.uint8)
