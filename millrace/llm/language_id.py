@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch, table
 
-PASSAGE, PASSAGES = 400, 100
+PASSAGE, PASSAGES = 400, 65
 BLOCK = 512
 #: Letters kept apart in an automaton: the most frequent ones of all training texts; others are one class.
 ALPHABET = 62
@@ -189,10 +189,14 @@ def training_texts(docs: DataFrame, passages: int = PASSAGES, passage: int = PAS
     """Cleaned training text by language, from labelled documents outside the held-out fold. Rows are
     chosen by the hash of doc_id, with a cut for each language that leaves about twice what is kept."""
     usable = docs.select("doc_id", "lang", "text").filter((fold() != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
     mark = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
-    # a language's share of hashes that leaves 2 * passages rows of it; with fewer rows, all
-    near = usable.withColumn("mark", mark).join(counts.select(F.col("lang").alias("of"), (2.0 * passages / F.col("n")).alias("most")), F.col("lang") == F.col("of")).filter("mark <= most")
+    # a language's share of hashes that leaves 2 * passages rows of it; with fewer rows, all. One row a
+    # language comes to the driver, and the texts that aren't chosen never leave their task.
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
+    most = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, 2.0 * passages / n)))
+    near = usable.withColumn("mark", mark).filter(F.col("mark") <= F.element_at(most, F.col("lang")))
     start = F.floor(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - passage, F.lit(0)) + 1)) + 1
     rows = near.select("lang", "mark", "doc_id", F.substring(F.col("text"), start.cast("int"), F.lit(passage)).alias("passage")).collect()
     out: dict[str, list[str]] = {}
