@@ -29,7 +29,7 @@ from ..session import Scratch, table
 SIZE = 2048
 CLOSING_ID = 0
 #: Words whose ids a worker remembers; those met since then, and as many from before.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Characters whose classes and case are the same to Python and to any tokenizer, and that NFC leaves
 #: alone; a text with others goes to the tokenizer whole.
 UNUSUAL = re.compile("[^\t\n\r -~¡-¬®-±´-¸º»¿-įı-ȶ]")
