@@ -31,7 +31,7 @@ class Scratch:
     """Tables written below the shared folder to cut lineage. They survive lost executors, are
     dropped when told to, and at the latest when the driver's JVM ends."""
 
-    def __init__(self, spark: SparkSession, name: str, batch_bytes: int = 8 << 20):
+    def __init__(self, spark: SparkSession, name: str, batch_bytes: int = 4 << 20):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
         jvm = spark.sparkContext._jvm
