@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch, table
 
-SAMPLE, TRAIN_WORDS, MIN_TEXTS, SATURATION = 5000, 2000, 4, 20
+SAMPLE, TRAIN_WORDS, MIN_TEXTS, SATURATION = 4000, 2000, 4, 20
 Z_LEAST = 4.0
 WORD = re.compile(r"[^\W\d_]+")
 CUT = 0.35
@@ -110,11 +110,13 @@ def train(docs: DataFrame, graded: DataFrame, n_grades: int, sample: int = SAMPL
     """The model from `graded` (doc_id, grade) and the texts of `docs`; None without two grades."""
     chosen = graded.filter(F.col("grade").between(0, n_grades - 1) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
     words = F.slice(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: w != ""), 1, TRAIN_WORDS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", words.alias("words")).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.grade, r.words))
-    if len({r.grade for r in rows}) < 2:
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", words.alias("words"))
+    # as Arrow columns, and a few rows at a time from there: the driver never holds the words as objects
+    held = rows.orderBy("doc_id", "grade", F.xxhash64("words")).select("grade", "words").toArrow()
+    grades = held.column("grade").to_pylist()
+    if len(set(grades)) < 2:
         return None
-    return fit((features(r.words) for r in rows), [r.grade for r in rows], n_grades)
+    return fit((features(w) for batch in held.to_batches(max_chunksize=64) for w in batch.column("words").to_pylist()), grades, n_grades)
 
 
 def predict(docs: DataFrame, model: tuple[dict[str, float], list[float]] | None, cut: float = CUT) -> DataFrame:
