@@ -13,6 +13,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -181,7 +182,7 @@ def _shingle_set(text: str | None, n: int) -> set[bytes]:
 
 
 def candidate_pairs(scratch: Scratch, docs: DataFrame, tables: int = TABLES, radius: int = 2) -> DataFrame:
-    """Pairs (a, b) of ids, a < b, that collide in some table. In a ball each fingerprint is paired with
+    """Some pairs (a, b) of ids, a < b, that collide in a table. In a ball each fingerprint is paired with
     the least one, and of one fingerprint each id with the least and with the one before it: as many
     pairs as rows, however large a group is."""
     prints = scratch.save(word_prints(docs.filter(F.col("doc_id").isNotNull()), tables), "prints")
@@ -201,22 +202,110 @@ def candidate_pairs(scratch: Scratch, docs: DataFrame, tables: int = TABLES, rad
     return scratch.save(found.distinct(), "pairs")
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, n: int = 5, least: float = 0.8, tables: int = TABLES, radius: int = 2) -> DataFrame:
-    """The rows of `docs` without near copies: of documents linked by a similarity of at least `least`
-    over n-word shingles, the one of smallest doc_id stays; rows without doc_id stay. Pairs come from
-    ball hashing of the words' fingerprints, and each is verified on the whole texts."""
-    scratch = Scratch(spark, "near")
-    pairs = candidate_pairs(scratch, docs, tables, radius)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("two")), "b").select("a", "b", "one", "two")
+def _alike(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
+    """Those of `pairs` (a, b) whose whole texts have a similarity of at least `least`."""
+    one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("one")), texts.select(F.col("id").alias("b"), F.col("text").alias("two"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = [similarity(x, y, n) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    links = scratch.save(both.mapInArrow(verify, "a long, b long").distinct(), "verified")
-    copies = scratch.save(components(scratch, links).filter("node <> root").select(F.col("node").alias("__copy")).distinct(), "copies")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(verify, "a long, b long").distinct()
+
+
+def _shingle_keys(text: str | None, n: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's n-word shingles, as signed longs."""
+    blocks = list(shingle_hashes((text or "").encode().lower().split(), n))
+    return np.unique(np.concatenate(blocks).view(np.int64)) if blocks else np.zeros(0, np.int64)
+
+
+#: Texts whose shingles are counted to tell common shingles from rare ones, and the most shingles named common.
+SAMPLE_TEXTS, COMMON = 1 << 12, 1 << 16
+
+
+def common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several texts of a sample hold, and in how many: at most COMMON come
+    to the driver. They only order the shingles of a prefix; every order gives the same links."""
+    share = max(1, texts.count() // SAMPLE_TEXTS)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_keys(text, n))], ["token"])
+
+    sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("text")
+    counts = sample.mapInArrow(scan, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    top = counts.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    tokens, held = (top.column(k).to_numpy() for k in ("token", "n"))
+    order = np.argsort(tokens)
+    return tokens[order], held[order]
+
+
+def prefixes(texts: DataFrame, n: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """id, size and digest of each text's shingle set, its prefix: so many shingles, rare ones first, that two
+    sets of a similarity of at least `least` have one of them in common; and the place of the prefix's end."""
+    known, held = common
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, digests, ends, tokens = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                keys = _shingle_keys(text, n)
+                sizes.append(len(keys))
+                digests.append(xxhash.xxh3_128_digest(keys.tobytes()))
+                at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+                rank = np.where(known[at] == keys, held[at], 0) if len(known) else np.zeros(len(keys), np.int64)
+                take = len(keys) - math.ceil(least * len(keys) - 1e-9) + 1 if len(keys) else 0
+                order = np.lexsort((keys, rank))[:take]
+                ends.append({"rank": int(rank[order[-1]]), "key": int(keys[order[-1]])} if take else None)
+                tokens.append(keys[order].tolist())
+            columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(ends, pa.struct([("rank", pa.int64()), ("key", pa.int64())])), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "size", "digest", "end", "tokens"])
+
+    return texts.select("id", "text").mapInArrow(scan, "id long, size long, digest binary, end struct<rank: long, key: long>, tokens array<long>")
+
+
+def near_links(scratch: Scratch, docs: DataFrame, n: int, least: float, tables: int = TABLES, radius: int = 2) -> DataFrame:
+    """Verified links (a, b) that connect all documents of a similarity of at least `least`, none missed.
+
+    Ball hashing and equal shingle sets first connect large groups with as many pairs as rows. Then an exact
+    prefix join finds the rest: two sets that are alike share shingles of their prefixes. With c of them shared,
+    the set whose prefix ends first has at most c and its shingles after the prefix in common with the other;
+    pairs that can't reach the similarity so, or are connected already, aren't compared."""
+    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
+    near = scratch.save(_alike(candidate_pairs(scratch, docs, tables, radius), texts, n, least), "near")
+    for name in ["prints", "pairs", "balls", *(f"{k}{t}" for k in ("nodes", "pairs") for t in range(tables))]:
+        scratch.drop(name)
+    sets = scratch.save(prefixes(texts, n, least, common_shingles(texts, n)), "sets")
+    first = sets.groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").select("digest", "a")
+    equal = scratch.save(sets.select("digest", F.col("id").alias("b")).join(first, "digest").filter("a < b").select("a", "b").distinct(), "equal")
+    known = scratch.save(near.unionByName(equal).distinct(), "known")
+    roots = scratch.save(components(scratch, known).select(F.col("node").alias("id"), "root").distinct(), "roots")
+    distinct = sets.drop("digest").join(equal.select(F.col("b").alias("id")), "id", "left_anti").join(roots, "id", "left")
+    tokens = distinct.select(F.explode("tokens").alias("token"), "id", "size", "end", F.coalesce("root", "id").alias("root"))
+    # a shingle of one connected group has nothing to compare
+    shared = scratch.save(tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"), "shared")
+    held = scratch.save(tokens.join(shared, "token"), "held")
+    scratch.drop("sets")
+    held = held.select("token", "id", "size", "end", "root")
+    one, two = held.toDF("token", "a", "m", "end_a", "x"), held.toDF("token", "b", "k", "end_b", "y")
+    met = one.join(two, "token").filter((F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & (F.least("m", "k") >= F.greatest("m", "k") * least - 1e-6))
+    after = F.ceil(F.when(F.col("end_a") < F.col("end_b"), F.col("m")).otherwise(F.col("k")) * least - 1e-9) - 1
+    need = (F.col("m") + F.col("k")) * (least / (1 + least)) - 1e-6 - after
+    can = met.select("a", "b", need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need").select("a", "b")
+    rest = scratch.save(_alike(scratch.save(can, "met"), texts, n, least), "rest")
+    scratch.drop("held")
+    return known.unionByName(rest)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, n: int = 5, least: float = 0.8, tables: int = TABLES, radius: int = 2) -> DataFrame:
+    """The rows of `docs` without near copies: of documents linked by a similarity of at least `least`
+    over n-word shingles, the one of smallest doc_id stays; rows without doc_id stay. No such pair is
+    missed (`near_links`), and each is verified on the whole texts or has equal shingle sets."""
+    scratch = Scratch(spark, "near")
+    links = near_links(scratch, docs, n, least, tables, radius)
+    copies = scratch.save(components(scratch, links, "all").filter("node <> root").select(F.col("node").alias("__copy")).distinct(), "copies")
     return docs.join(copies, F.col("doc_id") == F.col("__copy"), "left_anti")
 
 

@@ -42,6 +42,17 @@ def test_near_dedup_verifies_and_survives_odd_rows(spark):
     assert simhash.near_dedup(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_dedup_compares_all_texts_of_one_fingerprint(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    orders = [rng.sample(words, 300) for _ in range(3)]
+    copy = list(orders[1])
+    copy[100], copy[101] = copy[101], copy[100]  # neither the least id nor the one before holds its original
+    rows = [(i + 1, " ".join(w)) for i, w in enumerate([*orders, copy])]
+    kept = simhash.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
+
+
 def test_similarity():
     assert simhash.similarity("A b c d e f", "a B c d e g", 5) == 1 / 3
     assert simhash.similarity(None, " ", 5) == 1.0 and simhash.similarity("a", None, 5) == 0.0
