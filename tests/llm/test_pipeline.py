@@ -53,6 +53,26 @@ def test_near_dedup_compares_all_texts_of_one_fingerprint(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
 
 
+def just_alike(seed, n):
+    """n texts, each with a copy in which so many words are changed that the similarity stays just above 0.8."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        t = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(95, 280))]
+        copy = list(t)
+        for k in range(len(t) // 48):
+            copy[20 + 40 * k] = f"new{i}x{k}"
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(copy))]
+    return rows
+
+
+def test_near_dedup_loses_no_pair(spark):
+    rows = just_alike(5, 60)
+    assert all(simhash.similarity(rows[i][1], rows[i + 1][1], 5) >= 0.8 for i in range(0, 120, 2))
+    kept = simhash.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 120, 2))
+
+
 def test_similarity():
     assert simhash.similarity("A b c d e f", "a B c d e g", 5) == 1 / 3
     assert simhash.similarity(None, " ", 5) == 1.0 and simhash.similarity("a", None, 5) == 0.0
