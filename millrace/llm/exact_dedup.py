@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch, table
+from . import worker
+from .rows import keep_rows
 
 WINDOW = 32
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 512, 11, 16384
@@ -63,6 +65,7 @@ def cut_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[l
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) -> (id, sha256 of the text, its chunks)."""
+    worker.begin("exact_dedup")
     for batch in batches:
         texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
         if not len(texts):
@@ -126,9 +129,10 @@ def exact_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose text no row of a larger doc_id has; its columns unchanged."""
-    kept = exact_groups(spark, docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """Of the rows of `docs` that have one text, one of largest doc_id; its columns unchanged. Rows that share
+    only their doc_id are decided each on its own text; of rows that repeat both, one stays, whichever."""
+    kept = exact_groups(spark, docs).filter("kept").groupBy("doc_id", F.col("text_sha256").alias("sha")).agg(F.count("*").alias("n"))
+    return keep_rows(Scratch(spark, "kept"), docs, kept)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

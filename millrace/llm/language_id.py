@@ -6,35 +6,38 @@ next phrase begins where it stops. The language whose phrases are fewest, for th
 how long matches with its training text are by chance, wins: phrases cost ln(training size) each.
 
 Texts are lower-cased, and runs of anything but letters become one space. Parsing is in blocks of BLOCK
-letters, each begun afresh, so that texts of any length are walked side by side: one step moves every
-block of a batch, in every language, by one letter with a table look-up. All blocks of a text count.
+letters, each begun afresh (which adds less than one phrase a block, in every language alike), so that texts
+of any length are walked side by side: one step moves every block of a batch, in every language, by one
+letter with a table look-up. All blocks of a text count.
 
-Training takes at most PASSAGES passages of PASSAGE characters a language, one a document, from the
-documents of least hash of doc_id; a passage starts at a place in the text that the same hash chooses.
-The automata's tables are bounded by that sample and built once by each Python worker from its texts.
+Training takes whole texts: of each language at most ROWS documents of at most TRAIN_CHARS characters, those
+of least hash of doc_id and text; of more than LANGUAGES labels the most frequent ones are learned. So the
+driver gets at most 2 * LANGUAGES * ROWS such texts, however often rows or ids repeat. It builds the automata;
+workers get them as one packed table of some 20 bytes a letter.
 
 Defined results: `und`, score 0, for a null text or one without letters, and for all if no labelled
-document may be learned from; languages are compared in order of name, ties go to the first; rows that
-repeat a doc_id are predicted each; other columns are ignored.
+document may be learned from; a row without doc_id isn't held out; languages are compared in order of name,
+ties go to the first; rows that repeat a doc_id are predicted each; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import Scratch, table
+from ..session import bound_batches, table
+from . import worker
 
-PASSAGE, PASSAGES = 400, 65
-BLOCK = 512
-#: Letters kept apart in an automaton: the most frequent ones of all training texts; others are one class.
-ALPHABET = 62
+ROWS, TRAIN_CHARS, LANGUAGES = 20, 8000, 256
+BLOCK = 2048
+#: Clean text costs about half of what its letters do, letters at random nearly twice as much.
+FOREIGN, SHORT = 1.25, 24
 HELD_OUT = 2
 UNDETERMINED = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -44,95 +47,113 @@ def cleaned(text: str) -> str:
     return NOT_LETTERS.sub(" ", text.lower()).strip()
 
 
-class Automaton:
-    """The suffix automaton of a sequence of small ints, as one table: next state, 0 where there is none
-    (the start state is 1)."""
-
-    def __init__(self, sequence: list[int], letters: int):
-        following: list[dict[int, int]] = [{}, {}]
-        link, length, last = [0, 0], [0, 0], 1
-        for c in sequence:
-            new = len(following)
-            following.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            p = last
-            while p and c not in following[p]:
-                following[p][c] = new
-                p = link[p]
-            if not p:
-                link[new] = 1
+def automaton(sequence: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton of a sequence: the edges of each state. State 1 is the start, 0 is none."""
+    following: list[dict[int, int]] = [{}, {}]
+    link, length, last = [0, 0], [0, 0], 1
+    for c in sequence:
+        new = len(following)
+        following.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p and c not in following[p]:
+            following[p][c] = new
+            p = link[p]
+        if not p:
+            link[new] = 1
+        else:
+            q = following[p][c]
+            if length[q] == length[p] + 1:
+                link[new] = q
             else:
-                q = following[p][c]
-                if length[q] == length[p] + 1:
-                    link[new] = q
-                else:
-                    copy = len(following)
-                    following.append(dict(following[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p and following[p].get(c) == q:
-                        following[p][c] = copy
-                        p = link[p]
-                    link[q] = link[new] = copy
-            last = new
-        self.table = np.zeros((len(following), letters), np.int32)
-        for state, edges in enumerate(following):
-            for c, to in edges.items():
-                self.table[state, c] = to
+                copy = len(following)
+                following.append(dict(following[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p and following[p].get(c) == q:
+                    following[p][c] = copy
+                    p = link[p]
+                link[q] = link[new] = copy
+        last = new
+    return following
+
+
+class Packed:
+    """Edges of many states in one table, the rows of the states laid over one another: the edge of a state
+    by a letter is at base[state] + letter, if that place is the state's own."""
+
+    def __init__(self, edges: list[dict[int, int]], letters: int):
+        total = sum(map(len, edges))
+        used = bytearray(2 * total + 64 * letters)
+        base = [letters] * len(edges)
+        taken: list[tuple[int, int, int]] = []
+        low = 2 * letters
+        for state in sorted(range(len(edges)), key=lambda s: -len(edges[s])):
+            row = sorted(edges[state])
+            if not row:
+                break
+            at, tries = used.find(0, low), 0
+            more = [c - row[0] for c in row[1:]]
+            while more and any([used[at + d] for d in more]):
+                at, tries = used.find(0, at + 1), tries + 1
+            b = at - row[0]
+            if tries > 64:  # this stretch is nearly full
+                low = at - 32
+            elif len(row) == 1:
+                low = at
+            base[state] = b
+            for c in row:
+                used[b + c] = 1
+                taken.append((b + c, state, edges[state][c]))
+        places = max((t[0] for t in taken), default=0) + 2 * letters
+        self.base = np.array(base, np.int32)
+        self.owner, self.next = np.full(places, -1, np.int32), np.zeros(places, np.int32)
+        at, owner, to = (np.array([t[k] for t in taken], np.int64) for k in range(3))
+        self.owner[at], self.next[at] = owner, to
+
+    def step(self, states: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The states after a letter; 0 where there is no edge."""
+        at = self.base[states] + letter
+        return np.where(self.owner[at] == states, self.next[at], 0)
 
 
 class Model:
-    """Automata of several languages in one table; built from texts, once a worker."""
-
-    built: dict = {}
+    """Automata of several languages; made on the driver, sent to the workers."""
 
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts)
-        counts: dict[str, int] = {}
-        for name in self.names:
-            for ch in texts[name]:
-                counts[ch] = counts.get(ch, 0) + 1
-        kept = sorted(counts, key=lambda ch: (-counts[ch], ch))[:ALPHABET]
-        # 0: a letter unknown to training, which no automaton has; 1: any rare one; then the kept ones
-        self.code = {ch: 1 for ch in counts} | {ch: 2 + i for i, ch in enumerate(kept)}
-        width, parts, starts = ALPHABET + 2, [], []
-        base = 0
+        # 0 is a letter unknown to training, which no automaton has
+        known = sorted({ch for t in texts.values() for ch in t})
+        self.points = np.array([ord(ch) for ch in known], np.int64)
+        code = {ch: 1 + i for i, ch in enumerate(known)}
+        edges, starts = [], []
         for name in self.names:
-            one = Automaton([self.code[ch] for ch in texts[name]], width).table
-            one[one > 0] += base
+            base = len(edges)
             starts.append(base + 1)
-            parts.append(one)
-            base += len(one)
-        self.width, self.table = width, np.concatenate(parts).ravel()
+            edges += [{c: to + base for c, to in row.items()} for row in automaton([code[ch] for ch in texts[name]])]
+        self.packed = Packed(edges, len(known) + 1)
         self.starts = np.array(starts, np.int32)
         self.cost = np.log([max(len(texts[n]), 2) for n in self.names])
-        self.codes = np.zeros(1 << 16, np.uint8)
-        for ch, c in self.code.items():
-            if ord(ch) < 1 << 16:
-                self.codes[ord(ch)] = c
-
-    @classmethod
-    def of(cls, texts: dict[str, str]) -> Model:
-        key = hashlib.sha256(repr(sorted(texts.items())).encode()).digest()
-        if key not in cls.built:
-            cls.built.clear()
-            cls.built[key] = cls(texts)
-        return cls.built[key]
-
-    def encode(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        return self.codes[np.where(points < 1 << 16, points, 0)]
-
-    def phrases(self, texts: list[str]) -> np.ndarray:
+        #: Nats that a letter costs if letters are spelled out.
+        self.letter = math.log(max(len(known), 2))
+
+    def codes(self) -> np.ndarray:
+        """A letter's code by code point."""
+        out = np.zeros(0x110000, np.int32)
+        out[self.points] = np.arange(1, len(self.points) + 1)
+        return out
+
+    def phrases(self, texts: list[str], codes: np.ndarray | None = None) -> np.ndarray:
         """For each cleaned text and language, how many phrases the parse takes."""
         n = len(self.names)
         out = np.zeros((len(texts), n), np.int64)
-        if not texts:
+        codes = self.codes() if codes is None else codes
+        encoded = [codes[np.frombuffer(t.encode("utf-32-le"), np.uint32)] for t in texts]
+        sizes = np.array([len(e) for e in encoded], np.int64)
+        if not sizes.sum():
             return out
-        encoded = [self.encode(t) for t in texts]
-        sizes = np.array([len(e) for e in encoded])
-        whole = np.concatenate([*encoded, np.zeros(BLOCK, np.uint8)])
+        whole = np.concatenate([*encoded, np.zeros(BLOCK, np.int32)])
         firsts = np.cumsum(sizes) - sizes
         blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
@@ -142,42 +163,48 @@ class Model:
         order = np.argsort(-lengths, kind="stable")  # a step moves the blocks that are that long: a prefix
         begin, lengths, owner = begin[order], lengths[order], owner[order]
         active = np.searchsorted(-lengths, -np.arange(BLOCK), "left")  # blocks longer than step k
-        state = np.repeat(self.starts[:, None], len(begin), axis=1)
+        start = self.starts[:, None]
+        state = np.repeat(start, len(begin), axis=1)
         counts = np.ones((n, len(begin)), np.int32)
-        flat, width = self.table, self.width
-        for k in range(int(lengths[0]) if len(lengths) else 0):
+        for k in range(int(lengths[0])):
             m = int(active[k])
-            letter = whole[begin[:m] + k].astype(np.int32)
+            letter = whole[begin[:m] + k]
             here = state[:, :m]
-            to = flat[here * width + letter]
+            to = self.packed.step(here, letter)
             failed = to == 0
             if failed.any():
                 # the phrase ends before this letter, which begins the next one (alone, if it is unknown)
-                counts[:, :m] += failed & (here != self.starts[:, None])
-                again = flat[self.starts[:, None] * width + letter]
-                unknown = failed & (again == 0)
-                counts[:, :m] += unknown
-                to = np.where(failed, np.where(again == 0, self.starts[:, None], again), to)
+                row, col = np.nonzero(failed)
+                first = self.starts[row]
+                again = self.packed.step(first, letter[col])
+                unknown = again == 0
+                counts[row, col] += (here[row, col] != first).astype(np.int32) + unknown
+                to[row, col] = np.where(unknown, first, again)
             state[:, :m] = to
         for j in range(n):
             out[:, j] = np.bincount(owner, counts[j], minlength=len(texts)).astype(np.int64)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None], codes: np.ndarray | None = None) -> tuple[list[str], list[float], list[bool]]:
+        """Language and score of each text, and whether it is in a language at all: false without letters, and
+        where, in texts of SHORT letters and more, even the best language's phrases cost more than FOREIGN times
+        what spelling out every letter does."""
         clean = [cleaned(t) if t else "" for t in texts]
         known = [i for i, c in enumerate(clean) if c]
-        names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        names, scores, told = [UNDETERMINED] * len(texts), [0.0] * len(texts), [False] * len(texts)
         if not known or not self.names:
-            return names, scores
+            return names, scores, told
         sizes = np.array([len(clean[i]) for i in known])
+        phrases = self.phrases([clean[i] for i in known], codes)
         # nats a letter under each language; the shares of 1 / rate, sharpened by the letters seen
-        rates = self.phrases([clean[i] for i in known]) * self.cost / sizes[:, None]
+        rates = phrases * self.cost / sizes[:, None]
         best = rates.argmin(axis=1)
         weight = np.exp(-np.minimum((rates - rates.min(axis=1, keepdims=True)) * sizes[:, None], 700))
         for row, i in enumerate(known):
             names[i] = self.names[best[row]]
             scores[i] = float(weight[row, best[row]] / weight[row].sum())
-        return names, scores
+            told[i] = bool(sizes[row] < SHORT or phrases[row, best[row]] * self.cost[best[row]] <= FOREIGN * sizes[row] * self.letter)
+        return names, scores, told
 
 
 def fold(id_col: str = "doc_id") -> Column:
@@ -185,60 +212,59 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")), F.lit(4)), F.lit(-1))
 
 
-def training_texts(docs: DataFrame, passages: int = PASSAGES, passage: int = PASSAGE) -> dict[str, str]:
-    """Cleaned training text by language, from labelled documents outside the held-out fold. Rows are
-    chosen by the hash of doc_id, with a cut for each language that leaves about twice what is kept."""
-    usable = docs.select("doc_id", "lang", "text").filter((fold() != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    mark = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
-    # a language's share of hashes that leaves 2 * passages rows of it; with fewer rows, all. One row a
-    # language comes to the driver, and the texts that aren't chosen never leave their task.
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+def training_texts(docs: DataFrame, rows: int = ROWS, chars: int = TRAIN_CHARS, languages: int = LANGUAGES) -> dict[str, str]:
+    """Cleaned training text by language, from labelled documents outside the held-out fold: at most `rows`
+    whole texts of at most `chars` characters for each of at most `languages` languages."""
+    mark = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
+    usable = docs.select("lang", "text", mark.alias("mark")).filter((fold() != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") <= chars) & F.col("text").rlike(r"\p{L}"))
+    # a language's share of marks that leaves about 3 * rows of them; with fewer, all. Rows that repeat are one.
+    sums = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("mark").alias("marks")).orderBy(F.desc("n"), "lang").limit(languages)
+    share = {r.lang: 1.0 if r.marks < 4 * rows else 3.0 * rows / r.marks for r in sums.collect()}
+    if not share:
         return {}
-    most = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, 2.0 * passages / n)))
-    near = usable.withColumn("mark", mark).filter(F.col("mark") <= F.element_at(most, F.col("lang")))
-    start = F.floor(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - passage, F.lit(0)) + 1)) + 1
-    rows = near.select("lang", "mark", "doc_id", F.substring(F.col("text"), start.cast("int"), F.lit(passage)).alias("passage")).collect()
+    most = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))
+    near = usable.filter(F.col("mark") <= F.element_at(most, F.col("lang"))).groupBy("lang", "mark").agg(F.min("text").alias("text"))
+    chosen = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).filter(F.col("nth") <= rows)
     out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.mark, r.doc_id, r.passage)):
-        if len(out.setdefault(r.lang, [])) < passages and (c := cleaned(r.passage)):
-            out[r.lang].append(c)
-    return {lang: " ".join(parts) for lang, parts in out.items() if parts}
+    for r in sorted(chosen.select("lang", "mark", "text").collect(), key=lambda r: (r.lang, r.mark)):
+        if c := cleaned(r.text):
+            out.setdefault(r.lang, []).append(c)
+    return {lang: " ".join(parts) for lang, parts in out.items()}
 
 
 def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """doc_id, lang_pred and score of each row, from its text alone."""
+    """doc_id, lang_pred, score and told (`Model.predict`) of each row, from its text alone."""
+    model = Model(texts)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.of(texts) if texts else None
+        worker.begin("language_id")
+        codes = model.codes()
         for batch in batches:
-            rows = batch.column(1).to_pylist()
-            names, scores = model.predict(rows) if model else ([UNDETERMINED] * len(rows), [0.0] * len(rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            names, scores, told = model.predict(batch.column(1).to_pylist(), codes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(told, pa.bool_())], ["doc_id", "lang_pred", "score", "told"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, lang_pred string, score double, told boolean")
 
 
 def accepted(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose language can be told: texts with letters. Same columns."""
-    Scratch(spark, "lang")
-    texts = training_texts(docs)
-    fields = docs.schema
+    """The rows of `docs` that are in one of the languages learned from it (`told`): texts without letters and
+    texts that no language parses better than letter by letter (times FOREIGN) go; very short ones have the benefit of the
+    doubt. With nothing to learn from, letters alone decide. Same columns; rows that repeat share a fate."""
+    bound_batches(spark, 4 << 20)
+    model = Model(training_texts(docs))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.of(texts) if texts else None
+        worker.begin("language_id")
+        codes = model.codes()
         for batch in batches:
             rows = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            if model:
-                names = model.predict(rows)[0]
-            else:  # nothing to learn from: letters alone decide
-                names = [UNDETERMINED if not t or not cleaned(t) else "" for t in rows]
-            yield batch.filter(pa.array([name != UNDETERMINED for name in names], pa.bool_()))
+            told = model.predict(rows, codes)[2] if model.names else [bool(t and cleaned(t)) for t in rows]
+            yield batch.filter(pa.array(told, pa.bool_()))
 
-    return docs.mapInArrow(scan, fields)
+    return docs.mapInArrow(scan, docs.schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    Scratch(spark, "lang")
+    bound_batches(spark, 4 << 20)
     docs = table(spark, sf_dir, "documents")
     return identify(docs, training_texts(docs)).withColumn("held_out", fold() == HELD_OUT).select("doc_id", "held_out", "lang_pred", "score")

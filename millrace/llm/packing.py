@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch, table
+from . import worker
 
 SIZE = 2048
 CLOSING_ID = 0
-#: Words whose ids a worker remembers; those met since then, and as many from before.
-CACHE_WORDS = 250_000
+#: Words whose ids a worker remembers until another operator begins; those met since then, and as many from before.
+CACHE_WORDS = 150_000
 #: Characters whose classes and case are the same to Python and to any tokenizer, and that NFC leaves
 #: alone; a text with others goes to the tokenizer whole.
 UNUSUAL = re.compile("[^\t\n\r -~¡-¬®-±´-¸º»¿-įı-ȶ]")
@@ -42,8 +43,6 @@ WORD = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9{LETTERS}]+
 class WordTokenizer:
     """Ids of whole texts by a lower-casing BPE with word ends, each distinct word encoded once."""
 
-    made: dict = {}
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -58,9 +57,7 @@ class WordTokenizer:
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
-        if path not in cls.made:
-            cls.made[path] = cls(path)
-        return cls.made[path]
+        return worker.kept(path, lambda: cls(path))
 
     def plain(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -101,6 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, id_col: str = "doc
     """doc_id, piece, start, length, ids_crc32 of each piece of at most `size` tokens."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("packing")
         encode = WordTokenizer.of(tokenizer).encode
         closing, wide = CLOSING_ID.to_bytes(4, "little"), 4 * size
         for batch in batches:
@@ -197,6 +195,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, size: int = SIZE)
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("packing")
         for batch in batches:
             length, rank = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5))
             row = np.searchsorted(keys, (length << 48) + rank, "right") - 1

@@ -13,6 +13,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -20,10 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch, table
+from . import worker
+from .rows import keep_rows, text_sha
 
 SEED = 42
 BLOCK = 1 << 16
@@ -59,6 +62,7 @@ def fingerprints(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str
     """id and fp (the fingerprint as a signed long) of each row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("simhash")
         for batch in batches:
             seen: dict = {}
             out = []
@@ -82,8 +86,9 @@ def _ball(fp: str, half: int) -> str:
 NODES_A_TASK = 1 << 14
 
 
-def ball_links(scratch: Scratch, nodes: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b), a < b, that connect all fingerprints of `nodes` (fp, distinct) within `radius` bits.
+def ball_links(scratch: Scratch, nodes: DataFrame, radius: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Links (a, b), a < b, that connect all fingerprints of `nodes` (fp, distinct) within `radius` bits; with
+    `keys`, columns of `nodes`, those of equal keys.
 
     Fingerprints that share a variant lie within radius of each other, so linking the least of them to
     each other one keeps every class whole; links between two members of a ball that both have a link
@@ -91,14 +96,15 @@ def ball_links(scratch: Scratch, nodes: DataFrame, radius: int) -> DataFrame:
     if radius not in (0, 2):
         raise ValueError("radius 0 or 2")
     half = radius // 2
-    spread = nodes.select("fp").repartition(1 + nodes.count() // NODES_A_TASK, "fp")
-    variants = spread.select("fp", F.explode(F.expr(_ball("fp", half))).alias("v"))
+    spread = nodes.select(*keys, "fp").repartition(1 + nodes.count() // NODES_A_TASK, "fp")
+    variants = spread.select(*keys, "fp", F.explode(F.expr(_ball("fp", half))).alias("v"))
     # most variants are met once, so they move as they are rather than summed up first
-    balls = variants.repartition("v").groupBy("v").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
+    balls = variants.repartition(*keys, "v").groupBy(*keys, "v").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
     found = scratch.save(balls, "balls")
     # a ball of two: its ends; of more: the members are among the ball's centre and its neighbours
-    pairs = found.filter("n = 2").select("a", "b")
-    more = found.filter("n > 2").select("a", F.explode(F.expr(_ball("v", half))).alias("b")).join(nodes.select(F.col("fp").alias("b")), "b", "left_semi").filter("a < b").select("a", "b")
+    pairs = found.filter("n = 2").select(*keys, "a", "b")
+    members = nodes.select(*keys, F.col("fp").alias("b"))
+    more = found.filter("n > 2").select(*keys, "a", F.explode(F.expr(_ball("v", half))).alias("b")).join(members, [*keys, "b"], "left_semi").filter("a < b").select(*keys, "a", "b")
     return pairs.unionByName(more).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
@@ -141,33 +147,27 @@ def near_components(spark: SparkSession, docs: DataFrame, n: int = 5, radius: in
 
 #: Fingerprints of its words that a text gets when near copies are sought by similarity.
 TABLES = 8
+#: Texts whose shingles are counted to tell common shingles from rare ones, and the most shingles named common.
+SAMPLE_TEXTS, COMMON = 1 << 12, 1 << 16
 
 
-def word_prints(docs: DataFrame, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fps: `tables` independent SimHash fingerprints of each text's words, a word weighing the
-    root of its count. A near copy's words change little, so some of its fingerprints come close."""
+def word_prints(words: list[bytes], tables: int = TABLES) -> list[int]:
+    """`tables` independent SimHash fingerprints of a text's words, a word weighing the root of its count.
+    A near copy's words change little, so some of its fingerprints come close. Without words, zeros."""
+    counts = Counter(words)
+    if not counts:
+        return [0] * tables
     steps = np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-    def prints(text: str | None) -> list[int]:
-        counts = Counter((text or "").encode().lower().split())
-        if not counts:
-            return [0] * tables
-        base = np.fromiter([xxhash.xxh64_intdigest(w, SEED) for w in counts], np.uint64)
-        weights = np.floor(np.sqrt(np.fromiter(counts.values(), np.float64)) * 256)
-        total, sums = weights.sum(), np.zeros(64 * tables)
-        for at in range(0, len(base), 4096):
-            mixed = base[at : at + 4096, None] + steps
-            mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-            bits = np.unpackbits((mixed ^ mixed >> np.uint64(31)).view(np.uint8).reshape(len(mixed), -1), axis=1, bitorder="little")
-            sums += weights[at : at + 4096] @ bits.astype(np.float64)  # whole numbers: exact in any order
-        return np.packbits(2 * sums > total, bitorder="little").view(np.int64).tolist()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([prints(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "fps"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, "id long, fps array<long>")
+    base = np.fromiter([xxhash.xxh64_intdigest(w, SEED) for w in counts], np.uint64)
+    weights = np.floor(np.sqrt(np.fromiter(counts.values(), np.float64)) * 256)
+    total, sums = weights.sum(), np.zeros(64 * tables)
+    for at in range(0, len(base), 4096):
+        mixed = base[at : at + 4096, None] + steps
+        mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((mixed ^ mixed >> np.uint64(31)).view(np.uint8).reshape(len(mixed), -1), axis=1, bitorder="little")
+        sums += weights[at : at + 4096] @ bits.astype(np.float64)  # whole numbers: exact in any order
+    return np.packbits(2 * sums > total, bitorder="little").view(np.int64).tolist()
 
 
 def similarity(one: str | None, two: str | None, n: int) -> float:
@@ -181,60 +181,24 @@ def _shingle_set(text: str | None, n: int) -> set[bytes]:
     return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
-def candidate_pairs(scratch: Scratch, docs: DataFrame, tables: int = TABLES, radius: int = 2) -> DataFrame:
-    """Some pairs (a, b) of ids, a < b, that collide in a table. In a ball each fingerprint is paired with
-    the least one, and of one fingerprint each id with the least and with the one before it: as many
-    pairs as rows, however large a group is."""
-    prints = scratch.save(word_prints(docs.filter(F.col("doc_id").isNotNull()), tables), "prints")
-    found = None
-    for t in range(tables):
-        own = prints.select("id", F.element_at("fps", t + 1).alias("fp"))
-        nodes = scratch.save(own.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), f"nodes{t}")
-        links = ball_links(scratch, nodes, radius)
-        one, two = nodes.select(F.col("fp").alias("a"), F.col("rep").alias("x")), nodes.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
-        across = links.join(one, "a").join(two, "b").select("x", "y")
-        shared = own.join(nodes.filter("n > 1").select("fp", "rep"), "fp")
-        before = F.lag("id").over(Window.partitionBy("fp").orderBy("id"))
-        inside = shared.withColumn("before", before).select(F.explode(F.array("rep", "before")).alias("x"), F.col("id").alias("y"))
-        pairs = across.unionByName(inside).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        table_pairs = scratch.save(pairs, f"pairs{t}")
-        found = table_pairs if found is None else found.unionByName(table_pairs)
-    return scratch.save(found.distinct(), "pairs")
-
-
-def _alike(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
-    """Those of `pairs` (a, b) whose whole texts have a similarity of at least `least`."""
-    one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("one")), texts.select(F.col("id").alias("b"), F.col("text").alias("two"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = [similarity(x, y, n) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
-
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(verify, "a long, b long").distinct()
-
-
-def _shingle_keys(text: str | None, n: int) -> np.ndarray:
+def _shingle_keys(words: list[bytes], n: int) -> np.ndarray:
     """The sorted distinct hashes of a text's n-word shingles, as signed longs."""
-    blocks = list(shingle_hashes((text or "").encode().lower().split(), n))
+    blocks = list(shingle_hashes(words, n))
     return np.unique(np.concatenate(blocks).view(np.int64)) if blocks else np.zeros(0, np.int64)
 
 
-#: Texts whose shingles are counted to tell common shingles from rare ones, and the most shingles named common.
-SAMPLE_TEXTS, COMMON = 1 << 12, 1 << 16
-
-
-def common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that several texts of a sample hold, and in how many: at most COMMON come
     to the driver. They only order the shingles of a prefix; every order gives the same links."""
-    share = max(1, texts.count() // SAMPLE_TEXTS)
+    share = max(1, docs.count() // SAMPLE_TEXTS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("near_dedup")
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_shingle_keys(text, n))], ["token"])
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_keys((text or "").encode().lower().split(), n))], ["token"])
 
-    sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("text")
+    sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
     counts = sample.mapInArrow(scan, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     top = counts.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
     tokens, held = (top.column(k).to_numpy() for k in ("token", "n"))
@@ -242,71 +206,149 @@ def common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], held[order]
 
 
-def prefixes(texts: DataFrame, n: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """id, size and digest of each text's shingle set, its prefix: so many shingles, rare ones first, that two
-    sets of a similarity of at least `least` have one of them in common; and the place of the prefix's end."""
+def described(docs: DataFrame, n: int, least: float, common: tuple[np.ndarray, np.ndarray], tables: int = TABLES) -> DataFrame:
+    """For each row: doc_id, sha of its text, the fps of its words, the size of its shingle set, and the set's
+    prefix (tokens): so many shingles, rare ones first, that two sets of a similarity of at least `least` have
+    one of them in common; and the place (end) where the prefix ends in that order."""
     known, held = common
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("near_dedup")
         for batch in batches:
-            sizes, digests, ends, tokens = [], [], [], []
+            out: tuple[list, ...] = ([], [], [], [], [])
             for text in batch.column(1).to_pylist():
-                keys = _shingle_keys(text, n)
-                sizes.append(len(keys))
-                digests.append(xxhash.xxh3_128_digest(keys.tobytes()))
+                raw = (text or "").encode()
+                words = raw.lower().split()
+                keys = _shingle_keys(words, n)
                 at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
                 rank = np.where(known[at] == keys, held[at], 0) if len(known) else np.zeros(len(keys), np.int64)
                 take = len(keys) - math.ceil(least * len(keys) - 1e-9) + 1 if len(keys) else 0
                 order = np.lexsort((keys, rank))[:take]
-                ends.append({"rank": int(rank[order[-1]]), "key": int(keys[order[-1]])} if take else None)
-                tokens.append(keys[order].tolist())
-            columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(ends, pa.struct([("rank", pa.int64()), ("key", pa.int64())])), pa.array(tokens, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "size", "digest", "end", "tokens"])
-
-    return texts.select("id", "text").mapInArrow(scan, "id long, size long, digest binary, end struct<rank: long, key: long>, tokens array<long>")
-
-
-def near_links(scratch: Scratch, docs: DataFrame, n: int, least: float, tables: int = TABLES, radius: int = 2) -> DataFrame:
-    """Verified links (a, b) that connect all documents of a similarity of at least `least`, none missed.
-
-    Ball hashing and equal shingle sets first connect large groups with as many pairs as rows. Then an exact
-    prefix join finds the rest: two sets that are alike share shingles of their prefixes. With c of them shared,
-    the set whose prefix ends first has at most c and its shingles after the prefix in common with the other;
-    pairs that can't reach the similarity so, or are connected already, aren't compared."""
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
-    near = scratch.save(_alike(candidate_pairs(scratch, docs, tables, radius), texts, n, least), "near")
-    for name in ["prints", "pairs", "balls", *(f"{k}{t}" for k in ("nodes", "pairs") for t in range(tables))]:
-        scratch.drop(name)
-    sets = scratch.save(prefixes(texts, n, least, common_shingles(texts, n)), "sets")
-    first = sets.groupBy("digest").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").select("digest", "a")
-    equal = scratch.save(sets.select("digest", F.col("id").alias("b")).join(first, "digest").filter("a < b").select("a", "b").distinct(), "equal")
-    known = scratch.save(near.unionByName(equal).distinct(), "known")
-    roots = scratch.save(components(scratch, known).select(F.col("node").alias("id"), "root").distinct(), "roots")
-    distinct = sets.drop("digest").join(equal.select(F.col("b").alias("id")), "id", "left_anti").join(roots, "id", "left")
-    tokens = distinct.select(F.explode("tokens").alias("token"), "id", "size", "end", F.coalesce("root", "id").alias("root"))
-    # a shingle of one connected group has nothing to compare
-    shared = scratch.save(tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"), "shared")
-    held = scratch.save(tokens.join(shared, "token"), "held")
-    scratch.drop("sets")
-    held = held.select("token", "id", "size", "end", "root")
-    one, two = held.toDF("token", "a", "m", "end_a", "x"), held.toDF("token", "b", "k", "end_b", "y")
-    met = one.join(two, "token").filter((F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & (F.least("m", "k") >= F.greatest("m", "k") * least - 1e-6))
+                end = {"rank": int(rank[order[-1]]), "key": int(keys[order[-1]])} if take else None
+                for column, value in zip(out, (hashlib.sha256(raw).hexdigest(), word_prints(words, tables), len(keys), end, keys[order])):
+                    column.append(value)
+            types = (pa.string(), pa.list_(pa.int64()), pa.int64(), pa.struct([("rank", pa.int64()), ("key", pa.int64())]), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, types))], ["doc_id", "sha", "fps", "size", "end", "tokens"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(scan, "doc_id long, sha string, fps array<long>, size long, end struct<rank: long, key: long>, tokens array<long>")
+
+
+#: Tables whose variants are shuffled at once.
+AT_ONCE = 4
+
+
+def ball_pairs(scratch: Scratch, sets: DataFrame, tables: int = TABLES, radius: int = 2) -> DataFrame:
+    """Some pairs (a, b) of ids, a < b, that collide in a table (t). In a ball each fingerprint is paired with
+    the least one, and of one fingerprint each id with the least: as many pairs as rows, however large a
+    group is."""
+    found = None
+    for first in range(0, tables, AT_ONCE):
+        own = sets.select("id", F.posexplode(F.slice("fps", first + 1, AT_ONCE)).alias("t", "fp"))
+        nodes = scratch.save(own.groupBy("t", "fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), f"nodes{first}")
+        links = ball_links(scratch, nodes, radius, ("t",))
+        one, two = nodes.select("t", F.col("fp").alias("a"), F.col("rep").alias("x")), nodes.select("t", F.col("fp").alias("b"), F.col("rep").alias("y"))
+        across = links.join(one, ["t", "a"]).join(two, ["t", "b"]).select("x", "y")
+        inside = own.join(nodes.filter("n > 1").select("t", "fp", "rep"), ["t", "fp"]).select(F.col("rep").alias("x"), F.col("id").alias("y"))
+        pairs = across.unionByName(inside).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        some = scratch.save(pairs, f"pairs{first}")
+        scratch.drop(f"nodes{first}", "balls")
+        found = some if found is None else found.unionByName(some)
+    return found.distinct()
+
+
+#: Texts to compare whose digests are broadcast, to pick them out without moving the others; of more, both sides move.
+BROADCAST_ROWS = 100_000
+
+
+def _alike(scratch: Scratch, pairs: DataFrame, docs: DataFrame, ids: DataFrame, n: int, least: float) -> DataFrame:
+    """Those of `pairs` (a, b) whose whole texts have a similarity of at least `least`; `ids` (id, sha) names the texts."""
+    needed = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(ids, "id"), "needed")
+    few = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    rows = docs.select(text_sha().alias("sha"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = scratch.save(rows.join(few, "sha").groupBy("id").agg(F.first("text").alias("text")), "texts")
+    one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("one")), texts.select(F.col("id").alias("b"), F.col("text").alias("two"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("near_dedup")
+        for batch in batches:
+            alike = [similarity(x, y, n) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(verify, "a long, b long")
+
+
+def prefix_tokens(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, size, end, root and tokens: the shingles of a set's prefix that several components (root) hold, the
+    rarest first. A shingle of one connected group, or of one text, has nothing to compare."""
+    of = sets.select("id", "size", "end", "tokens").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    tokens = of.select(F.explode("tokens").alias("token"), "id", "size", "end", "root")
+    shared = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("held")).filter("lo < hi").select("token", "held")
+    listed = tokens.join(shared, "token").groupBy("id", "size", "end", "root").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("tokens"))
+    return listed.withColumn("tokens", F.col("tokens.token"))
+
+
+def _need(least: float) -> Column:
+    """How many shingles of their lists two sets (sizes m and k, ends end_a and end_b) must share. The set whose
+    prefix ends first has at most those and its shingles after the prefix in common with the other."""
     after = F.ceil(F.when(F.col("end_a") < F.col("end_b"), F.col("m")).otherwise(F.col("k")) * least - 1e-9) - 1
-    need = (F.col("m") + F.col("k")) * (least / (1 + least)) - 1e-6 - after
-    can = met.select("a", "b", need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need").select("a", "b")
-    rest = scratch.save(_alike(scratch.save(can, "met"), texts, n, least), "rest")
-    scratch.drop("held")
-    return known.unionByName(rest)
+    return F.greatest(F.lit(1), F.ceil((F.col("m") + F.col("k")) * (least / (1 + least)) - 1e-6 - after))
+
+
+def met_pairs(scratch: Scratch, held: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of ids in different components that can reach the similarity. Where two lists of h and g
+    shingles must share `need`, in one order, the first that they share is among the first h - need + 1 of the
+    one and g - need + 1 of the other; rare ones come first, so that common ones seldom bring sets together."""
+    rows = held.select(F.posexplode("tokens").alias("at", "token"), "id", "size", "end", "root", F.size("tokens").alias("listed"))
+    one, two = rows.toDF("at_a", "token", "a", "m", "end_a", "x", "has_a"), rows.toDF("at_b", "token", "b", "k", "end_b", "y", "has_b")
+    alike = (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & (F.least("m", "k") >= F.greatest("m", "k") * least - 1e-6)
+    can = alike & (F.least(F.col("has_a") - F.col("at_a"), F.col("has_b") - F.col("at_b")) >= _need(least))
+    met = one.alias("one").join(two.alias("two"), (F.col("one.token") == F.col("two.token")) & can)
+    pairs = scratch.save(met.select("a", "b", _need(least).alias("need")).distinct(), "met")
+    lists = held.select("id", "tokens")
+    both = pairs.join(lists.toDF("a", "one"), "a").join(lists.toDF("b", "two"), "b")
+    return both.filter(F.size(F.array_intersect("one", "two")) >= F.col("need")).select("a", "b")
+
+
+def near_links(scratch: Scratch, sets: DataFrame, docs: DataFrame, n: int, least: float, tables: int = TABLES, radius: int = 2) -> DataFrame:
+    """Verified links (a, b) that connect all `sets` of a similarity of at least `least`, none missed.
+
+    Ball hashing first connects large groups with as many pairs as rows. An exact prefix join then compares all
+    that can be alike and isn't connected yet."""
+    ids = sets.select("id", "sha")
+    near = scratch.save(_alike(scratch, scratch.save(ball_pairs(scratch, sets, tables, radius), "pairs"), docs, ids, n, least), "near")
+    scratch.drop(*(f"pairs{t}" for t in range(0, tables, AT_ONCE)), "pairs")
+    roots = scratch.save(components(scratch, near).select(F.col("node").alias("id"), "root").distinct(), "roots")
+    can = scratch.save(met_pairs(scratch, scratch.save(prefix_tokens(sets, roots), "held"), least), "can")
+    scratch.drop("held", "roots", "met")
+    rest = scratch.save(_alike(scratch, can, docs, ids, n, least), "rest")
+    scratch.drop("can", "needed", "texts")
+    return near.unionByName(rest)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, n: int = 5, least: float = 0.8, tables: int = TABLES, radius: int = 2) -> DataFrame:
-    """The rows of `docs` without near copies: of documents linked by a similarity of at least `least`
-    over n-word shingles, the one of smallest doc_id stays; rows without doc_id stay. No such pair is
-    missed (`near_links`), and each is verified on the whole texts or has equal shingle sets."""
+    """The rows of `docs` without near copies: of texts linked by a similarity of at least `least` over n-word
+    shingles, the row of smallest doc_id stays. No such pair is missed (`near_links`); each is verified on the
+    whole texts.
+
+    Defined results: a null text is empty; all texts without words are copies of each other; rows without
+    doc_id come after all others, and of those the one of least digest stays; of rows that repeat doc_id and
+    text one stays, whichever; rows that share only their doc_id are decided each on its own text; columns as
+    in `docs`; an empty table stays empty."""
     scratch = Scratch(spark, "near")
-    links = near_links(scratch, docs, n, least, tables, radius)
-    copies = scratch.save(components(scratch, links, "all").filter("node <> root").select(F.col("node").alias("__copy")).distinct(), "copies")
-    return docs.join(copies, F.col("doc_id") == F.col("__copy"), "left_anti")
+    every = scratch.save(described(docs, n, least, common_shingles(docs, n), tables), "every")
+    rows = scratch.save(every.groupBy("doc_id", "sha").agg(F.count("*").alias("n")), "rows")
+    # one line a distinct text; its number is fixed by being written
+    distinct = every.groupBy("sha").agg(F.first("fps").alias("fps"), F.first("size").alias("size"), F.first("end").alias("end"), F.first("tokens").alias("tokens"))
+    sets = scratch.save(distinct.select(F.monotonically_increasing_id().alias("id"), "*"), "sets")
+    scratch.drop("every")
+    ids = sets.select("id", "sha")
+    links = near_links(scratch, sets, docs, n, least, tables, radius)
+    roots = components(scratch, links, "all").select(F.col("node").alias("id"), "root").distinct()
+    named = scratch.save(ids.join(roots, "id", "left").select("sha", F.coalesce("root", "id").alias("root")), "named")
+    scratch.drop("sets")
+    first = rows.join(named, "sha").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sha", "n")).alias("first"))
+    return keep_rows(scratch, docs, first.select("first.doc_id", "first.sha", "first.n"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,13 @@ def test_dedup_keeps_columns_and_one_row(spark):
     assert sorted(r.doc_id for r in out.collect()) == [2, 4]
 
 
+def test_dedup_decides_by_row(spark):
+    rows = [(5, "A"), (5, "B"), (9, "A"), (7, "C"), (7, "C"), (None, "D"), (None, "D"), (None, "A")]
+    out = X.exact_dedup(spark, frame(spark, rows))
+    assert sorted(((r.doc_id or 0), r.text) for r in out.collect()) == [(0, "D"), (5, "B"), (7, "C"), (9, "A")]
+    assert out.columns == ["doc_id", "text", "recipe", "id"]
+
+
 def test_rows_without_id(spark):
     rows = [(None, "a"), (1, "a"), (None, "alone")]
     got = {(r.doc_id, r.keep_id, r.kept) for r in X.exact_groups(spark, frame(spark, rows)).collect()}

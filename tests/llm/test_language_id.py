@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.llm import language_id as L
@@ -41,18 +42,44 @@ def test_phrases_match_brute_force(monkeypatch):
 def test_automaton_knows_substrings_alone():
     rng = random.Random(2)
     seq = [rng.randint(1, 3) for _ in range(60)]
-    table = L.Automaton(seq, 5).table
+    edges = L.automaton(seq)
+    packed = L.Packed(edges, 5)
     have = {tuple(seq[i:j]) for i in range(60) for j in range(i + 1, min(61, i + 7))}
     for _ in range(2000):
-        word = tuple(rng.randint(1, 3) for _ in range(rng.randint(1, 6)))
+        word = tuple(rng.randint(1, 4) for _ in range(rng.randint(1, 6)))
         state = 1
         for c in word:
-            state = table[state, c]
+            assert packed.step(np.array([state]), np.array([c]))[0] == edges[state].get(c, 0)
+            state = edges[state].get(c, 0)
             if not state:
                 break
         assert bool(state) == (word in have)
 
 
+def test_letters_of_any_script_count(spark):
+    texts = {"x": "".join(map(chr, range(0x4E00, 0x4E00 + 900))), "y": "".join(map(chr, range(0x10400, 0x10428)))}
+    model = L.Model(texts)
+    assert model.predict([texts["x"][100:160], texts["y"][5:20].lower(), "plain"])[0][0] == "x"
+    assert model.phrases([L.cleaned(texts["x"])]).tolist()[0][0] == 1
+
+
+def test_texts_of_no_language_go(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(150)]
+    clean = [(i, " ".join(rng.choice(words) for _ in range(80)), "en", "") for i in range(60)]
+    junk = [(100 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(80)), None, "") for i in range(20)]
+    short = [(200, "qx", None, "")]
+    kept = {r.doc_id for r in L.accepted(spark, spark.createDataFrame(clean + junk + short, SCHEMA)).collect()}
+    assert kept == {r[0] for r in clean + short}
+
+
+def test_training_rows_are_bounded(spark):
+    rows = [(None, f"words of row {'abcdefghij'[i % 10] * (1 + i // 1000)}", "en", "") for i in range(20000)] + [(8, "one repeated row", "fr", "")] * 20000 + [(9, "w " * 9000, "de", "")]
+    texts = L.training_texts(spark.createDataFrame(rows, SCHEMA), rows=10)
+    assert sorted(texts) == ["en", "fr"] and texts["fr"] == "one repeated row" and texts["en"].count("words") == 10
+    assert len(L.training_texts(spark.createDataFrame([(i, "text", f"l{i}", "") for i in range(40)], SCHEMA), languages=5)) == 5
+
+
 def test_undetermined_and_long(spark):
     rows = [(1, None, None, ""), (2, "", "x", ""), (3, " 12 .!? _ \n", "x", ""), (4, "the cat and the dog", "en", ""), (5, "der hund und die katze", "de", ""), (6, "the dog and the cat " * 4000, None, ""), (7, "…日本語…", None, "")]
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -72,8 +99,8 @@ def test_fold_is_crc32(spark):
 
 def test_learns_outside_the_fold_only(spark):
     rows = [(i, f"secret{'x' * (i % 5)}" if zlib.crc32(str(i).encode()) % 4 == 2 else "open words here", "en" if i % 2 else None, "") for i in range(300)]
-    texts = L.training_texts(spark.createDataFrame(rows, SCHEMA), passages=20)
-    assert list(texts) == ["en"] and "secret" not in texts["en"] and texts["en"].count("open") == 20
+    texts = L.training_texts(spark.createDataFrame(rows, SCHEMA), rows=20)
+    assert list(texts) == ["en"] and "secret" not in texts["en"] and 1 <= texts["en"].count("open") <= 20
     assert L.training_texts(spark.createDataFrame([], SCHEMA)) == {}
 
 

@@ -61,16 +61,32 @@ def test_mix(spark, seed, weights, share):
         assert abs(taken[s] - want[s]) <= max(5, 0.01 * by[s])
 
 
+def test_inclusion_is_unequal_and_as_stated(spark):
+    """Of documents of one class of length, the share that is drawn once more is p; classes differ in it."""
+    rows = [(i, "w " * (3, 10, 40, 160)[i % 4], "a" if i % 3 else "b") for i in range(12000)]
+    got = M.mix(spark, frame(spark, rows), (1, 3), 0.6).collect()
+    by = {}
+    for r in got:
+        assert r.copies in (int(r.copies > 0),) and r.copies <= 1 or r.source == "b"
+        by.setdefault((r.source, r.size), []).append((r.copies, r.p))
+    rates = {}
+    for key, drawn in by.items():
+        expected = drawn[0][1] + (1 if min(c for c, _ in drawn) >= 1 else 0)
+        rates[key] = sum(c for c, _ in drawn) / len(drawn)
+        assert abs(rates[key] - expected) < 0.05, key
+    assert rates["a", 160] > 2 * rates["a", 10] > 2 * rates["a", 3] > 0  # alike for all, it would be no such sample
+
+
 def test_order_is_by_odds(spark):
     """The sample is the head of the ranking by random odds over inclusion odds, but for the closing document."""
-    rows = [(i, "w " * (1 + i % 7), "a" if i % 3 else "b") for i in range(3000)]
-    got = M.mix(spark, frame(spark, rows), (1, 3), 0.5).collect()
-    draw = {r.doc_id: r.u for r in spark.createDataFrame([(i,) for i, _, _ in rows], "doc_id long").selectExpr("doc_id", "shiftrightunsigned(xxhash64(cast(doc_id as string), 42), 11) as u").collect()}
-    for s in "ab":
-        mine = sorted((draw[r.doc_id], r.copies) for r in got if r.source == s)
-        copies = [c for _, c in mine]
-        changes = sum(a != b for a, b in zip(copies, copies[1:]))
-        assert changes <= 3 and copies[0] == max(copies)
+    rows = [(i, "w " * (1 + i % 60), "a") for i in range(4000)]
+    df = frame(spark, rows)
+    got = {r.doc_id: r for r in M.mix(spark, df, (1,), 0.3).collect()}
+    marks = {r.doc_id: r.u for r in M.sizes(df).selectExpr("doc_id", "shiftrightunsigned(xxhash64(mark, 42), 11) as u").collect()}
+    odds = lambda x: x / (1 - x)
+    ranked = sorted((odds((marks[i] + 0.5) / 2**53) / odds(r.p), r.copies) for i, r in got.items() if 0 < r.p)
+    copies = [c for _, c in ranked]
+    assert sum(a != b for a, b in zip(copies, copies[1:])) <= 3 and copies[0] == max(copies)
 
 
 def test_reruns_and_partitions_agree(spark):
@@ -93,11 +109,20 @@ def test_mixed_rows(spark):
     copies = {r.doc_id: r.copies for r in M.mix(spark, df).collect()}
     out = M.mixed(spark, df)
     assert out.columns == df.columns
+    again = M.mixed(spark, df.unionByName(df.filter("doc_id < 9")))  # rows that repeat
+    assert {r.doc_id for r in again.collect()} <= set(copies)
     seen = {}
     for r in out.collect():
         seen[r.doc_id] = seen.get(r.doc_id, 0) + 1
     assert seen == {i: c for i, c in copies.items() if c}
 
 
+def test_rows_without_id_are_drawn_each(spark):
+    rows = [(None, f"word{i} and more", "s") for i in range(400)]
+    got = M.mix(spark, frame(spark, rows), (1,), 0.5).collect()
+    assert abs(sum(r.copies for r in got) - 200) <= 1
+    assert sum(1 for _ in M.mixed(spark, frame(spark, rows)).collect()) == sum(r.copies for r in M.mix(spark, frame(spark, rows)).collect())
+
+
 def test_empty_table(spark):
     assert M.mix(spark, frame(spark, [])).count() == 0
