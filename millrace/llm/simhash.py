@@ -149,6 +149,8 @@ def near_components(spark: SparkSession, docs: DataFrame, n: int = 5, radius: in
 TABLES = 8
 #: Texts whose shingles are counted to tell common shingles from rare ones, and the most shingles named common.
 SAMPLE_TEXTS, COMMON = 1 << 12, 1 << 16
+#: Classes of shingles whose parities are compared: sets that differ in d shingles differ in at most d parities.
+SIGNATURE = 256
 
 
 def word_prints(words: list[bytes], tables: int = TABLES) -> list[int]:
@@ -207,15 +209,15 @@ def common_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def described(docs: DataFrame, n: int, least: float, common: tuple[np.ndarray, np.ndarray], tables: int = TABLES) -> DataFrame:
-    """For each row: doc_id, sha of its text, the fps of its words, the size of its shingle set, and the set's
-    prefix (tokens): so many shingles, rare ones first, that two sets of a similarity of at least `least` have
+    """For each row: doc_id, sha of its text, the fps of its words, the size of its shingle set, the set's parities
+    in SIGNATURE classes of its hashes (sig), and its prefix (tokens): so many shingles, rare ones first, that two sets of a similarity of at least `least` have
     one of them in common; and the place (end) where the prefix ends in that order."""
     known, held = common
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.begin("near_dedup")
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for text in batch.column(1).to_pylist():
                 raw = (text or "").encode()
                 words = raw.lower().split()
@@ -225,13 +227,15 @@ def described(docs: DataFrame, n: int, least: float, common: tuple[np.ndarray, n
                 take = len(keys) - math.ceil(least * len(keys) - 1e-9) + 1 if len(keys) else 0
                 order = np.lexsort((keys, rank))[:take]
                 end = {"rank": int(rank[order[-1]]), "key": int(keys[order[-1]])} if take else None
-                for column, value in zip(out, (hashlib.sha256(raw).hexdigest(), word_prints(words, tables), len(keys), end, keys[order])):
+                odd = np.bincount(keys & SIGNATURE - 1, minlength=SIGNATURE) & 1
+                sig = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                for column, value in zip(out, (hashlib.sha256(raw).hexdigest(), word_prints(words, tables), len(keys), sig, end, keys[order])):
                     column.append(value)
-            types = (pa.string(), pa.list_(pa.int64()), pa.int64(), pa.struct([("rank", pa.int64()), ("key", pa.int64())]), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, types))], ["doc_id", "sha", "fps", "size", "end", "tokens"])
+            types = (pa.string(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.struct([("rank", pa.int64()), ("key", pa.int64())]), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, types))], ["doc_id", "sha", "fps", "size", "sig", "end", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(scan, "doc_id long, sha string, fps array<long>, size long, end struct<rank: long, key: long>, tokens array<long>")
+    return rows.mapInArrow(scan, "doc_id long, sha string, fps array<long>, size long, sig array<long>, end struct<rank: long, key: long>, tokens array<long>")
 
 
 #: Tables whose variants are shuffled at once.
@@ -279,12 +283,12 @@ def _alike(scratch: Scratch, pairs: DataFrame, docs: DataFrame, ids: DataFrame,
 
 
 def prefix_tokens(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """id, size, end, root and tokens: the shingles of a set's prefix that several components (root) hold, the
+    """id, size, end, sig, root and tokens: the shingles of a set's prefix that several components (root) hold, the
     rarest first. A shingle of one connected group, or of one text, has nothing to compare."""
-    of = sets.select("id", "size", "end", "tokens").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    tokens = of.select(F.explode("tokens").alias("token"), "id", "size", "end", "root")
+    of = sets.select("id", "size", "end", "sig", "tokens").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    tokens = of.select(F.explode("tokens").alias("token"), "id", "size", "end", "sig", "root")
     shared = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("held")).filter("lo < hi").select("token", "held")
-    listed = tokens.join(shared, "token").groupBy("id", "size", "end", "root").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("tokens"))
+    listed = tokens.join(shared, "token").groupBy("id", "size", "end", "sig", "root").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("tokens"))
     return listed.withColumn("tokens", F.col("tokens.token"))
 
 
@@ -298,11 +302,13 @@ def _need(least: float) -> Column:
 def met_pairs(scratch: Scratch, held: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of ids in different components that can reach the similarity. Where two lists of h and g
     shingles must share `need`, in one order, the first that they share is among the first h - need + 1 of the
-    one and g - need + 1 of the other; rare ones come first, so that common ones seldom bring sets together."""
-    rows = held.select(F.posexplode("tokens").alias("at", "token"), "id", "size", "end", "root", F.size("tokens").alias("listed"))
-    one, two = rows.toDF("at_a", "token", "a", "m", "end_a", "x", "has_a"), rows.toDF("at_b", "token", "b", "k", "end_b", "y", "has_b")
+    one and g - need + 1 of the other; rare ones come first, so that common ones seldom bring sets together.
+    Sets of the similarity differ in few shingles, and so in as few parities at most."""
+    rows = held.select(F.posexplode("tokens").alias("at", "token"), "id", "size", "end", "root", F.size("tokens").alias("listed"), "sig")
+    one, two = rows.toDF("at_a", "token", "a", "m", "end_a", "x", "has_a", "sig_a"), rows.toDF("at_b", "token", "b", "k", "end_b", "y", "has_b", "sig_b")
+    differ = sum(F.bit_count(F.get("sig_a", F.lit(i)).bitwiseXOR(F.get("sig_b", F.lit(i)))) for i in range(SIGNATURE // 64))
     alike = (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & (F.least("m", "k") >= F.greatest("m", "k") * least - 1e-6)
-    can = alike & (F.least(F.col("has_a") - F.col("at_a"), F.col("has_b") - F.col("at_b")) >= _need(least))
+    can = alike & (differ <= (F.col("m") + F.col("k")) * ((1 - least) / (1 + least)) + 1e-6) & (F.least(F.col("has_a") - F.col("at_a"), F.col("has_b") - F.col("at_b")) >= _need(least))
     met = one.alias("one").join(two.alias("two"), (F.col("one.token") == F.col("two.token")) & can)
     pairs = scratch.save(met.select("a", "b", _need(least).alias("need")).distinct(), "met")
     lists = held.select("id", "tokens")
@@ -339,7 +345,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, n: int = 5, least: float =
     every = scratch.save(described(docs, n, least, common_shingles(docs, n), tables), "every")
     rows = scratch.save(every.groupBy("doc_id", "sha").agg(F.count("*").alias("n")), "rows")
     # one line a distinct text; its number is fixed by being written
-    distinct = every.groupBy("sha").agg(F.first("fps").alias("fps"), F.first("size").alias("size"), F.first("end").alias("end"), F.first("tokens").alias("tokens"))
+    distinct = every.groupBy("sha").agg(F.first("fps").alias("fps"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("end").alias("end"), F.first("tokens").alias("tokens"))
     sets = scratch.save(distinct.select(F.monotonically_increasing_id().alias("id"), "*"), "sets")
     scratch.drop("every")
     ids = sets.select("id", "sha")
