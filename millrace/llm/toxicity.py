@@ -6,11 +6,12 @@ sum of these probabilities; it is called toxic if P(grade >= 1) is at least `cut
 
 Features: lower-cased letter runs of the whole text and their first 4 and 5 letters, each with 1 + ln(count) up to its SATURATION-th
 occurrence. The vocabulary is the words that set the grades of training texts apart (`telling`). Training takes at most
-`sample` labelled rows (SAMPLE by default, the ones of least hash of doc_id, so reruns agree); a training
-text counts with its words up to TRAIN_WORDS, prediction reads all words.
+`sample` labelled texts (SAMPLE by default, the ones of least hash of id, grade and text, so reruns agree), whole;
+their words are counted on the executors, and a word that no two of them share doesn't come to the driver.
 
 Defined results: a null or wordless text has the score of no words; labels outside the grades or null are
-left out; labels that repeat a doc_id count each; without labelled rows of two grades every severity is 0
+left out; rows that repeat a doc_id, a grade and a text are one; a doc_id with several texts or grades counts
+with each; without labelled rows of two grades every severity is 0
 and nothing is toxic; other columns are ignored.
 """
 
@@ -23,12 +24,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch, table
+from . import worker
 
-SAMPLE, TRAIN_WORDS, MIN_TEXTS, SATURATION = 4000, 2000, 4, 20
+SAMPLE, MIN_TEXTS, SATURATION = 4000, 4, 20
 Z_LEAST = 4.0
 WORD = re.compile(r"[^\W\d_]+")
 CUT = 0.35
@@ -106,17 +108,54 @@ def fit(texts: Iterable[Counter], grades: list[int], n_grades: int, rounds: int
     return {w: float(x) for w, x in zip(words, theta)}, theta[len(words) :].tolist()
 
 
+def chosen_texts(docs: DataFrame, graded: DataFrame, n_grades: int, sample: int = SAMPLE) -> DataFrame:
+    """grade and text of at most `sample` labelled texts. A cut on the hash leaves about three times as many
+    rows before anything moves; what repeats is one row, and the rest is cut to `sample` by the hash."""
+    usable = graded.filter(F.col("grade").between(0, n_grades - 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade"))
+    mark = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    ids = usable.agg(F.approx_count_distinct("doc_id")).first()[0]
+    cut = 1.0 if ids < 4 * sample else 3.0 * sample / ids
+    # of the ids that the cut leaves (about 3 * sample, or 4) at most `sample` are looked up among the texts
+    some = usable.filter(mark <= cut).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "grade", F.xxhash64("text").alias("mark")).agg(F.min("text").alias("text"))
+    return rows.orderBy(F.xxhash64("doc_id", "grade", "mark"), "doc_id", "grade").limit(sample).select("doc_id", "grade", "mark", "text")
+
+
 def train(docs: DataFrame, graded: DataFrame, n_grades: int, sample: int = SAMPLE) -> tuple[dict[str, float], list[float]] | None:
-    """The model from `graded` (doc_id, grade) and the texts of `docs`; None without two grades."""
-    chosen = graded.filter(F.col("grade").between(0, n_grades - 1) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
-    words = F.slice(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: w != ""), 1, TRAIN_WORDS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", words.alias("words"))
-    # as Arrow columns, and a few rows at a time from there: the driver never holds the words as objects
-    held = rows.orderBy("doc_id", "grade", F.xxhash64("words")).select("grade", "words").toArrow()
-    grades = held.column("grade").to_pylist()
+    """The model from `graded` (doc_id, grade) and the texts of `docs`; None without two grades. The driver gets
+    the grades of at most `sample` texts and their counts of the features that MIN_TEXTS of them have."""
+    scratch = Scratch(docs.sparkSession, "train")
+    rows = scratch.save(chosen_texts(docs, graded, n_grades, sample).withColumn("nth", F.row_number().over(Window.orderBy("doc_id", "grade", "mark")) - 1), "rows")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("toxicity")
+        for batch in batches:
+            for nth, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = features(WORD.findall(text.lower()))
+                yield pa.RecordBatch.from_arrays([pa.array([nth] * len(found), pa.int32()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int32())], ["nth", "feature", "n"])
+
+    grades = [r.grade for r in rows.select("nth", "grade").orderBy("nth").collect()]
     if len(set(grades)) < 2:
         return None
-    return fit((features(w) for batch in held.to_batches(max_chunksize=64) for w in batch.column("words").to_pylist()), grades, n_grades)
+    counts = scratch.save(rows.select("nth", "text").repartition(64, "nth").mapInArrow(count, "nth int, feature string, n int"), "counts")
+    often = counts.groupBy("feature").agg(F.count("*").alias("texts")).filter(F.col("texts") >= MIN_TEXTS).select("feature")
+    held = counts.join(often, "feature").orderBy("nth", "feature").toArrow()
+    scratch.drop("rows", "counts")
+
+    def texts() -> Iterator[Counter]:  # one at a time: the driver never holds all words as objects
+        now, at = Counter(), 0
+        for batch in held.to_batches(max_chunksize=1 << 14):
+            for feature, nth, n in zip(*(batch.column(c).to_pylist() for c in ("feature", "nth", "n"))):
+                while at < nth:
+                    yield now
+                    now, at = Counter(), at + 1
+                now[feature] = n
+        for _ in range(at, len(grades)):
+            yield now
+            now = Counter()
+
+    return fit(texts(), grades, n_grades)
 
 
 def predict(docs: DataFrame, model: tuple[dict[str, float], list[float]] | None, cut: float = CUT) -> DataFrame:
@@ -126,6 +165,7 @@ def predict(docs: DataFrame, model: tuple[dict[str, float], list[float]] | None,
     weights = {w: x for w, x in weights.items() if abs(x) > 1e-6}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("toxicity")
         find, known = WORD.findall, weights.keys()
         for batch in batches:
             out = []

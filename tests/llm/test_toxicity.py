@@ -62,3 +62,47 @@ def test_training_is_bounded_and_repeats(spark):
     graded = spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, grade int")
     one, two = (X.train(d, graded, 3, sample=100) for d in (docs, docs.repartition(5)))
     assert one == two
+
+
+def test_rows_that_repeat_stay_within_the_bound(spark):
+    """One id that 5,000 documents share, and one row that repeats: no more than `sample` texts are learned from."""
+    shared = [(7, f"text number {i} of one id", None, None) for i in range(5000)]
+    docs = spark.createDataFrame(shared + [(8, "vile words", None, None)] * 3000, SCHEMA)
+    graded = spark.createDataFrame([(7, 0)] * 50 + [(8, 1)] * 50, "doc_id long, grade int")
+    rows = X.chosen_texts(docs, graded, 3, sample=10).collect()
+    assert len(rows) == 10 and len({(r.doc_id, r.text) for r in rows}) == 10
+
+
+def test_training_reads_whole_texts(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(PLAIN) for _ in range(2500)) + (" vile" if i % 2 else ""), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t, _ in rows], SCHEMA)
+    weights, _ = X.train(docs, spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, grade int"), 2)
+    assert weights["vile"] > 0.5
+
+
+def test_fit_reaches_the_optimum():
+    """No direction from the fitted weights lowers the loss by more than a trace."""
+    from collections import Counter
+
+    rng = random.Random(6)
+    grades = [rng.choice([0, 1, 2]) for _ in range(300)]
+    texts = [Counter({"base": 1, **({"mild": 1} if g and rng.random() < 0.8 or rng.random() < 0.1 else {}), **({"harsh": 2} if g == 2 and rng.random() < 0.8 or rng.random() < 0.1 else {})}) for g in grades]
+    weights, cuts = X.fit(texts, grades, 3, ridge=1e-2, rounds=1500)
+    assert cuts[0] < cuts[1]
+
+    def loss(w, t):
+        total = sum(1e-2 * x * x / 2 for x in w.values())
+        for text, g in zip(texts, grades):
+            s = sum(w.get(f, 0) * X.gain(n) for f, n in text.items())
+            for k in (0, 1):
+                p = 1 / (1 + math.exp(t[k] - s))
+                total -= math.log(p if g > k else 1 - p) / len(grades)
+        return total
+
+    best = loss(weights, cuts)
+    for step in (0.05, -0.05):
+        for f in weights:
+            assert loss({**weights, f: weights[f] + step}, cuts) > best - 1e-4
+        for k in (0, 1):
+            assert loss(weights, [c + step * (i == k) for i, c in enumerate(cuts)]) > best - 1e-4
