@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch, table
+from . import worker
 
 LENGTH, SHALLOW = 50, 16
 #: Bytes of text a bucket holds, bytes of text whose anchors a range holds, and suffixes read at once.
@@ -69,11 +70,19 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
 
 
 def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
-    best, have = keys, 1
+    """For each window of `width` keys, the place of its least one, the leftmost if several."""
+
+    def least(one: slice, two: slice) -> tuple[np.ndarray, np.ndarray]:
+        later = best[two] < best[one]
+        return np.where(later, best[two], best[one]), np.where(later, at[two], at[one])
+
+    best, at, have = keys, np.arange(len(keys)), 1
     while 2 * have <= width:
-        best = np.minimum(best[:-have], best[have:])
+        best, at = least(slice(None, -have), slice(have, None))
         have *= 2
-    return np.minimum(best[: len(keys) - width + 1], best[width - have :]) if have < width else best
+    if have < width:
+        best, at = least(slice(None, len(keys) - width + 1), slice(width - have, len(keys) - have + 1))
+    return at
 
 
 def neighbourhoods(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -91,9 +100,7 @@ def neighbourhoods(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengt
         if len(part) < length:
             break
         hashes = gram_hashes(part, size)
-        bits = np.uint64(len(part).bit_length())
-        keys = hashes >> bits << bits | np.arange(len(hashes), dtype=np.uint64)
-        anchors = (window_minima(keys, width) & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+        anchors = window_minima(hashes, width)
         here = np.flatnonzero(valid[at : at + len(anchors)])
         if not len(here):
             continue
@@ -128,6 +135,7 @@ def shared_anchors(dealt: DataFrame, length: int, ranges: int) -> DataFrame:
     """bucket, hashes: the anchors in a bucket's texts that two rows or more have (8 bytes each)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.begin("suffix_dedup")
         for batch in batches:
             data, starts, ends = joined(batch.column(2))
             buckets = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -227,23 +235,29 @@ def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def multikey_order(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Multikey quicksort with words of 8 bytes for letters: the suffixes' order by `depth` bytes, and
-    the first of each group that is equal so far. Only groups of two or more see a further word."""
-    order = np.arange(len(at))
-    group = np.zeros(len(at), np.int64)
-    for k in range(0, depth, 8):
-        sizes = np.bincount(group, minlength=1)
-        open_ = np.flatnonzero(sizes[group] > 1)
+    the first of each group that is equal so far.
+
+    A round parts every open group in three by its middle member's word: smaller, equal, larger. Equals go
+    on with the next word; a group of one, or one that is equal in `depth` bytes, is closed."""
+    order, seen = np.arange(len(at)), np.zeros(len(at), np.int64)  # seen: bytes in which a place's group is equal
+    first = np.zeros(len(at), bool)  # where groups begin
+    first[:1] = True
+    while True:
+        group = np.cumsum(first) - 1
+        open_ = np.flatnonzero((np.bincount(group)[group] > 1) & (seen < depth)) if len(at) else order
         if not len(open_):
-            break
-        word = words_at(data, at[order[open_]] + k)
-        inner = np.lexsort((word, group[open_]))
+            return order, np.flatnonzero(first)
+        of = group[open_]
+        begin = np.flatnonzero(np.diff(of, prepend=-1))
+        size = np.diff(begin, append=len(of))
+        word = words_at(data, at[order[open_]] + seen[open_])
+        pivot = np.repeat(word[begin + size // 2], size)
+        side = (word > pivot).astype(np.int64) - (word < pivot)
+        parted = 3 * of + side
+        inner = np.argsort(parted, kind="stable")
         order[open_] = order[open_[inner]]
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = group[1:] != group[:-1]
-        word, of = word[inner], group[open_]
-        fresh[open_[1:]] |= (word[1:] != word[:-1]) | (of[1:] != of[:-1])
-        group = np.cumsum(fresh) - 1
-    return order, np.flatnonzero(np.diff(group, prepend=-1))
+        seen[open_] += 8 * (side[inner] == 0)
+        first[open_] |= np.diff(parted[inner], prepend=-2) != 0
 
 
 def runs_of_equals(data: np.ndarray, at: np.ndarray, length: int, shallow: int = SHALLOW) -> Iterator[list[int]]:
