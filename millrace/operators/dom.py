@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Elements that segments leave out, and those that make a segment.
 IGNORED = frozenset("script style noscript br hr".split())
+SEGMENT_BLOCKS = frozenset("div section article aside nav header footer main form fieldset table".split())
+#: Elements that end an open paragraph, for parsing alone.
 BLOCKS = frozenset("address article aside blockquote body dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table td th tr ul".split())
 #: A new one of these ends an open one of the group.
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}}
@@ -92,10 +95,10 @@ def _segments(ns: list[dict]) -> list[tuple]:
     texts = inner_texts(ns)
     inner = [False] * len(ns)
     for k in range(len(ns) - 1, -1, -1):
-        block = ns[k]["tag"] in BLOCKS and texts[k] != ""
+        block = ns[k]["tag"] in SEGMENT_BLOCKS and texts[k] != ""
         if ns[k]["parent"] >= 0:
             inner[ns[k]["parent"]] |= block or inner[k]
-    return [(k, n["tag"], n["path"], texts[k], len(n["kids"])) for k, n in enumerate(ns) if n["tag"] in BLOCKS and texts[k] and not inner[k] and n["tag"] not in IGNORED]
+    return [(k, n["tag"], n["path"], texts[k], len(n["kids"])) for k, n in enumerate(ns) if n["tag"] in SEGMENT_BLOCKS and texts[k] and not inner[k] and n["tag"] not in IGNORED]
 
 
 def segments(pages: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row a key: the first in `order`."""
@@ -13,8 +15,11 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row a key: the last in ascending `order`."""
-    return keep_first(df, keys, [F.col(c).desc() for c in order])
+    """One row a key: the last in ascending `order` (nulls first). An aggregate, so that each task sends one row
+    a key at most, not all of them."""
+    at = F.struct(*(F.struct(F.col(c).isNotNull(), F.col(c)) for c in order))
+    last = df.groupBy(*(F.col(k).alias(f"_key{n}") for n, k in enumerate(keys))).agg(F.max_by(F.struct(*df.columns), at).alias("_row"))
+    return last.select("_row.*")
 
 
 def mark_join(left: DataFrame, right: DataFrame, key: str, other: str, flag: str) -> DataFrame:
@@ -63,15 +68,31 @@ def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 0)
 
 def ordered_split(df: DataFrame, order: str, share: float) -> DataFrame:
     """Whether a row is among the first floor(share * n) rows. The position comes from counts of ranges,
-    so no task sorts all rows."""
+    so no task sorts all rows. The ranged rows are written first: dealt out twice, they might get other ranges."""
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = df.repartitionByRange(int(parts), order).withColumn("_part", F.spark_partition_id())
+    ranged = Scratch(df.sparkSession, "split").save(df.repartitionByRange(int(parts), order).withColumn("_part", F.spark_partition_id()), "ranged")
     per = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = per.select(F.col("_part").alias("_of"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     placed = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order))).join(before, F.col("_part") == F.col("_of"))
     return placed.withColumn("in_head", F.col("_at") + F.col("_before") <= F.floor(F.col("_all") * share)).drop("_part", "_of", "_n", "_before", "_all", "_at")
 
 
+def positional_join(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """The n-th row of `left` beside the n-th of `right`, as far as the shorter goes; their column names differ.
+    Positions come from counts of written ranges, as in `ordered_split`."""
+
+    def numbered(df: DataFrame, order: str, at: str) -> DataFrame:
+        parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+        ranged = Scratch(df.sparkSession, "zip").save(df.repartitionByRange(int(parts), order).withColumn("_part", F.spark_partition_id()), "ranged")
+        per = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+        before = per.select(F.col("_part").alias("_of"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+        placed = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order))).join(before, F.col("_part") == F.col("_of"))
+        return placed.withColumn(at, F.col("_at") + F.col("_before")).drop("_part", "_of", "_n", "_before", "_at")
+
+    one, two = numbered(left, left_order, "_place"), numbered(right, right_order, "_place")
+    return one.join(two, "_place").drop("_place")
+
+
 def split_by_count(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three disjoint parts that add up to `df`: rows whose key is null, single, or repeated."""
     sized = with_group_size(df, [key], "_n")
@@ -93,12 +114,7 @@ def first_match(value: Column, patterns: list[tuple[str, str]]) -> Column:
 
 def pattern_join(rows: DataFrame, patterns: list[tuple[str, str]], domain: str, url: str) -> DataFrame:
     """Rows with the patterns that fit them: '#text' fits URLs that contain the text, anything else the
-    registrable domain. Domains meet in an equi-join; the few texts are tested one by one."""
-    spark = rows.sparkSession
-    exact = [(n, p) for n, p in patterns if not p.startswith("#")]
-    parts = [rows.join(F.broadcast(spark.createDataFrame(exact, "provider string, _d string")), F.col(domain) == F.col("_d")).drop("_d")] if exact else []
-    parts += [rows.filter(F.contains(F.col(url), F.lit(p[1:]))).withColumn("provider", F.lit(n)) for n, p in patterns if p.startswith("#")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    registrable domain. One pass over the rows, whatever the number of patterns."""
+    fits = [(F.contains(F.col(url), F.lit(p[1:])) if p.startswith("#") else F.col(domain) == p, n) for n, p in patterns]
+    found = F.array_compact(F.array(*(F.when(fit, F.lit(n)) for fit, n in fits)))
+    return rows.withColumn("provider", F.explode(found))

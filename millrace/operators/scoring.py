@@ -47,6 +47,25 @@ def pattern_score(pattern: str, text: Column, target: Column, source: Column, at
     return (5 * has(text) + 5 * has(target) + 5 * has(source) + 3 * has(attributes) + 3 * has(parent)) / F.lit(21.0)
 
 
+# The weights of a button's features and the least score of a choice, by kind of button.
+BUTTONS = {
+    "add_to_cart": ({"color_dist": 0.1, "regex_1": 0.6, "area": 0.3}, 0.5, (ADD_TO_CART,)),
+    "cart": ({"less_area": 0.15, "in_header": 0.05, "regex_1": 0.2, "regex_2": 0.3, "regex_3": 0.3, "regex_4": -0.2}, 0.2, CART),
+    "checkout": ({"color_dist": 0.2, "regex_1": 0.6, "area": 0.2}, 0.5, (CHECKOUT,)),
+}
+
+
+def button_candidates(df: DataFrame, kind: str, page: str, tie: str) -> DataFrame:
+    """score, rank, next score and choice of each candidate button of a page, for a kind of BUTTONS. `df` has a
+    row a candidate: text, target, source, attributes and parent (strings), area, color_dist (from the
+    background) and in_header (whether an element above is a header's). Features are scaled within a page."""
+    weights, least, patterns = BUTTONS[kind]
+    parts = [F.col(c) for c in ("text", "target", "source", "attributes", "parent")]
+    scored = df.withColumns({f"regex_{k}": pattern_score(p, *parts) for k, p in enumerate(patterns, 1)})
+    scored = scored.withColumns({"less_area": -F.col("area"), "in_header": F.col("in_header").cast("int")})
+    return ranked(scored, page, weights, tie, least)
+
+
 def is_product_page(html: Column) -> Column:
     """Counts of the two purchase phrases decide: one of them once or twice, the other never."""
     from ..functions.text import count_of

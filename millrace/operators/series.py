@@ -46,3 +46,9 @@ def countdowns(df: DataFrame, keys: list[str], order: list[str], value: str, ts:
     by_mode = (F.col("_values") >= enough) & (neg >= enough) & ((pos == 0) | F.coalesce(usual, F.lit(False)))
     flagged = all_.withColumn("decreasing", decreasing).withColumn("by_mode", by_mode).withColumn("seconds", F.col("_seconds") >= enough)
     return flagged.withColumn("is_timer", F.col("decreasing") & F.col("by_mode") & F.col("seconds")).select(*keys, "n_neg", "n_pos", "decreasing", "by_mode", "seconds", "is_timer")
+
+
+def running_concat(df: DataFrame, key: str, order: str, value: str, separator: str = "") -> DataFrame:
+    """so_far: the values of a key's rows up to each row, in `order`, joined; nulls are left out."""
+    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("so_far", F.array_join(F.collect_list(value).over(upto), separator))

@@ -390,7 +390,19 @@ def per_group_sample(spark, sf):
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) <= floor(count(*) OVER () * 0.9) AS in_head FROM orders")
 def ordered_split(spark, sf):
-    return rel.ordered_split(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0.9)
+    return rel.ordered_split(table(spark, sf, "orders"), "o_orderkey", 0.9).select("o_orderkey", "in_head")
+
+
+@query("SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer) JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) USING (n)")
+def positional_zip_join(spark, sf):
+    c, o = table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select("o_orderkey")
+    return rel.positional_join(c, o, "c_custkey", "o_orderkey")
+
+
+@query("SELECT user_id, event_id, string_agg(event_type, '|') OVER (PARTITION BY user_id ORDER BY event_id) AS so_far FROM events")
+def running_concat(spark, sf):
+    e = table(spark, sf, "events")
+    return series.running_concat(e, "user_id", "event_id", "event_type", "|").select("user_id", "event_id", "so_far")
 
 
 @query("SELECT 'customer' AS kind, count(*) AS n, round(sum(bal), 2) AS total FROM (SELECT c_acctbal AS bal FROM customer) UNION ALL SELECT 'supplier', count(*), round(sum(s_acctbal), 2) FROM supplier")
@@ -472,12 +484,13 @@ def bow_column_normalised(spark, sf):
 # ---------------------------------------------------------------- vectors and clusters
 
 
-@query("""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
+@query("""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
 SELECT a, count(*) AS n, round(max(s), 5) AS best FROM p GROUP BY 1""")
 def cosine_self_join(spark, sf):
+    """The vectors of every id divisible by 20 against all others, whatever their labels."""
     e = table(spark, sf, "embeddings")
-    a, b = (e.select(F.col("vec_id").alias(n), "label", F.col("embedding").alias(f"v{n}")) for n in "ab")
-    p = a.join(b, "label").filter("a < b").withColumn("s", measures.cosine(F.col("va"), F.col("vb")))
+    a, b = (e.select(F.col("vec_id").alias(n), F.col("embedding").alias(f"v{n}")) for n in "ab")
+    p = a.filter("a % 20 = 0").join(b, F.col("a") != F.col("b")).withColumn("s", measures.cosine(F.col("va"), F.col("vb")))
     return p.groupBy("a").agg(F.count("*").alias("n"), F.round(F.max("s"), 5).alias("best"))
 
 
@@ -524,7 +537,8 @@ def dbscan(spark, sf):
 
 @query()
 def hdbscan(spark, sf):
-    df = table(spark, sf, "embeddings").withColumn("part", F.pmod("vec_id", F.greatest(F.lit(1), F.floor(F.lit(table(spark, sf, "embeddings").count() / 1000)).cast("long"))))
+    """All rows are one clustering, in one task: more than `cluster.GROUP_ROWS` of them are refused, not parted."""
+    df = table(spark, sf, "embeddings").withColumn("part", F.lit(0))
     return cluster.grouped(df, "part", "vec_id", "embedding", lambda x: cluster.hdbscan_labels(x, 5))
 
 
@@ -589,6 +603,52 @@ def button_regex_score(spark, sf):
     return dom.links(table(spark, sf, "pages")).select("page_id", "href", scoring.pattern_score("th|re", none, F.col("href"), none, none, none).alias("score"))
 
 
+#: Events stand for the candidate buttons of a page (the user): what a button says goes by the event's number.
+SAYS = ("Add to Cart", "View my bag", "Proceed to checkout", "Remove", "Buy it now", "3 items in your basket", "Search", "pay-securely-now")
+
+
+def candidate_buttons(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("nth", F.pmod("event_id", F.lit(len(SAYS))).cast("int"))
+    says, none = F.element_at(F.array(*map(F.lit, SAYS)), F.col("nth") + 1), F.lit(None).cast("string")
+    return e.select(
+        "user_id", "event_id", says.alias("text"), none.alias("target"), none.alias("source"), F.concat(F.lit("class="), "event_type").alias("attributes"),
+        F.when(F.pmod("event_id", F.lit(5)) == 0, "shopping-cart").alias("parent"), F.col("value").alias("area"), F.from_json("props", "k long")["k"].alias("color_dist"), (F.pmod("event_id", F.lit(3)) == 0).alias("in_header"),
+    )
+
+
+def button_sql(kind: str) -> str:
+    weights, least, patterns = scoring.BUTTONS[kind]
+    says = "[" + ", ".join(f"'{x}'" for x in SAYS) + "]"
+    has = lambda c, p: f"coalesce(regexp_matches({c}, '(?i){p}'), false)::INT"
+    regexes = ", ".join(f"(5 * {has('text', p)} + 3 * {has('attributes', p)} + 3 * {has('parent', p)}) / 21.0::DOUBLE AS regex_{k}" for k, p in enumerate(patterns, 1))
+    scaled = " + ".join(f"coalesce(({c} - min({c}) OVER w) / nullif(max({c}) OVER w - min({c}) OVER w, 0), 0) * {x}" for c, x in weights.items())
+    return f"""WITH c AS (SELECT user_id, event_id, {says}[event_id % {len(SAYS)} + 1] AS text, 'class=' || event_type AS attributes, CASE WHEN event_id % 5 = 0 THEN 'shopping-cart' END AS parent,
+  value AS area, -value AS less_area, (props::JSON ->> 'k')::DOUBLE AS color_dist, (event_id % 3 = 0)::INT::DOUBLE AS in_header FROM events),
+f AS (SELECT *, {regexes} FROM c), s AS (SELECT user_id, event_id, round(0.0 + {scaled}, 9) AS score FROM f WINDOW w AS (PARTITION BY user_id)),
+k AS (SELECT *, row_number() OVER o AS rank, lead(score) OVER o AS next_score FROM s WINDOW o AS (PARTITION BY user_id ORDER BY score DESC, event_id))
+SELECT user_id, event_id, score, rank::INT AS rank, next_score, rank = 1 AND score > {least} AS chosen FROM k"""
+
+
+def _buttons(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    found = scoring.button_candidates(candidate_buttons(spark, sf), kind, "user_id", "event_id")
+    return found.select("user_id", "event_id", "score", "rank", "next_score", "chosen")
+
+
+@query(button_sql("add_to_cart"))
+def add_to_cart_candidates(spark, sf):
+    return _buttons(spark, sf, "add_to_cart")
+
+
+@query(button_sql("cart"))
+def cart_candidates(spark, sf):
+    return _buttons(spark, sf, "cart")
+
+
+@query(button_sql("checkout"))
+def checkout_candidates(spark, sf):
+    return _buttons(spark, sf, "checkout")
+
+
 @query()
 def link_filter(spark, sf):
     found = dom.links(table(spark, sf, "pages")).join(table(spark, sf, "pages").select("page_id", "url"), "page_id")
@@ -705,4 +765,7 @@ def popup_style(spark, sf):
 
 @query()
 def word_vector_means(spark, sf):
-    return features.word_vectors(table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", "text"), "text", 16).select("doc_id")
+    from pyspark.ml.functions import vector_to_array
+
+    found = features.word_vectors(table(spark, sf, "documents").select("doc_id", "text"), "text", 16)
+    return found.select("doc_id", F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("mean"))

@@ -10,7 +10,16 @@ HTTP_REQUESTS = "visit_id long, url string, method string, post_body string, top
 TOP_SITES = "url string, global_rank int, country_rank int, reach_per_million double, page_views_per_million double, page_views_per_user double"
 HAR = "log struct<pages: array<struct<entries: array<struct<request: struct<url: string>, response: struct<content: struct<mimeType: string, text: string>>>>>>, entries: array<struct<request: struct<url: string>, response: struct<content: struct<mimeType: string, text: string>>>>>"
 CATEGORY = "title string, path string, categories_count int, sites_count int"
-CATEGORY_TREE = f"array<struct<{CATEGORY.replace(' string', ': string').replace(' int', ': int')}, categories: array<struct<{CATEGORY.replace(' string', ': string').replace(' int', ': int')}>>>>"
+#: Levels of a category tree below its root.
+LEVELS = 3
+
+
+def _tree(levels: int) -> str:
+    fields = ", ".join(f.strip().replace(" ", ": ") for f in CATEGORY.split(","))
+    return f"array<struct<{fields}{f', categories: {_tree(levels - 1)}' if levels > 1 else ''}>>"
+
+
+CATEGORY_TREE = _tree(LEVELS)
 
 
 def csv(spark: SparkSession, path: str, schema: str, header: bool = True, trim: bool = False) -> DataFrame:
@@ -67,10 +76,13 @@ def xml_records(spark: SparkSession, path: str, row_tag: str, schema: str) -> Da
 
 
 def category_rows(trees: DataFrame, column: str) -> DataFrame:
-    """path and sites_count of every category of a nested tree (JSON text), two levels deep."""
-    top = trees.select(F.explode(F.from_json(column, CATEGORY_TREE)).alias("c"))
-    inner = top.select(F.explode("c.categories").alias("k"))
-    return top.select("c.path", "c.sites_count").unionByName(inner.select("k.path", "k.sites_count"))
+    """path and sites_count of every category of a nested tree (JSON text), LEVELS levels deep."""
+    level = trees.select(F.explode(F.from_json(column, CATEGORY_TREE)).alias("c"))
+    out = level.select("c.path", "c.sites_count")
+    for _ in range(LEVELS - 1):
+        level = level.select(F.explode("c.categories").alias("c"))
+        out = out.unionByName(level.select("c.path", "c.sites_count"))
+    return out
 
 
 def literal_table(spark: SparkSession, rows: list[dict], defaults: dict, schema: str) -> DataFrame:

@@ -89,7 +89,7 @@ def test_dom(spark):
     assert nodes[1, "/html[1]/body[1]/div[1]/ul[1]/li[2]"].text == "y"
     assert nodes[1, "/html[1]/body[1]"].text.startswith("One") and "no()" not in nodes[1, "/html[1]/body[1]"].text
     assert nodes[4, "/p[1]/b[1]"].text == "tags" and not any(k[0] in (2, 3) for k in nodes)
-    assert [r.text for r in dom.segments(pages.filter("page_id = 1")).collect()] == ["One", "Two bold", "x", "y"]
+    assert [r.text for r in dom.segments(pages.filter("page_id = 1")).collect()] == ["OneTwo boldxy"]
     assert [tuple(r) for r in dom.links(pages).collect()] == [(1, "/l", "longer link", "")]
     table = dom.nodes(pages)
     assert dom.search_forms(table).count() == 1
@@ -181,3 +181,45 @@ def test_similar_blocks_split_unlike_children(spark):
     pages = spark.createDataFrame([(1, html), (2, "<ul><li>one</li><li>two</li></ul>")], "page_id long, html string")
     got = sorted((r.page_id, r.path) for r in dom.similar_blocks(dom.nodes(pages), dom.content_vectors(pages)).collect())
     assert got == [(1, "/div[1]/a[1]"), (1, "/div[1]/p[1]"), (2, "/ul[1]")]
+
+
+def test_ordered_split_of_a_wide_table(spark, tmp_path):
+    wide = spark.range(200_000).select((F.col("id") * 7919 % 200_000).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("a"), F.lit("x").alias("b"))
+    split = rel.ordered_split(wide, "k", 0.5)
+    split.write.parquet(f"{tmp_path}/split")
+    head = spark.read.parquet(f"{tmp_path}/split").filter("in_head")
+    assert head.agg(F.count("*"), F.max("k")).first() == (100_000, 99_999)
+
+
+def test_positional_join_takes_rows_by_place(spark):
+    one = spark.createDataFrame([(k * 3, f"r{k}") for k in range(50)], "k long, a string").repartition(5)
+    two = spark.createDataFrame([(k * k, f"l{k}") for k in range(60)], "j long, b string").repartition(3)
+    got = rel.positional_join(one, two, "k", "j").collect()
+    assert len(got) == 50 and all(r.a[1:] == r.b[1:] for r in got)
+
+
+def test_running_concat(spark):
+    df = spark.createDataFrame([("u", 2, "b"), ("u", 1, "a"), ("u", 3, None), ("v", 1, "c")], "k string, n long, x string")
+    got = {(r.k, r.n): r.so_far for r in series.running_concat(df, "k", "n", "x").collect()}
+    assert got == {("u", 1): "a", ("u", 2): "ab", ("u", 3): "ab", ("v", 1): "c"}
+
+
+def test_segments_are_of_the_fixed_blocks(spark):
+    html = "<div><p>one</p><section>two</section></div><ul><li>three</li></ul><nav>four</nav>"
+    pages = spark.createDataFrame([(1, "http://a/", html)], "page_id long, url string, html string")
+    assert sorted((r.tag, r.text) for r in dom.segments(pages).collect()) == [("nav", "four"), ("section", "two")]
+
+
+def test_large_groups_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "GROUP_ROWS", 5)
+    df = spark.createDataFrame([(0, k, [float(k), 0.0]) for k in range(6)], "g long, id long, v array<double>")
+    import pytest
+
+    with pytest.raises(Exception, match="at most are clustered"):
+        cluster.grouped(df, "g", "id", "v", lambda x: [0] * len(x)).collect()
+
+
+def test_word_vectors_are_means(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a"), (3, "b"), (4, "a b a b"), (5, None)], "id long, text string")
+    got = {r.id: np.array(r.features.toArray()) for r in features.word_vectors(df, "text", 4).collect()}
+    assert np.allclose(got[1], (got[2] + got[3]) / 2) and np.allclose(got[1], got[4]) and not got[5].any()

@@ -31,9 +31,9 @@ def test_json_har_xml_and_small_files(spark, tmp_path):
     assert tuple(readers.small_files(spark, str(tmp_path / "f")).first()) == ("http://a", "<b> x</b>")
     xml = write(tmp_path / "x.xml", "<r><Site><Url>a</Url><Rank>3</Rank></Site><Site><Url>b</Url></Site></r>")
     assert [tuple(r) for r in readers.xml_records(spark, xml, "Site", "Url string, Rank int").collect()] == [("a", 3), ("b", None)]
-    tree = json.dumps([{"title": "T", "path": "Top", "sites_count": 5, "categories": [{"title": "S", "path": "Top/S", "sites_count": 41}]}])
+    tree = json.dumps([{"title": "T", "path": "Top", "sites_count": 5, "categories": [{"title": "S", "path": "Top/S", "sites_count": 41, "categories": [{"title": "U", "path": "Top/S/U", "sites_count": 2}]}]}])
     cats = readers.category_rows(spark.createDataFrame([(tree,)], "j string"), "j")
-    assert sorted(map(tuple, cats.collect())) == [("Top", 5), ("Top/S", 41)]
+    assert sorted(map(tuple, cats.collect())) == [("Top", 5), ("Top/S", 41), ("Top/S/U", 2)]
     assert [r.start for r in readers.listing_offsets(cats.filter("path = 'Top/S'"), "sites_count").collect()] == [1, 21]
     ends = readers.literal_table(spark, [{"name": "a", "url": "u"}, {"name": "b", "url": "v", "method": "GET"}], {"method": "POST"}, "name string, method string, url string")
     assert [r.method for r in ends.orderBy("name").collect()] == ["POST", "GET"]
