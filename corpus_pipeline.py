@@ -1,7 +1,8 @@
 """The corpus pipeline: from raw documents to packed sequences, one operator a stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again for the
-next one. All but the last return the columns of documents.
+next one. All but the last return the columns of documents. In all of them a null text counts as empty, a null
+doc_id is a value like any other, rows are decided by doc_id and text together, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,22 +14,23 @@ from millrace.session import Scratch, table
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without letters go."""
+    """Documents in a language that the table's labelled rows teach; those without letters, or in none of them, go."""
     return language_id.accepted(spark, docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row of the largest doc_id."""
+    """Of equal texts, the row of the largest doc_id; of rows that repeat both, one."""
     return exact_dedup.exact_dedup(spark, docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles are alike to 0.8 or more, the one of the smallest doc_id."""
+    """Of documents whose five-word shingles are alike to 0.8 or more, the one of the smallest doc_id;
+    rows without doc_id come last."""
     return simhash.near_dedup(spark, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; those without words aren't drawn."""
     return mixing.mixed(spark, docs)
 
 
