@@ -12,8 +12,8 @@ GRAM-byte grams the one of least hash, the leftmost if several. Equal strings ha
      SHALLOW bytes, then a blind trie for each group that is still equal;
   4. the decisions go back to the documents, whose kept bytes are digested.
 Texts move twice, each time dealt in buckets of bounded size; long texts are read in blocks. An anchor
-that many documents share has its equal neighbourhoods merged before they are sorted, and no pairs are
-made anywhere.
+that HEAVY rows or more have is dealt in salted parts of its range, which merge equal neighbourhoods before
+they meet to be sorted; no pairs are made anywhere.
 
 Defined results: a null text is empty; a null doc_id counts as larger than all others; rows with equal
 doc_ids don't remove from each other; texts shorter than `length` stay whole; other columns are ignored.
@@ -37,6 +37,8 @@ LENGTH, SHALLOW = 50, 16
 #: Bytes of text a bucket holds, bytes of text whose anchors a range holds, and suffixes read at once.
 BUCKET_BYTES, RANGE_BYTES, BLOCK = 2 << 20, 4 << 20, 1 << 17
 LEAST_GROUPS = 64
+#: Rows that make an anchor heavy, and buckets a salted part of a heavy anchor's range holds about.
+HEAVY, PART_BUCKETS, LEAST_PARTS = 256, 64, 8
 NO_ID = np.iinfo(np.int64).max
 _RANDOM = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -122,6 +124,9 @@ def joined(texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, n
 
 
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """A range for each anchor. Anchors are least hashes, most of them small, so they are mixed once more."""
+    hashes = (hashes ^ hashes >> np.uint64(31)) * np.uint64(_BASE)
+    hashes = (hashes ^ hashes >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
@@ -131,8 +136,9 @@ def cuts_of(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(sorted_[first].tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_)]))
 
 
-def shared_anchors(dealt: DataFrame, length: int, ranges: int) -> DataFrame:
-    """bucket, hashes: the anchors in a bucket's texts that two rows or more have (8 bytes each)."""
+def shared_anchors(dealt: DataFrame, length: int, ranges: int, heavy: int) -> DataFrame:
+    """bucket, hashes, heavy: the anchors in a bucket's texts that two rows or more have (8 bytes each), and
+    for each a byte, 1 if `heavy` rows or more have it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.begin("suffix_dedup")
@@ -158,18 +164,21 @@ def shared_anchors(dealt: DataFrame, length: int, ranges: int) -> DataFrame:
         hashes, buckets = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in (("hashes", np.uint64), ("buckets", np.int32)))
         order = np.argsort(hashes)
         hashes, buckets = hashes[order], buckets[order]
-        same = hashes[1:] == hashes[:-1]
-        twice = np.zeros(len(hashes), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        hashes, buckets = hashes[twice], buckets[twice]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
+        many = np.diff(first, append=len(hashes))
+        rows_of = np.repeat(many, many)
+        twice = rows_of > 1
+        hashes, buckets, rows_of = hashes[twice], buckets[twice], rows_of[twice]
         order = np.argsort(buckets, kind="stable")
-        hashes, buckets = hashes[order], buckets[order]
-        rows = [(b, np.unique(hashes[i:j]).tobytes()) for b, i, j in cuts_of(buckets)]
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "hashes"])
+        hashes, buckets, rows_of = hashes[order], buckets[order], rows_of[order]
+        rows = []
+        for b, i, j in cuts_of(buckets):
+            once, at = np.unique(hashes[i:j], return_index=True)
+            rows.append((b, once.tobytes(), (rows_of[i:j][at] >= heavy).astype(np.uint8).tobytes()))
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "hashes", "heavy"])
 
     packed = dealt.select("doc_id", "bucket", "text").mapInArrow(scan, "range int, hashes binary, buckets binary")
-    return packed.groupBy("range").applyInArrow(find, "bucket int, hashes binary")
+    return packed.groupBy("range").applyInArrow(find, "bucket int, hashes binary, heavy binary")
 
 
 # ---------------------------------------------------------------- deep-shallow sorting
@@ -305,48 +314,73 @@ def slices(groups: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def decide(group: pa.Table, length: int) -> pa.Table:
-    """All neighbourhoods of a range of anchors -> for each bucket, texts' suffixes to remove: index of
-    the text in its bucket, position of the first suffix, and which of it and its neighbours."""
-    span = 2 * length - gram_size(length)
+#: What travels of a neighbourhood, and how it is packed: many of one bucket and range in a row.
+KINDS = {"anchors": np.uint64, "docs": np.int64, "texts": np.int32, "firsts": np.int64, "counts": np.uint8, "strings": np.uint8}
+
+
+def unpacked(group: pa.Table, names: tuple[str, ...], span: int) -> tuple[dict[str, np.ndarray], list[int]]:
+    """The neighbourhoods of a group's rows, one array a column, and how many each row holds."""
     press = zstandard.ZstdDecompressor()
-    blobs = {c: group.column(c).to_pylist() for c in ("anchors", "docs", "texts", "firsts", "counts", "strings")}
-    kinds = {"anchors": np.uint64, "docs": np.int64, "texts": np.int32, "firsts": np.int64, "counts": np.uint8, "strings": np.uint8}
-    blobs["strings"] = [press.decompress(x) for x in blobs["strings"]]
-    part = {c: np.concatenate([np.frombuffer(x, kinds[c]) for x in blobs[c]]) for c in blobs}
-    sizes = [len(x) // 8 for x in blobs["anchors"]]
-    bucket = np.repeat(np.array(group.column("bucket").to_pylist(), np.int32), sizes)
-    strings, counts = part.pop("strings").reshape(-1, span), part["counts"].astype(np.int64)
-    blobs.clear()
-    # equal neighbourhoods become one, with the least id; a number of the row finds them, its bytes decide
-    mark = np.zeros(len(strings), np.uint64)
-    for k in range(span):
+    out, sizes = {}, []
+    for name in names:
+        blobs = group.column(name).to_pylist()
+        if name == "strings":
+            blobs = [press.decompress(x) for x in blobs]
+        elif name == "anchors":
+            sizes = [len(x) // 8 for x in blobs]
+        out[name] = np.concatenate([np.frombuffer(x, KINDS[name]) for x in blobs])
+    out["strings"], out["counts"] = out["strings"].reshape(-1, span), out["counts"].astype(np.int64)
+    return out, sizes
+
+
+def distinct(anchors: np.ndarray, counts: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal neighbourhoods stand together, by anchor, and where another one begins. The
+    order of different ones depends on nothing but themselves."""
+
+    def begins(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(order), bool)
+        out[:1] = True
+        for key in keys:
+            sorted_ = key[order]
+            differ = sorted_[1:] != sorted_[:-1]
+            out[1:] |= differ if differ.ndim == 1 else differ.any(axis=1)
+        return out
+
+    mark = counts.astype(np.uint64)  # finds equals; their bytes decide
+    for k in range(strings.shape[1]):
         mark = mark * np.uint64(_BASE) + strings[:, k]
-    order = np.lexsort((mark, part["anchors"]))
-    anchors, strings, counts = part["anchors"][order], strings[order], counts[order]
-    docs = part["docs"][order]
-    new_anchor = np.ones(len(order), bool)
-    new_anchor[1:] = anchors[1:] != anchors[:-1]
-    fresh = new_anchor.copy()
-    fresh[1:] |= (counts[1:] != counts[:-1]) | (strings[1:] != strings[:-1]).any(axis=1)
-    kind, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
-    least = np.minimum.reduceat(docs, first)
-    # an anchor with one neighbourhood is in order already; the others' suffixes are sorted
-    of = (np.cumsum(new_anchor) - 1)[first]
-    several = np.bincount(of)[of] > 1
-    begin = np.cumsum(counts[first]) - counts[first]
-    per_suffix = np.repeat(least, counts[first])
-    pick = np.flatnonzero(several)
-    # equal suffixes have one anchor, so anchors are sorted some at a time
+    order = np.lexsort((mark, anchors))
+    fresh = begins(order, anchors, counts, strings)
+    if (fresh != begins(order, anchors, mark)).any():  # two have one mark
+        order = np.lexsort((*strings.T[::-1], counts, anchors))
+        fresh = begins(order, anchors, counts, strings)
+    return order, fresh
+
+
+def settle(anchors: np.ndarray, counts: np.ndarray, strings: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """For distinct neighbourhoods in order of their anchors, with the least id that has each: the least id
+    that has each of their suffixes, in order of neighbourhood and suffix."""
+    of = np.cumsum(np.diff(anchors, prepend=anchors[:1]) != 0)
+    begin = np.cumsum(counts) - counts
+    per_suffix = np.repeat(least, counts)
+    # an anchor with one neighbourhood is in order already; equal suffixes have one anchor, so anchors are sorted some at a time
+    pick = np.flatnonzero(np.bincount(of)[of] > 1)
     for i, j in slices(of[pick], SORTED_AT_ONCE):
         some = pick[i:j]
-        sizes = counts[first[some]]
-        found = least_ids(strings[first[some]], sizes, least[some], length)
+        sizes = counts[some]
+        found = least_ids(strings[some], sizes, least[some], length)
         per_suffix[np.repeat(begin[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(found))] = found
-    # bit k of a text's mask: its k-th suffix here also starts in a document of smaller id
+    return per_suffix
+
+
+def masked(part: dict[str, np.ndarray], bucket: np.ndarray, order: np.ndarray, fresh: np.ndarray, per_suffix: np.ndarray) -> pa.Table:
+    """For each bucket, texts' suffixes to remove: index of the text in its bucket, position of the first
+    suffix, and a mask whose bit k says that its k-th suffix also starts in a document of smaller id."""
+    counts, docs, kind = part["counts"][order], part["docs"][order], np.cumsum(fresh) - 1
+    sizes = counts[fresh]
+    begin = np.cumsum(sizes) - sizes
     mask = np.zeros(len(order), np.int64)
-    widest = int(counts.max(initial=0))
-    for k in range(widest):
+    for k in range(int(counts.max(initial=0))):
         has = np.flatnonzero(counts > k)
         mask[has] |= (per_suffix[begin[kind[has]] + k] < docs[has]).astype(np.int64) << k
     hit = np.flatnonzero(mask)
@@ -356,12 +390,72 @@ def decide(group: pa.Table, length: int) -> pa.Table:
     return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "texts", "firsts", "masks"])
 
 
+HITS = "bucket int, texts binary, firsts binary, masks binary"
+
+
+def decided_light(near: DataFrame, length: int) -> DataFrame:
+    """Neighbourhoods of anchors that few texts have: each range of anchors decides at once."""
+    span = 2 * length - gram_size(length)
+
+    def decide(group: pa.Table) -> pa.Table:
+        part, sizes = unpacked(group, tuple(KINDS), span)
+        bucket = np.repeat(np.array(group.column("bucket").to_pylist(), np.int32), sizes)
+        order, fresh = distinct(part["anchors"], part["counts"], part["strings"])
+        first = np.flatnonzero(fresh)
+        least = np.minimum.reduceat(part["docs"][order], first)
+        chosen = order[first]
+        return masked(part, bucket, order, fresh, settle(part["anchors"][chosen], part["counts"][chosen], part["strings"][chosen], least, length))
+
+    return near.groupBy("range").applyInArrow(decide, HITS)
+
+
+def decided_heavy(scratch: Scratch, near: DataFrame, length: int) -> DataFrame:
+    """Neighbourhoods of anchors that many texts have: salted parts of a range keep one of equals, with its
+    least id; the range settles what its parts kept; each part then decides for its own texts."""
+    span = 2 * length - gram_size(length)
+    kept = ("anchors", "docs", "counts", "strings")
+
+    def reduce(group: pa.Table) -> pa.Table:
+        part, _ = unpacked(group, kept, span)
+        order, fresh = distinct(part["anchors"], part["counts"], part["strings"])
+        first = np.flatnonzero(fresh)
+        least, chosen = np.minimum.reduceat(part["docs"][order], first), order[first]
+        blobs = (part["anchors"][chosen].tobytes(), least.tobytes(), part["counts"][chosen].astype(np.uint8).tobytes(), zstandard.ZstdCompressor(level=1).compress(part["strings"][chosen].tobytes()))
+        return pa.table([group.column("range")[:1], group.column("part")[:1], *(pa.array([x], pa.binary()) for x in blobs)], ["range", "part", *kept])
+
+    def agree(group: pa.Table) -> pa.Table:
+        all_, sizes = unpacked(group, kept, span)
+        order, fresh = distinct(all_["anchors"], all_["counts"], all_["strings"])
+        first = np.flatnonzero(fresh)
+        least, chosen = np.minimum.reduceat(all_["docs"][order], first), order[first]
+        per_suffix = settle(all_["anchors"][chosen], all_["counts"][chosen], all_["strings"][chosen], least, length)
+        begin = np.cumsum(all_["counts"][chosen]) - all_["counts"][chosen]
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.cumsum(fresh) - 1
+        ids, at = [], 0
+        for size in sizes:  # a part's neighbourhoods stand in their own order
+            mine, many = kind[at : at + size], all_["counts"][at : at + size]
+            ids.append(per_suffix[np.repeat(begin[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())].tobytes())
+            at += size
+        return pa.table([group.column("range"), group.column("part"), pa.array(ids, pa.binary())], ["range", "part", "ids"])
+
+    def answer(group: pa.Table, settled: pa.Table) -> pa.Table:
+        part, sizes = unpacked(group, tuple(KINDS), span)
+        bucket = np.repeat(np.array(group.column("bucket").to_pylist(), np.int32), sizes)
+        order, fresh = distinct(part["anchors"], part["counts"], part["strings"])
+        return masked(part, bucket, order, fresh, np.frombuffer(settled.column("ids")[0].as_py(), np.int64))
+
+    parts = near.groupBy("range", "part").applyInArrow(reduce, "range int, part int, anchors binary, docs binary, counts binary, strings binary")
+    settled = scratch.save(parts.groupBy("range").applyInArrow(agree, "range int, part int, ids binary"), "settled")
+    return near.groupBy("range", "part").cogroup(settled.groupBy("range", "part")).applyInArrow(answer, HITS)
+
+
 def in_order(docs: pa.Table) -> pa.Table:
     """A bucket's rows in an order that each pass finds again: equal rows are interchangeable."""
     return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
-def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, ranges: int | None = None) -> DataFrame:
+def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, ranges: int | None = None, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (array of struct start, end: the maximal removed runs of bytes) and
     kept_sha256 of each row."""
     if not 8 <= length <= 100:
@@ -372,14 +466,17 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, id_col:
     buckets = buckets or max(LEAST_GROUPS, total // BUCKET_BYTES)
     ranges = ranges or max(LEAST_GROUPS, total // RANGE_BYTES)
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
-    shared = scratch.save(shared_anchors(dealt, length, ranges), "shared")
+    parts = max(LEAST_PARTS, buckets // PART_BUCKETS)
+    shared = scratch.save(shared_anchors(dealt, length, ranges, heavy), "shared")
     size = gram_size(length)
     span = 2 * length - size
 
     def gather(texts: pa.Table, known: pa.Table) -> pa.Table:
-        names = ["range", "bucket", "anchors", "docs", "texts", "firsts", "counts", "strings"]
-        types = (pa.int32(), pa.int32(), *(pa.binary(),) * 6)
-        wanted = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in known.column("hashes").to_pylist()] or [np.empty(0, np.uint64)]))
+        names = ["range", "part", "bucket", *KINDS]
+        types = (pa.int32(), pa.int32(), pa.int32(), *(pa.binary(),) * 6)
+        wanted, is_heavy = (np.concatenate([np.frombuffer(x, t) for x in known.column(c).to_pylist()] or [np.empty(0, t)]) for c, t in (("hashes", np.uint64), ("heavy", np.uint8)))
+        order = np.argsort(wanted)
+        wanted, is_heavy = wanted[order], is_heavy[order]
         out, press = [], zstandard.ZstdCompressor(level=1)
         if len(wanted) and texts.num_rows:
             texts = in_order(texts)
@@ -391,19 +488,23 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, id_col:
                 near = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
                 keep = np.flatnonzero(wanted[near] == hashes)
                 hashes, at, counts = hashes[keep], at[keep], counts[keep]
-                where = range_of(hashes, ranges)
+                where = 2 * range_of(hashes, ranges) + is_heavy[near[keep]]
                 order = np.lexsort((hashes, where))
                 hashes, at, counts, where = hashes[order], at[order], counts[order], where[order]
                 text = np.searchsorted(starts, at, "right") - 1
                 strings = np.lib.stride_tricks.sliding_window_view(padded, span)[at]
                 strings[np.arange(span) >= (counts + length - 1)[:, None]] = 0
                 columns = (hashes, ids[text], text.astype(np.int32), at - starts[text], counts.astype(np.uint8))
-                out += [(r, bucket, *(c[i:j].tobytes() for c in columns), press.compress(strings[i:j].tobytes())) for r, i, j in cuts_of(where)]
+                out += [(w >> 1, (1 + bucket % parts) * (w & 1), bucket, *(c[i:j].tobytes() for c in columns), press.compress(strings[i:j].tobytes())) for w, i, j in cuts_of(where)]
         return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names)
 
-    schema = "range int, bucket int, anchors binary, docs binary, texts binary, firsts binary, counts binary, strings binary"
-    near = dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(gather, schema)
-    decided = scratch.save(near.groupBy("range").applyInArrow(lambda g: decide(g, length), "bucket int, texts binary, firsts binary, masks binary"), "decided")
+    schema = "range int, part int, bucket int, " + ", ".join(f"{c} binary" for c in KINDS)
+    near = scratch.save(dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(gather, schema), "near")
+    scratch.drop("shared")
+    light = scratch.save(decided_light(near.filter("part = 0"), length), "light")
+    hot = scratch.save(decided_heavy(scratch, near.filter("part > 0"), length), "heavy")
+    scratch.drop("near", "settled")
+    decided = light.union(hot)
 
     def cut(texts: pa.Table, hits: pa.Table) -> pa.Table:
         texts = in_order(texts)

@@ -49,6 +49,30 @@ def test_matches_brute_force(spark, length, seed):
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
 
 
+@pytest.mark.parametrize("heavy", [2, 4])
+def test_heavy_anchors_in_salted_parts(spark, heavy):
+    # one passage in most documents, in different surroundings, and a large group of copies
+    rng = random.Random(9)
+    passage = " ".join(rng.choice("abcdef") * rng.randint(1, 5) for _ in range(40))
+    rows = corpus(8, 60) + [(10**6 + 7 * k % 90, f"{k} {passage} {k % 3}") for k in range(90)] + [(2 * 10**6 + k, passage * 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.repeats(spark, df, 50, buckets=40, ranges=3, heavy=heavy).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got) == brute(rows, 50)
+
+
+def test_order_of_distinct_neighbourhoods_ignores_input_order():
+    rng = np.random.default_rng(6)
+    anchors, counts = rng.integers(0, 3, 300).astype(np.uint64), rng.integers(1, 3, 300)
+    strings = rng.integers(0, 2, (300, 5)).astype(np.uint8)
+    found = []
+    for way in (np.arange(300), rng.permutation(300)):
+        order, fresh = S.distinct(anchors[way], counts[way], strings[way])
+        chosen = way[order[fresh]]
+        found.append([(anchors[i], counts[i], *strings[i]) for i in chosen])
+        assert len(set(found[-1])) == len(found[-1]) == len({(a, c, *s) for a, c, s in zip(anchors, counts, strings)})
+    assert found[0] == found[1]
+
+
 def test_long_texts_in_blocks(spark, monkeypatch):
     # the same code in this process, with small blocks: anchors don't depend on where blocks begin
     rng = np.random.default_rng(1)
@@ -83,6 +107,13 @@ def test_deep_shallow_order():
         assert len(runs) == len(set(strings))
 
 
+def test_ranges_hold_alike_many_anchors():
+    data = np.random.default_rng(5).integers(97, 123, 300_000).astype(np.uint8)
+    anchors = np.concatenate([h for h, _, _ in S.neighbourhoods(data, np.array([0]), np.array([len(data)]), 50)])
+    held = np.bincount(S.range_of(anchors, 64), minlength=64)
+    assert held.max() < 1.3 * held.mean() and held.min() > 0.7 * held.mean()
+
+
 def test_slices_keep_groups_whole():
     groups = np.repeat(np.arange(50), np.random.default_rng(3).integers(1, 9, 50))
     for size in (1, 4, 30, 1000):
