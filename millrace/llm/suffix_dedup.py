@@ -14,6 +14,8 @@ GRAM-byte grams the one of least hash, the leftmost if several. Equal strings ha
 Texts move twice, each time dealt in buckets of bounded size; long texts are read in blocks. An anchor
 that HEAVY rows or more have is dealt in salted parts of its range, which merge equal neighbourhoods before
 they meet to be sorted; no pairs are made anywhere.
+What still meets in one task: the list of rows that have an anchor (12 bytes each), in `shared_anchors`, and
+the different neighbourhoods of an anchor.
 
 Defined results: a null text is empty; a null doc_id counts as larger than all others; rows with equal
 doc_ids don't remove from each other; texts shorter than `length` stay whole; other columns are ignored.
