@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IP = r"^[0-9]{1,3}([.][0-9]{1,3}){3}$"
+IP = "^" + "[.]".join(["[0-9][0-9]?[0-9]?"] * 4) + "$"
 
 
 def hostname(url: Column) -> Column:
@@ -23,12 +23,29 @@ def base_url(url: Column) -> Column:
     return F.substring_index(F.substring_index(F.regexp_replace(url, "^[^:/?#]+://", ""), "#", 1), "?", 1)
 
 
+# Labels that stand below a country's two letters in its public suffixes of two labels.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "govt", "ltd", "mil", "ne", "net", "or", "org", "plc", "sch")
+TWO_LABELS = f"(?:{'|'.join(SECOND_LEVEL)})[.][a-z][a-z]"
+
+
+def public_suffix(host: Column, suffixes: list[str] | None = None) -> Column:
+    """The last label, or the last two where they are a country's second level (co.uk) or in `suffixes`, a
+    caller's list of suffixes of two labels; null for an IP."""
+    two = F.substring_index(host, ".", -2)
+    known = two.rlike(f"^{TWO_LABELS}$") | (two.isin(suffixes) if suffixes else F.lit(False))
+    return F.when(host.rlike(IP), None).when(known, two).otherwise(F.substring_index(host, ".", -1))
+
+
 def registrable_domain(host: Column, suffixes: list[str] | None = None) -> Column:
-    """The public suffix and one label more; an IP as it is; null for a bare label. `suffixes` lists
-    suffixes of two labels; others have one."""
-    two, three = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
-    by_rule = F.when(two.isin(suffixes), F.when(host != two, three)).otherwise(two) if suffixes else two
-    return F.when(host.rlike(IP), host).when(~host.contains("."), None).otherwise(by_rule)
+    """The public suffix and one label more; an IP as it is; null for a bare label or a bare suffix."""
+    suffix = public_suffix(host, suffixes)
+    more = F.substring_index(F.left(host, F.length(host) - F.length(suffix) - 1), ".", -1)
+    return F.when(host.rlike(IP), host).when(host.contains(".") & (host != suffix), F.concat_ws(".", more, suffix))
+
+
+def with_scheme(url: Column) -> Column:
+    """http:// before a URL that doesn't begin with http."""
+    return F.when(url.startswith("http"), url).otherwise(F.concat(F.lit("http://"), url))
 
 
 def third_party(request_domain: Column, site_domain: Column) -> Column:
