@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from millrace.functions.urls import SECOND_LEVEL
 from millrace.llm import url_filter as U
 
 
@@ -31,13 +32,21 @@ def strength(units):
     return 1 / max(U.RHO_LEAST, min(U.RHO_MOST, rho)) - 1
 
 
+def levels(host):
+    labels = host.split(".")
+    if len(labels) == 4 and all(x.isascii() and x.isdigit() and len(x) <= 3 for x in labels):
+        return host, host
+    two = len(labels) > 1 and labels[-2] in SECOND_LEVEL and re.fullmatch("[a-z][a-z]", labels[-1])
+    return ".".join(labels[-3:] if two else labels[-2:]), ".".join(labels[-2:] if two else labels[-1:])
+
+
 def brute(pages, outcomes, rules, threshold, z):
     where = {i: parse(u) for i, u in pages}
     hosts, domains, suffixes = {}, {}, {}
     for i, bad in outcomes:
         if i in where:
             h = where[i][0]
-            for level, key in ((hosts, h), (domains, ".".join(h.split(".")[-2:])), (suffixes, h.split(".")[-1])):
+            for level, key in zip((hosts, domains, suffixes), (h, *levels(h))):
                 n, x = level.get(key, (0, 0))
                 level[key] = (n + 1, x + bad)
     out = []
@@ -50,7 +59,7 @@ def brute(pages, outcomes, rules, threshold, z):
         hit = rule_of(h, path, rules)
         verdict = "allow"
         if hosts:
-            s, d = h.split(".")[-1], ".".join(h.split(".")[-2:])
+            d, s = levels(h)
             m = (suffixes[s][1] + ks * base) / (suffixes[s][0] + ks) if s in suffixes else base
             m = (domains[d][1] + kd * m) / (domains[d][0] + kd) if d in domains else m
             n, x = hosts.get(h, (0, 0))
@@ -61,12 +70,12 @@ def brute(pages, outcomes, rules, threshold, z):
     return sorted(out, key=str)
 
 
-URLS = [None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/x?y#z", "https://net", "https://net/", "x://b.net?q/en/", "http://example.com/de/1", "http://Éa.org/fr", "http://é.org/fr/", "a://b://c.org/fr/", "http://xnet/en/", "http://u@h.net:80/p#f?g", "http://x.org/de/\n2"]
+URLS = [None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/x?y#z", "https://net", "https://net/", "x://b.net?q/en/", "http://example.com/de/1", "http://Éa.org/fr", "http://é.org/fr/", "a://b://c.org/fr/", "http://xnet/en/", "http://u@h.net:80/p#f?g", "http://x.org/de/\n2", "http://co.uk/", "http://10.0.0.7/a", "http://10.0.0.7:8/a", "http://a..co.uk", "http://.uk/", "http://x.", "http://com.UK/"]
 
 
 @pytest.mark.parametrize("case", ["mixed", "none", "all bad"])
 def test_matches_brute_force(spark, case):
-    pages = list(enumerate(URLS)) + [(100 + k, f"http://{'bad' if k % 3 == 0 else 'good'}{k % 9}.{'spam' if k % 3 == 0 else 'fine'}.{'com' if k % 2 else 'info'}/p{k}") for k in range(240)]
+    pages = list(enumerate(URLS)) + [(100 + k, f"http://{'bad' if k % 3 == 0 else 'good'}{k % 9}.{'spam' if k % 3 == 0 else 'fine'}.{('com', 'info', 'co.uk', 'org.au')[k % 4]}/p{k}") for k in range(240)]
     outcomes = {"mixed": [(100 + k, int(k % 3 == 0 and k % 10 != 0)) for k in range(0, 240, 2)] + [(999, 1), (0, 1)], "none": [], "all bad": [(100, 1), (101, 1)]}[case]
     got = U.judge(spark, spark.createDataFrame([(i, u, "x") for i, u in pages], "page_id long, url string, host string"), spark.createDataFrame([(i, b, "x") for i, b in outcomes], "page_id long, bad int, host string"))
     rows = sorted((tuple(r) for r in got.select("page_id", "host", "path", "rule", "verdict").collect()), key=str)
@@ -84,3 +93,25 @@ def test_few_outcomes_do_not_block(spark):
 
 def test_empty_tables(spark):
     assert U.judge(spark, spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int")).count() == 0
+
+
+def test_levels(spark):
+    known = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "b.uk": ("b.uk", "uk"), "x.y.com": ("y.com", "com"), "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "": ("", ""), "bare": ("bare", "bare"), "x.com.museum": ("com.museum", "museum")}
+    domain, suffix = U.levels_sql("host")
+    got = spark.createDataFrame([(h,) for h in known], "host string").selectExpr("host", f"{domain} AS domain", f"{suffix} AS suffix")
+    assert {r.host: (r.domain, r.suffix) for r in got.collect()} == known
+
+
+def test_oracle_agrees_on_odd_urls(spark, tmp_path):
+    import duckdb
+
+    urls = URLS + [f"http://{'bad' if k % 3 == 0 else 'good'}{k % 9}.{'spam' if k % 3 == 0 else 'fine'}.{('com', 'co.uk')[k % 2]}/p{k}" for k in range(240)]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(k, int(k % 5 != 0), int(k % 3 == 0)) for k in range(0, len(urls), 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({U.OP7_SQL})").fetchall()
+    got = [tuple(r) for r in U.op7_url_filter(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {r[4] for r in got if r[0] >= len(URLS)} == {"allow", "block"}
