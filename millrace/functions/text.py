@@ -88,15 +88,43 @@ def all_caps(word: Column) -> Column:
     return (word == F.upper(word)) & (word != F.lower(word))
 
 
-def normalised(c: Column, stop_words: list[str]) -> Column:
-    """Lower case; digit runs masked; letters a-z and spaces alone; stop words and blanks out; any word
-    that begins with the mask becomes the mask."""
+def _plain_words(c: Column, stop_words: list[str]) -> Column:
+    """Words of a-z in lower case, digit runs as the mask, without stop words."""
+    kept = F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]+", MASK.lower()), r"[^a-z\s]", "")
+    return F.filter(F.split(F.regexp_replace(kept, r"\s+", " "), " "), lambda w: (w != "") & ~w.isin(stop_words))
+
+
+def _mask_words(words: Column) -> Column:
+    """The words in one line; any that begins with the mask becomes the mask."""
     mask = MASK.lower()
-    kept = F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]+", mask), r"[^a-z\s]", "")
-    words = F.filter(F.split(F.regexp_replace(kept, r"\s+", " "), " "), lambda w: (w != "") & ~w.isin(stop_words))
     return F.array_join(F.transform(words, lambda w: F.when(w.startswith(mask), mask).otherwise(w)), " ")
 
 
+def normalised(c: Column, stop_words: list[str], stem: bool = False) -> Column:
+    """Lower case; digit runs masked; letters a-z and spaces alone; stop words and blanks out; with `stem`
+    the stems of the words; any word that begins with the mask becomes the mask."""
+    words = _plain_words(c, stop_words)
+    return _mask_words(stemmed(words) if stem else words)
+
+
+def tokens(c: Column, stop_words: list[str]) -> Column:
+    """Stems of the lower-case words, without stop words and bare numbers; a null text has none."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(\w+)"), F.lit(1))
+    return stemmed(F.filter(words, lambda w: ~w.isin(stop_words) & ~w.rlike("^[0-9]+$")))
+
+
+def ascii_tokens(c: Column) -> Column:
+    """Stems of the words of a text's printable ASCII; stop words stay."""
+    return tokens(printable_ascii(F.coalesce(c, F.lit(""))), [])
+
+
+def escaped(c: Column) -> Column:
+    """Tabs, line breaks and backslashes as two-character escapes."""
+    for plain, letter in (("\\", "\\"), ("\t", "t"), ("\n", "n"), ("\r", "r")):
+        c = F.replace(c, F.lit(plain), F.lit("\\" + letter))
+    return c
+
+
 def has_caps_word(c: Column) -> Column:
     """1 if some word has two or more letters and is all in capitals."""
     return F.exists(F.split(c, r"\s+"), lambda w: all_caps(w) & (F.length(w) > 1)).cast("long")
@@ -118,48 +146,77 @@ def tabs_expanded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.expandtabs())
 
 
-VOWELS = "aeiou"
+# The endings of Porter's published algorithm and what stands in their place, by step.
+STEP_2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"),
+    ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"),
+    ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+)
+STEP_3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
+
+def _kinds(word: str) -> str:
+    """v for each vowel and c for each consonant; y is a vowel after a consonant."""
+    out = ""
+    for ch in word:
+        out += "v" if ch in "aeiou" or (ch == "y" and out.endswith("c")) else "c"
+    return out
 
 
 def _measure(stem: str) -> int:
     """How many times a vowel run is followed by a consonant run."""
-    kinds = ["v" if ch in VOWELS or (ch == "y" and i and stem[i - 1] not in VOWELS) else "c" for i, ch in enumerate(stem)]
-    runs = "".join(k for i, k in enumerate(kinds) if not i or kinds[i - 1] != k)
-    return runs.count("vc")
+    return _kinds(stem).count("vc")
+
+
+def _doubled(word: str) -> bool:
+    return len(word) > 1 and word[-1] == word[-2] and _kinds(word).endswith("c")
+
+
+def _short(word: str) -> bool:
+    """Consonant, vowel, consonant at the end, the last not w, x or y."""
+    return _kinds(word).endswith("cvc") and word[-1] not in "wxy"
+
+
+def _ending(word: str, endings) -> str | None:
+    """The longest of the endings that the word has."""
+    return max((e for e in endings if word.endswith(e)), key=len, default=None)
 
 
 def _stem(word: str) -> str:
-    """A light English stemmer: plural, -ed/-ing, -y, and common long endings where the rest is long enough."""
+    """Porter's stemmer, on a word in lower case."""
     if len(word) < 3:
         return word
-    for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if word.endswith(end):
-            word = word[: -len(end)] + new
-            break
-    has_vowel = lambda x: any(ch in VOWELS + "y" for ch in x)
+    plural = {"sses": "ss", "ies": "i", "ss": "ss", "s": ""}
+    if (end := _ending(word, plural)) is not None:
+        word = word[: -len(end)] + plural[end]
     if word.endswith("eed"):
         word = word[:-1] if _measure(word[:-3]) else word
-    else:
-        for end in ("ed", "ing"):
-            if word.endswith(end) and has_vowel(word[: -len(end)]):
-                word = word[: -len(end)]
-                if word.endswith(("at", "bl", "iz")):
-                    word += "e"
-                elif len(word) > 1 and word[-1] == word[-2] and word[-1] not in "lsz" + VOWELS:
-                    word = word[:-1]
-                break
-    if word.endswith("y") and has_vowel(word[:-1]):
+    elif (end := _ending(word, ("ed", "ing"))) and "v" in _kinds(word[: -len(end)]):
+        word = word[: -len(end)]
+        if word.endswith(("at", "bl", "iz")) or (_measure(word) == 1 and _short(word)):
+            word += "e"
+        elif _doubled(word) and word[-1] not in "lsz":
+            word = word[:-1]
+    if word.endswith("y") and "v" in _kinds(word[:-1]):
         word = word[:-1] + "i"
-    for end in ("ational", "ization", "fulness", "ousness", "iveness", "ement", "ation", "ment", "ness", "able", "ible", "ful", "ive", "ous"):
-        if word.endswith(end) and _measure(word[: -len(end)]) > 1:
-            word = word[: -len(end)]
-            break
+    for step in (dict(STEP_2), dict(STEP_3)):
+        if (end := _ending(word, step)) and _measure(word[: -len(end)]):
+            word = word[: -len(end)] + step[end]
+    if (end := _ending(word, STEP_4)) and _measure(word[: -len(end)]) > 1 and (end != "ion" or word[-4:-3] in ("s", "t")):
+        word = word[: -len(end)]
+    if word.endswith("e") and (_measure(word[:-1]) > 1 or (_measure(word[:-1]) == 1 and not _short(word[:-1]))):
+        word = word[:-1]
+    if word.endswith("l") and _doubled(word) and _measure(word) > 1:
+        word = word[:-1]
     return word
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: None if ws is None else [_stem(w) for w in ws])
+    known: dict[str, str] = {}  # of one batch
+    stem = lambda w: known[w] if w in known else known.setdefault(w, _stem(w))
+    return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
 
 
 def language_or_null(c: Column, detected: Column, least: int = 64) -> Column:

@@ -56,13 +56,18 @@ def duplicate_audit(df: DataFrame, key: str) -> DataFrame:
     return per.agg(F.count("*").alias("first_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_rows"))
 
 
+def _draw(key: str, seed: int) -> Column:
+    """A digest of seed and key: a random order that is the same in each run."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.col(key)))
+
+
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows without replacement, the same in each run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(_draw(key, seed), key).limit(n)
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 0) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    at = F.row_number().over(Window.partitionBy(group).orderBy(_draw(key, seed), key))
     return df.withColumn("_at", at).filter(F.col("_at") <= n).drop("_at")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,11 @@ def with_gap_seconds(df: DataFrame, keys: list[str], order: list[str], ts: str,
     return df.withColumn(name, (micros - F.lag(micros).over(w)) / 1e6)
 
 
+def elapsed_minutes(first: Column, last: Column) -> Column:
+    """Minutes from one time to another, with their fraction."""
+    return (F.unix_micros(last.cast("timestamp")) - F.unix_micros(first.cast("timestamp"))) / 60e6
+
+
 def mode_of(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """The most frequent non-null value a key (the least of several) and its count."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import measures, text, urls
+from ..functions import lists, measures, text, urls
 from ..operators import cluster, dom, features, scoring, series
 from ..operators import relational as rel
 from ..session import table
@@ -378,12 +378,12 @@ def ntile_chunks(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.ntile(8).over(Window.orderBy("c_name", "c_custkey")).alias("chunk"))
 
 
-@query()
+@query("SELECT doc_id, source FROM documents ORDER BY md5('0|' || doc_id), doc_id LIMIT 50")
 def hash_sample(spark, sf):
     return rel.hash_sample(table(spark, sf, "documents"), "doc_id", 50).select("doc_id", "source")
 
 
-@query()
+@query("SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('0|' || doc_id), doc_id) AS nth FROM documents) WHERE nth <= 5")
 def per_group_sample(spark, sf):
     return rel.sample_per_group(table(spark, sf, "documents"), "source", "doc_id", 5).select("source", "doc_id")
 
@@ -552,18 +552,43 @@ def single_linkage(spark, sf):
     return cluster.single_linkage(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.8)
 
 
-def _report(spark: SparkSession, values: list[float], name: str) -> DataFrame:
-    return spark.createDataFrame([(k, float(v), float(s)) for k, (v, s) in enumerate(zip(values, np.cumsum(values)))], f"component int, {name} double, running double")
+def _report(spark: SparkSession, name: str, values: list[float], shares: list[float]) -> DataFrame:
+    rows = [(k, float(v), float(x), float(r)) for k, (v, x, r) in enumerate(zip(values, shares, np.cumsum(shares)))]
+    return spark.createDataFrame(rows, f"component int, {name} double, share double, running double")
 
 
 @query()
 def svd(spark, sf):
-    return _report(spark, features.truncated_svd(table(spark, sf, "embeddings"), "embedding", 8), "singular_value")
+    values, _, shares = features.truncated_svd(table(spark, sf, "embeddings"), "embedding", 8)
+    return _report(spark, "singular_value", values, shares)
+
+
+@query()
+def svd_projection(spark, sf):
+    e = table(spark, sf, "embeddings")
+    found = features.projected(e, "embedding", features.truncated_svd(e, "embedding", 3)[1])
+    return found.select("vec_id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected"))
 
 
 @query()
 def pca(spark, sf):
-    return _report(spark, features.principal_components(table(spark, sf, "embeddings"), "embedding", 8), "variance_share")
+    shares, _ = features.principal_components(table(spark, sf, "embeddings"), "embedding", 8)
+    return _report(spark, "variance_share", shares, shares)
+
+
+@query()
+def pca_by_share(spark, sf):
+    """As few components as explain nine tenths of the variance."""
+    shares, _ = features.principal_components(table(spark, sf, "embeddings"), "embedding", 0.9)
+    return _report(spark, "variance_share", shares, shares)
+
+
+@query()
+def component_agreement(spark, sf):
+    """Cosines of the first components of all vectors with those of the vectors of even ids."""
+    e = table(spark, sf, "embeddings")
+    sets = [features.truncated_svd(x, "embedding", 8)[1] for x in (e, e.filter("vec_id % 2 = 0"))]
+    return spark.createDataFrame(list(enumerate(features.component_cosines(*sets))), "component int, cosine double")
 
 
 @query()
@@ -745,6 +770,57 @@ def hourly_windows(spark, sf):
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+@query("""WITH p AS (SELECT page_id, string_split(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '.') AS l FROM pages)
+SELECT page_id, CASE WHEN len(l) > 1 THEN array_to_string(l[-2:], '.') END AS domain, l[-1] AS suffix FROM p""")
+def site_suffix(spark, sf):
+    """From URLs whose scheme was taken off and is put back; the hosts of the tables have suffixes of one label."""
+    host = urls.hostname(urls.with_scheme(F.regexp_replace("url", "^[a-z]+://", "")))
+    return table(spark, sf, "pages").select("page_id", urls.registrable_domain(host).alias("domain"), urls.public_suffix(host).alias("suffix"))
+
+
+@query("SELECT conv_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6, 6) AS minutes FROM (SELECT user_id AS conv_id, ts FROM events) GROUP BY 1")
+def elapsed_minutes(spark, sf):
+    spans = table(spark, sf, "events").groupBy(F.col("user_id").alias("conv_id")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return spans.select("conv_id", F.round(series.elapsed_minutes(F.col("first"), F.col("last")), 6).alias("minutes"))
+
+
+@query("SELECT item_id, string_split(replace(text, chr(10), ' '), ' ') AS words FROM benchmark")
+def deep_flatten(spark, sf):
+    nested = F.transform(F.split("text", "\n"), lambda line: F.transform(F.split(line, " "), lambda w: F.array(w)))
+    return table(spark, sf, "benchmark").select("item_id", lists.deep_flatten(nested, 2).alias("words"))
+
+
+@query("""WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), p AS (SELECT item_id, list_resize(w, (len(w) + 2) // 3 * 3, '-') AS w FROM w)
+SELECT item_id, list_transform(range(len(w) // 3), lambda k: array_to_string(w[k * 3 + 1 : k * 3 + 3], ' ')) AS triples FROM p""")
+def filled_tuples(spark, sf):
+    triples = lists.tuples(F.split("text", " "), 3, F.lit("-"))
+    return table(spark, sf, "benchmark").select("item_id", F.transform(triples, lambda t: F.array_join(t, " ")).alias("triples"))
+
+
+@query("""WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), u AS (SELECT item_id, unnest(range(len(w))) AS k, unnest(w) AS x FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY md5('0|' || k || '|' || x), k) AS nth FROM u) SELECT item_id, string_agg(x, ' ' ORDER BY nth) AS chosen FROM r WHERE nth <= 4 GROUP BY item_id""")
+def random_subarrays(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(lists.random_subarray(F.split("text", " "), 4), " ").alias("chosen"))
+
+
+@query("""SELECT doc_id, length(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r')) AS n_escaped,
+  md5(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r')) AS digest FROM documents""")
+def escaped_text(spark, sf):
+    c = text.escaped(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.length(c).cast("long").alias("n_escaped"), F.md5(c).alias("digest"))
+
+
+@query()
+def text_normalise_stems(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.normalised(F.col("text"), STOP, stem=True).alias("normal"))
+
+
+@query()
+def text_tokens(spark, sf):
+    c = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", text.tokens(c, STOP).alias("tokens"), text.ascii_tokens(c).alias("ascii_tokens"))
+
+
 @query()
 def content_vectors(spark, sf):
     return dom.content_vectors(table(spark, sf, "pages"))
@@ -756,7 +832,8 @@ def similar_blocks(spark, sf):
     return dom.similar_blocks(dom.nodes(pages), dom.content_vectors(pages)).select("page_id", "node_id", "path")
 
 
-@query()
+@query("""SELECT user_id, event_id, z FROM (SELECT user_id, event_id, z, row_number() OVER (PARTITION BY user_id ORDER BY z DESC, event_id) AS nth
+  FROM (SELECT user_id, event_id, (props::JSON ->> 'k')::BIGINT AS z FROM events) WHERE z > 0) WHERE nth = 1""")
 def popup_style(spark, sf):
     """Event properties in place of styles: the one of largest k by user."""
     e = table(spark, sf, "events").withColumn("z", F.from_json("props", "k long")["k"])

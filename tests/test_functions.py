@@ -3,7 +3,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import measures, text, urls
+from millrace.functions import lists, measures, text, urls
 
 
 def one(spark, value, f, kind="string"):
@@ -91,9 +91,41 @@ def test_resolved(spark):
         assert one(spark, href, lambda c: urls.resolved(c, F.lit(page))) == want
 
 
+# Examples of the published algorithm.
+STEMS = {
+    "caresses": "caress", "ponies": "poni", "ties": "ti", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "sing": "sing", "conflated": "conflat", "sized": "size",
+    "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "rational": "ration", "digitizer": "digit", "vietnamization": "vietnam",
+    "operator": "oper", "sensibiliti": "sensibl", "triplicate": "triplic", "goodness": "good", "replacement": "replac", "adoption": "adopt", "rate": "rate", "cease": "ceas", "controll": "control",
+    "roll": "roll", "generalizations": "gener", "is": "is", "": "",
+}
+
+
 def test_stemmer(spark):
-    got = spark.createDataFrame([(["caresses", "ponies", "cats", "agreed", "plastered", "motoring", "happy", "adjustment"],)], "w array<string>").select(text.stemmed("w").alias("s")).first().s
-    assert got == ["caress", "poni", "cat", "agree", "plaster", "motor", "happi", "adjust"]
+    got = spark.createDataFrame([(list(STEMS),), (None,)], "w array<string>").select(text.stemmed("w").alias("s")).collect()
+    assert dict(zip(STEMS, got[0].s)) == STEMS and got[1].s is None
+
+
+def test_tokens(spark):
+    said = "The Ponies are 42 hopping,\tcaf\u00e9 x9 operators"
+    rows = spark.createDataFrame([(said,), (None,)], "t string").select(text.tokens(F.col("t"), ["the", "are"]).alias("t"), text.ascii_tokens(F.col("t")).alias("a"), text.normalised(F.col("t"), ["the"], stem=True).alias("n")).collect()
+    assert rows[0].a == ["the", "poni", "ar", "hop", "caf", "x9", "oper"]
+    assert rows[0].t[:2] == ["poni", "hop"] and rows[0].t[-2:] == ["x9", "oper"]
+    assert rows[0].n == "poni ar dpnum hop caf xdpnum oper" and (rows[1].t, rows[1].a, rows[1].n) == ([], [], None)
+
+
+def test_escapes_and_suffixes(spark):
+    assert one(spark, "a\tb\nc\\d\r", text.escaped) == "a\\tb\\nc\\\\d\\r"
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": (None, "co.uk"), "x.y.com": ("y.com", "com"), "1.2.3.4": ("1.2.3.4", None), "bare": (None, "bare")}
+    for host, (domain, suffix) in hosts.items():
+        assert (one(spark, host, urls.registrable_domain), one(spark, host, urls.public_suffix)) == (domain, suffix)
+    assert one(spark, "a.org/x", urls.with_scheme) == "http://a.org/x" and one(spark, "https://a.org", urls.with_scheme) == "https://a.org"
+
+
+def test_lists(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, []), (3, None)], "id int, x array<string>")
+    rows = {r.id: r for r in df.select("id", lists.tuples(F.col("x"), 3, F.lit("-")).alias("t"), lists.random_subarray(F.col("x"), 2).alias("r"), lists.deep_flatten(F.array(F.array("x"), F.array("x")), 2).alias("f")).collect()}
+    assert rows[1].t == [["a", "b", "c"], ["d", "-", "-"]] and len(set(rows[1].r) & set("abcd")) == 2 and rows[1].f == list("abcdabcd")
+    assert (rows[2].t, rows[2].r, rows[2].f) == ([], [], []) and (rows[3].r, rows[3].f) == (None, [])
 
 
 def test_colours_and_rectangles(spark):

@@ -223,3 +223,39 @@ def test_word_vectors_are_means(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a"), (3, "b"), (4, "a b a b"), (5, None)], "id long, text string")
     got = {r.id: np.array(r.features.toArray()) for r in features.word_vectors(df, "text", 4).collect()}
     assert np.allclose(got[1], (got[2] + got[3]) / 2) and np.allclose(got[1], got[4]) and not got[5].any()
+
+
+def test_components_agree_with_numpy(spark):
+    x = np.random.default_rng(3).normal(size=(200, 5)) @ np.diag([5, 3, 1, 0.5, 0.1]) + 0.3
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(999, None)], "id int, v array<double>")
+    values, components, shares = features.truncated_svd(df, "v", 3)
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(values, s[:3])
+    assert np.allclose(np.abs((components * vt[:3]).sum(axis=1)), 1)
+    assert np.allclose(shares, (x @ vt[:3].T).var(axis=0) / x.var(axis=0).sum())
+    got = {r.id: r.p for r in features.projected(df, "v", components, "p").select("id", "p").collect()}
+    assert np.allclose([got[k] for k in range(200)], x @ components.T) and got[999] == [None] * 3
+    centred = np.linalg.svd(x - x.mean(axis=0))[1] ** 2
+    shares, rows = features.principal_components(df, "v", 4)
+    assert np.allclose(shares, (centred / centred.sum())[:4]) and rows.shape == (4, 5)
+    assert len(features.principal_components(df, "v", 0.9)[0]) == int(np.searchsorted(np.cumsum(centred / centred.sum()), 0.9)) + 1
+    assert np.allclose(features.component_cosines(components, components), 1)
+    assert features.component_cosines(np.zeros((1, 5)), components[:1]) == [0.0]
+
+
+def test_moments_of_nothing(spark):
+    assert features.truncated_svd(spark.createDataFrame([], "v array<double>"), "v", 2)[0] == []
+
+
+def test_samples_are_whole_and_repeat(spark):
+    df = spark.range(100).withColumn("g", F.when(F.col("id") < 3, "few").otherwise("many"))
+    one, two = ([r.id for r in rel.hash_sample(df, "id", 10).collect()] for _ in range(2))
+    assert one == two and len(set(one)) == 10 and one != list(range(10))
+    assert [r.id for r in rel.hash_sample(df, "id", 10, seed=1).collect()] != one
+    per = rel.sample_per_group(df, "g", "id", 5).groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in per} == {"few": 3, "many": 5}
+
+
+def test_elapsed_minutes(spark):
+    df = spark.sql("SELECT timestamp'2024-01-01 10:00:00' AS a, timestamp'2024-01-01 11:30:15' AS b")
+    assert df.select(series.elapsed_minutes(F.col("a"), F.col("b")).alias("m")).first().m == 90.25
