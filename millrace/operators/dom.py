@@ -157,6 +157,75 @@ def search_forms(node_table: DataFrame) -> DataFrame:
     return node_table.filter((F.col("tag") == "form") & F.exists(F.map_values("attrs"), lambda v: v.rlike(f"(?i){SEARCH}")))
 
 
+def _below(ns: list[dict], top: int) -> Iterator[int]:
+    """Nodes below one, in document order."""
+    ahead = ns[top]["kids"][::-1]
+    while ahead:
+        k = ahead.pop()
+        yield k
+        ahead += ns[k]["kids"][::-1]
+
+
+def search_handles(pages: DataFrame) -> DataFrame:
+    """page_id and the paths of a page's search form, its text box and its button (null without one); no row
+    without a text box. The form is the first one whose id, class, action, name or role names a search, and its
+    last box and button count. Else it is the last form with a box whose own attributes do, with the first such
+    box and the form's first button."""
+    import re
+
+    from .scoring import SEARCH
+
+    def names(node: dict, attrs: str) -> bool:
+        return any(re.search(SEARCH, node["attrs"].get(a, ""), re.I) for a in attrs.split())
+
+    def box(node: dict) -> bool:
+        return node["tag"] == "input" and (node["attrs"].get("type") or "text").lower() in ("text", "search")
+
+    def button(node: dict) -> bool:
+        return node["tag"] == "button" or node["tag"] == "input" and node["attrs"].get("type", "").lower() == "submit"
+
+    def of(ns: list[dict]) -> list[tuple]:
+        forms = [k for k, n in enumerate(ns) if n["tag"] == "form"]
+        named = [k for k in forms if names(ns[k], "id class action name role")]
+        if named:
+            form, chosen = named[0], None
+            boxes = [k for k in _below(ns, form) if box(ns[k])]
+            chosen = boxes[-1] if boxes else None
+            buttons = [k for k in _below(ns, form) if button(ns[k])][-1:]
+        else:
+            found = [(k, b) for k in forms for b in [next((b for b in _below(ns, k) if box(ns[b]) and names(ns[b], "id class title value placeholder")), None)] if b is not None]
+            form, chosen = found[-1] if found else (None, None)
+            buttons = [k for k in _below(ns, form) if button(ns[k])][:1] if found else []
+        return [(ns[form]["path"], ns[chosen]["path"], ns[buttons[0]]["path"] if buttons else None)] if chosen is not None else []
+
+    return _per_page(pages, of, "page_id long, form string, box string, button string")
+
+
+def select_options(pages: DataFrame) -> DataFrame:
+    """page_id, the path of each select that has a text and whose selected option (the first, if none is marked)
+    isn't 1, and of its options, with their text; options that ask to select or choose are left out."""
+
+    def of(ns: list[dict]) -> list[tuple]:
+        texts, out = inner_texts(ns), []
+        for k, n in enumerate(ns):
+            options = [o for o in _below(ns, k) if ns[o]["tag"] == "option"] if n["tag"] == "select" else []
+            marked = [o for o in options if "selected" in ns[o]["attrs"]] or options
+            if options and texts[k] and texts[marked[0]] != "1":
+                out += [(n["path"], ns[o]["path"], texts[o]) for o in options if not any(w in texts[o].upper() for w in ("SELECT", "CHOOSE"))]
+        return out
+
+    return _per_page(pages, of, "page_id long, path string, option string, text string")
+
+
+def trigger_lists(triggers: DataFrame, lists: DataFrame) -> DataFrame:
+    """page_id, trigger and list of each list that the trigger or one of its siblings holds or is; both frames have
+    page_id and path. Such a list lies below the trigger's parent, so this is an equi-join on the lists' ancestors;
+    triggers without a parent have no siblings here and no lists."""
+    above = lists.select("page_id", F.col("path").alias("list"), F.explode(F.array_distinct(_ancestors(F.col("path")))).alias("parent")).filter("parent <> list")
+    below = triggers.select("page_id", F.col("path").alias("trigger"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("parent")).filter("parent <> ''")
+    return below.join(above, ["page_id", "parent"]).select("page_id", "trigger", "list")
+
+
 def popup_container(df: DataFrame, page: str, z_index: str, order: str) -> DataFrame:
     """The node of largest z-index a page, the first of several."""
     from .relational import keep_first

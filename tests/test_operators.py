@@ -259,3 +259,33 @@ def test_samples_are_whole_and_repeat(spark):
 def test_elapsed_minutes(spark):
     df = spark.sql("SELECT timestamp'2024-01-01 10:00:00' AS a, timestamp'2024-01-01 11:30:15' AS b")
     assert df.select(series.elapsed_minutes(F.col("a"), F.col("b")).alias("m")).first().m == 90.25
+
+
+def test_search_handles(spark):
+    pages = [
+        (1, "<form id=login><input name=u></form><form class=SiteSearch><input type=text><input type=search><button>a</button><input type=submit></form>"),
+        (2, "<div><form><input title='srch me'><button>x</button><button>y</button></form></div>"),
+        (3, "<form action=/search><button>go</button></form><form><input title=search></form>"),
+        (4, "<form role=query><p><input></p></form>"),
+        (5, None),
+    ]
+    got = {r.page_id: (r.form, r.box, r.button) for r in dom.search_handles(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    assert got == {
+        1: ("/form[2]", "/form[2]/input[2]", "/form[2]/input[3]"),
+        2: ("/div[1]/form[1]", "/div[1]/form[1]/input[1]", "/div[1]/form[1]/button[1]"),
+        4: ("/form[1]", "/form[1]/p[1]/input[1]", None),
+    }
+
+
+def test_select_options(spark):
+    html = "<select><option>Choose a size<option>S<option selected>M</select><select><option>1<option>2</select><select></select>"
+    got = dom.select_options(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).collect()
+    assert sorted((r.path, r.option, r.text) for r in got) == [("/select[1]", "/select[1]/option[2]", "S"), ("/select[1]", "/select[1]/option[3]", "M")]
+
+
+def test_trigger_lists(spark):
+    schema = "page_id long, path string"
+    triggers = spark.createDataFrame([(1, "/div[1]/span[1]"), (1, "/div[2]/a[1]"), (1, "/p[1]"), (2, "/div[1]/span[1]")], schema)
+    lists = spark.createDataFrame([(1, "/div[1]/ul[1]"), (1, "/div[1]/p[1]/ol[1]"), (1, "/div[2]"), (1, "/ul[1]"), (2, "/div[1]/span[1]/dl[1]")], schema)
+    got = sorted(tuple(r) for r in dom.trigger_lists(triggers, lists).collect())
+    assert got == [(1, "/div[1]/span[1]", "/div[1]/p[1]/ol[1]"), (1, "/div[1]/span[1]", "/div[1]/ul[1]"), (2, "/div[1]/span[1]", "/div[1]/span[1]/dl[1]")]
