@@ -9,6 +9,7 @@ from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .language_id import op2_language_id
 from .mixing import op1_mixing
 from .packing import op9_packing
+from .pii import op11_pii
 from .simhash import op6_simhash
 from .suffix_dedup import op10_suffix_dedup
 from .toxicity import op5_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_pii": op11_pii,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,

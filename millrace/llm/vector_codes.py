@@ -47,7 +47,7 @@ def _sums(books: Broadcast):
         parts, entries, width = b.shape
         counts, totals = np.zeros((parts, entries), np.int64), np.zeros((parts, entries, width), np.int64)
         for batch in batches:
-            x = matrix(batch.column(0), parts * width).reshape(-1, parts, width)
+            x = matrix(batch.column(0), parts * width).reshape(batch.num_rows, parts, width)
             for p in range(parts):
                 k, _ = nearest(x[:, p], b[p])
                 counts[p] += np.bincount(k, minlength=entries)
@@ -67,7 +67,7 @@ def _coded(books: Broadcast):
         b = books.value
         parts, _, width = b.shape
         for batch in batches:
-            x = matrix(batch.column(2), parts * width).reshape(-1, parts, width)
+            x = matrix(batch.column(2), parts * width).reshape(batch.num_rows, parts, width)
             codes, error = np.zeros((len(x), parts), np.uint8), np.zeros(len(x), np.int64)
             for p in range(parts):
                 k, d = nearest(x[:, p], b[p])
@@ -84,7 +84,7 @@ def train(spark: SparkSession, vectors: DataFrame, parts: int = PARTS, entries:
     longest = vectors.agg(F.max(F.length("vec"))).first()[0] or 0
     width = -(-longest // 4 // parts)
     first = vectors.orderBy(F.col("vec_id").asc_nulls_last(), "vec").select("vec").limit(entries).collect()
-    books = matrix(pa.array([bytes(r.vec) for r in first], pa.binary()), parts * width).reshape(-1, parts, width).transpose(1, 0, 2).copy()
+    books = matrix(pa.array([bytes(r.vec) for r in first], pa.binary()), parts * width).reshape(len(first), parts, width).transpose(1, 0, 2).copy()
     for _ in range(rounds if first and width else 0):
         sent = spark.sparkContext.broadcast(books)
         sums = vectors.select("vec").mapInArrow(_sums(sent), "part long, entry long, place long, total long, n long")
