@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 from .cluster import components
-from .near import NO_ID, Cells, nearest, pairs_within, rough
+from .near import CHUNK, NO_ID, Cells, nearest, pairs_within, rough
 
 #: Rows of a neighbour list, and components that the driver merges; more are merged by joins.
 LIST_ROWS, DRIVER_ROWS = 15, 100_000
@@ -67,11 +67,14 @@ def outside(cells: Cells, nodes: DataFrame, name: str) -> DataFrame:
     scratch, metric, slack, spark = cells.scratch, cells.metric, cells.slack, cells.scratch.spark
     marks = nodes.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("at", "comp", "core", "limit", "open"))).alias("m"), F.count_if("open").alias("n_open"), F.max(F.when(F.col("open"), F.col("limit"))).alias("far"))
     marks = marks.select("part", "n_open", "far", *(F.col(f"m.{c}").alias(c) for c in ("comp", "core", "limit", "open")))
-    table = scratch.save(cells.parts.select("part", "ids", "x", "centre", "radius").join(marks, "part"), f"{name}-marked")
+    marks = scratch.save(marks, f"{name}-marks")
     n_open, far = np.zeros(len(cells.ids)), np.full(len(cells.ids), np.inf)
-    for r in table.select("part", "n_open", "far").collect():  # a row for each cell
+    for r in marks.select("part", "n_open", "far").collect():  # a row for each cell
         i = int(np.searchsorted(cells.ids, r.part))
         n_open[i], far[i] = r.n_open, r.far if r.far is not None else 0.0
+    if not n_open.any():
+        return spark.createDataFrame([], OUTSIDE)
+    table = scratch.save(cells.parts.select("part", "ids", "x", "centre", "radius").join(marks, "part"), f"{name}-marked")
     names = []
     for n, at in enumerate(cells.ranges(n_open)):
         own = table.filter(F.col("part").isin(cells.ids[at].tolist())).collect()
@@ -303,22 +306,22 @@ def dbscan(df: DataFrame, id_col: str, vector: str, eps: float, least: int, metr
     cells = Cells(scratch, rows, metric, 1, **({"cell_rows": cell_rows} if cell_rows else {}))
     if not cells.rows:
         return rows.select("id", F.lit(-1).cast("long").alias("cluster"))
-    slack = cells.slack
+    slack, width = cells.slack, cells.width
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Balls of each cell, each around its first row (by id) that no ball has."""
         for batch in batches:
             for r in batch.to_pylist():
-                ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"], np.float64).reshape(-1, cells.width)
+                ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"], np.float64).reshape(-1, width)
                 ball = np.full(len(ids), -1, np.int64)
                 for i in range(len(ids)):
                     if ball[i] < 0:
                         ball[(ball < 0) & (rough(x[i : i + 1], x, metric)[0] <= reach / 2 - slack)] = ids[i]
                         ball[i] = ids[i]
                 _, of, n = np.unique(ball, return_inverse=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([r[c]], t) for c, t in (("part", pa.int64()), ("ids", pa.binary()), ("x", pa.binary()))] + [pa.array([v.astype(np.int64).tobytes()], pa.binary()) for v in (ball, n[of])] + [pa.array([r["centre"]], pa.list_(pa.float64())), pa.array([r["radius"]])], ["part", "ids", "x", "ball", "n", "centre", "radius"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[c]], t) for c, t in (("part", pa.int64()), ("ids", pa.binary()), ("x", pa.binary()))] + [pa.array([v.astype(np.int64).tobytes()], pa.binary()) for v in (ball, n[of])] + [pa.array([r["centre"]], pa.list_(pa.float64())), pa.array([r["radius"]]), pa.array([int((n[of] < least).sum())])], ["part", "ids", "x", "ball", "n", "centre", "radius", "thin"])
 
-    kind = "part long, ids binary, x binary, ball binary, n binary, centre array<double>, radius double"
+    kind = "part long, ids binary, x binary, ball binary, n binary, centre array<double>, radius double, thin long"
     balls = scratch.save(cells.parts.select("part", "ids", "x", "centre", "radius").mapInArrow(gather, kind), "balls")
 
     def search(table: DataFrame, asks, name: str, schema: str, answer) -> DataFrame:
@@ -327,12 +330,11 @@ def dbscan(df: DataFrame, id_col: str, vector: str, eps: float, least: int, metr
         for r in table.select("part", F.col("asked")).collect():
             n_asked[int(np.searchsorted(cells.ids, r.part))] = r.asked
         for n, at in enumerate(cells.ranges(n_asked)):
-            own = [opened(r.asDict(), cells.width) for r in table.filter(F.col("part").isin(cells.ids[at].tolist())).collect()]
+            own = [opened(r.asDict(), width) for r in table.filter(F.col("part").isin(cells.ids[at].tolist())).collect()]
             picked = [{c: v[asks(o)] for c, v in o.items() if isinstance(v, np.ndarray) and c != "centre"} for o in own]
             sent = spark.sparkContext.broadcast({c: np.concatenate([p[c] for p in picked]) for c in picked[0]})
-            width = cells.width
 
-            def run(batches: Iterator[pa.RecordBatch], sent=sent, width=width) -> Iterator[pa.RecordBatch]:
+            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
                 yield answer(sent.value, (opened(r, width) for batch in batches for r in batch.to_pylist()))
 
             scratch.save(cells.some(table, cells.reached(at, np.full(len(at), reach))).drop("asked").mapInArrow(run, schema), f"{name}{n}")
@@ -340,34 +342,47 @@ def dbscan(df: DataFrame, id_col: str, vector: str, eps: float, least: int, metr
             sent.unpersist()
         return spark.read.schema(schema).parquet(*map(scratch.path, names)) if names else spark.createDataFrame([], schema)
 
-    def near_cell(q: dict, o: dict, wanted=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        at = np.flatnonzero(rough(q["x"], o["centre"][None], metric)[:, 0] - o["radius"] <= reach + slack)
-        for i, j, d in pairs_within(q["x"][at], o["x"], np.full(len(at), reach), slack, metric, None if wanted is None else lambda i, j: wanted(at[i], j)):
+    def near_cell(q: dict, o: dict, limit: np.ndarray, wanted=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        at = np.flatnonzero(rough(q["x"], o["centre"][None], metric)[:, 0] - o["radius"] <= limit + slack)
+        for i, j, d in pairs_within(q["x"][at], o["x"], limit[at], slack, metric, None if wanted is None else lambda i, j: wanted(at[i], j)):
             yield at[i], j, d
 
     def counted(q: dict, others) -> pa.RecordBatch:
+        """Neighbours of rows of small balls, until there are enough."""
         n = np.zeros(len(q["ids"]), np.int64)
         for o in others:
-            for i, _, _ in near_cell(q, o):
+            for i, _, _ in near_cell(q, o, np.where(n < least, reach, -np.inf)):
                 n += np.bincount(i, minlength=len(n))
         return pa.RecordBatch.from_arrays([pa.array(q["ids"]), pa.array(n)], ["id", "n"])
 
-    thin = F.udf(lambda n: int((np.frombuffer(n, np.int64) < least).sum()), "long")
-    counts = search(balls.withColumn("asked", thin("n")), lambda o: o["n"] < least, "counts", "id long, n long", counted)
+    counts = search(balls.withColumnRenamed("thin", "asked"), lambda o: o["n"] < least, "counts", "id long, n long", counted)
     sparse = scratch.save(counts.groupBy("id").agg(F.sum("n").alias("n")).select("id", (F.col("n") >= least).alias("core")), "sparse")
     by_part = cells.places().join(sparse, "id", "left").withColumn("core", F.coalesce("core", F.lit(True)))
     flags = by_part.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "core"))), lambda s: s["core"]).alias("core"), F.count_if("core").alias("cores"), F.count_if(~F.col("core")).alias("others"))
-    marked = scratch.save(balls.join(flags, "part"), "marked")
+    marked = scratch.save(balls.drop("thin").join(flags, "part"), "marked")
 
     def linked(q: dict, others) -> pa.RecordBatch:
-        """Links of balls: one for each pair of balls with core rows within reach."""
+        """Links of balls: one for each pair of balls with core rows within reach. Most pairs are told by their
+        first core rows; only the others compare all of theirs, until one fits."""
         found: set[tuple[int, int]] = set()
+        balls_q, first_q, of_q = np.unique(q["ball"], return_index=True, return_inverse=True)
         for o in others:
-            if not o["core"].any():
+            cores = np.flatnonzero(o["core"])
+            if not len(cores):
                 continue
-            known = lambda i, j, o=o: o["core"][j] & (q["ball"][i] < o["ball"][j])
-            for i, j, _ in near_cell(q, o, known):
-                found.update(map(tuple, np.unique(np.stack([q["ball"][i], o["ball"][j]], axis=1), axis=0).tolist()))
+            balls_o, first_o, of_o = np.unique(o["ball"][cores], return_index=True, return_inverse=True)
+            done = balls_q[:, None] >= balls_o
+            for i, j, _ in pairs_within(q["x"][first_q], o["x"][cores[first_o]], np.full(len(balls_q), reach), slack, metric, lambda i, j, done=done: ~done[i, j]):
+                found.update(zip(balls_q[i].tolist(), balls_o[j].tolist()))
+                done[i, j] = True
+            ask = np.flatnonzero(~done.all(1)[of_q] & (rough(q["x"], o["centre"][None], metric)[:, 0] - o["radius"] <= reach + slack))
+            for k in range(0, len(ask), CHUNK):
+                rows_ = ask[k : k + CHUNK]
+                for i, j, _ in pairs_within(q["x"][rows_], o["x"][cores], np.full(len(rows_), reach), slack, metric, lambda i, j, done=done, rows_=rows_, of_o=of_o: ~done[of_q[rows_[i]], of_o[j]]):
+                    a, b = of_q[rows_[i]], of_o[j]
+                    fresh = ~done[a, b]
+                    found.update(zip(balls_q[a[fresh]].tolist(), balls_o[b[fresh]].tolist()))
+                    done[a, b] = True
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in sorted(found)], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     links = search(marked.withColumn("asked", F.col("cores")).drop("cores", "others"), lambda o: o["core"], "links", "a long, b long", linked)
@@ -387,8 +402,10 @@ def dbscan(df: DataFrame, id_col: str, vector: str, eps: float, least: int, metr
     def bordering(q: dict, others) -> pa.RecordBatch:
         """The nearest core rows of rows that aren't, all of equal distance."""
         best: dict[int, tuple[float, set[int]]] = {}
+        limit = np.full(len(q["ids"]), reach)
         for o in others:
-            for i, j, d in near_cell(q, o, lambda i, j, o=o: o["core"][j]):
+            for i, j, d in near_cell(q, o, limit, lambda i, j, o=o: o["core"][j]):
+                np.minimum.at(limit, i, d)
                 for a, b, x in zip(q["ids"][i].tolist(), o["ids"][j].tolist(), d.tolist()):
                     if a not in best or x < best[a][0]:
                         best[a] = (x, {b})

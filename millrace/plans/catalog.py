@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists, measures, text, urls
-from ..operators import cluster, dom, features, scoring, series
+from ..operators import cluster, density, dom, features, linkage, scoring, series
 from ..operators import relational as rel
 from ..session import table
 
@@ -532,19 +532,17 @@ def silhouette(spark, sf):
 
 @query()
 def dbscan(spark, sf):
-    return cluster.dbscan(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.9, 3)
+    return density.dbscan(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.9, 3)
 
 
 @query()
 def hdbscan(spark, sf):
-    """All rows are one clustering, in one task: more than `cluster.GROUP_ROWS` of them are refused, not parted."""
-    df = table(spark, sf, "embeddings").withColumn("part", F.lit(0))
-    return cluster.grouped(df, "part", "vec_id", "embedding", lambda x: cluster.hdbscan_labels(x, 5))
+    return density.hdbscan(table(spark, sf, "embeddings"), "vec_id", "embedding", 5)
 
 
 @query()
 def ward_linkage(spark, sf):
-    return cluster.grouped(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", lambda x: cluster.ward_labels(x, 1.5))
+    return linkage.ward(table(spark, sf, "embeddings"), "vec_id", "embedding", 1.5)
 
 
 @query()
