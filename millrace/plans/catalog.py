@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists, measures, text, urls
-from ..operators import cluster, density, dom, features, linkage, scoring, series
+from ..operators import cluster, density, dom, features, linkage, scoring, series, sparse
 from ..operators import relational as rel
-from ..session import table
+from ..session import Scratch, table
+from ..streaming import visits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -359,6 +360,18 @@ def session_unpivot(spark, sf):
     return wide.selectExpr("user_id", f"stack({len(PHASES)}, {pairs}) AS (phase, at)").filter("at IS NOT NULL")
 
 
+@query("""WITH m AS (SELECT user_id, event_type, max(ts) AS t FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+u AS (SELECT *, max(t) OVER (PARTITION BY user_id) AS last_t, max(t) OVER () AS now_t FROM m)
+SELECT user_id AS visit, event_type AS phase, date_trunc('milliseconds', t) AS "at" FROM u WHERE last_t + INTERVAL 30 MINUTE <= now_t - INTERVAL 1 HOUR""")
+def visit_phases_stream(spark, sf):
+    """The event table as a stream: the phases of each user that has been silent for half an hour when the watermark
+    (an hour behind the last event) stands still."""
+    # a pattern, since a stream takes a single file by no other name
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/[e]vents.parquet")
+    scratch = Scratch(spark, "visits")
+    return visits.saved(visits.visit_phases(stream, "user_id", "event_type", "ts"), scratch.path("out"), scratch.path("checkpoint"))
+
+
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, coalesce((l_quantity - min(l_quantity) OVER w) / nullif(max(l_quantity) OVER w - min(l_quantity) OVER w, 0), 0) AS q,
   coalesce((l_extendedprice - min(l_extendedprice) OVER w) / nullif(max(l_extendedprice) OVER w - min(l_extendedprice) OVER w, 0), 0) AS p FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)),
 r AS (SELECT *, round(0.0 + q * 0.4 + p * 0.6, 9) AS score FROM s), k AS (SELECT *, row_number() OVER o AS rank, lead(score) OVER o AS next_score FROM r WINDOW o AS (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber, l_partkey, l_extendedprice))
@@ -561,6 +574,15 @@ def svd(spark, sf):
     return _report(spark, "singular_value", values, shares)
 
 
+@query()
+def text_svd(spark, sf):
+    """Leading components of the hashed words of all documents, in 2^18 sparse columns."""
+    words = features.hashed_vectors(table(spark, sf, "documents").fillna("", ["text"]), "text")
+    rows = Scratch(spark, "text-svd").save(sparse.layout(words, "doc_id", "features"), "rows")
+    values, components = sparse.svd(rows, 1 << 18, 8)
+    return _report(spark, "singular_value", values, sparse.explained(rows, 1 << 18, components))
+
+
 @query()
 def svd_projection(spark, sf):
     e = table(spark, sf, "embeddings")
