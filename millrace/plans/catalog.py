@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists, measures, text, urls
-from ..operators import cluster, density, dom, features, linkage, scoring, series, sparse
+from ..operators import cluster, density, dom, features, linkage, scoring, series, sparse, suffixes
 from ..operators import relational as rel
 from ..session import Scratch, table
 from ..streaming import visits
@@ -388,7 +388,7 @@ def link_rank_score(spark, sf):
 
 @query("SELECT c_custkey, ntile(8) OVER (ORDER BY c_name, c_custkey)::INT AS chunk FROM customer")
 def ntile_chunks(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", F.ntile(8).over(Window.orderBy("c_name", "c_custkey")).alias("chunk"))
+    return rel.chunked(table(spark, sf, "customer").select("c_custkey", "c_name"), ["c_name", "c_custkey"], 8).select("c_custkey", "chunk")
 
 
 @query("SELECT doc_id, source FROM documents ORDER BY md5('0|' || doc_id), doc_id LIMIT 50")
@@ -798,6 +798,23 @@ def site_suffix(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.registrable_domain(host).alias("domain"), urls.public_suffix(host).alias("suffix"))
 
 
+#: Rules in the notation of suffix lists, for the hosts of the tables.
+SUFFIX_RULES = ("com", "net", "org", "*.net", "!example.net", "example.com", "de", "co.uk")
+
+
+@query(f"""WITH rules AS (SELECT unnest({list(SUFFIX_RULES)}) AS rule),
+h AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host FROM pages), l AS (SELECT host, string_split(host, '.') AS l FROM h),
+e AS (SELECT host, l, k, array_to_string(l[-k:], '.') AS ending, '*.' || array_to_string(l[-k + 1:], '.') AS wild FROM l, range(1, 20) t(k) WHERE k <= len(l)),
+f AS (SELECT host, max(k) FILTER (rule = ending OR (k > 1 AND rule = wild)) AS n, max(k) FILTER (rule = '!' || ending) - 1 AS x FROM e LEFT JOIN rules ON rule = ending OR rule = wild OR rule = '!' || ending GROUP BY host),
+s AS (SELECT host, coalesce(x, n, 1) AS k FROM f)
+SELECT page_id, array_to_string(l[-s.k:], '.') AS suffix, CASE WHEN len(l) > s.k THEN array_to_string(l[-s.k - 1:], '.') END AS domain
+FROM pages JOIN l ON l.host = lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) JOIN s ON s.host = l.host""")
+def suffix_rules(spark, sf):
+    rules = spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string")
+    pages = table(spark, sf, "pages").select("page_id", urls.hostname(F.col("url")).alias("host"))
+    return suffixes.with_suffix(pages, "host", rules).select("page_id", "suffix", "domain")
+
+
 @query("SELECT conv_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6, 6) AS minutes FROM (SELECT user_id AS conv_id, ts FROM events) GROUP BY 1")
 def elapsed_minutes(spark, sf):
     spans = table(spark, sf, "events").groupBy(F.col("user_id").alias("conv_id")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.functions import measures
-from millrace.operators import cluster, dom, features, scoring, series
+from millrace.operators import cluster, density, dom, features, scoring, series
 from millrace.operators import relational as rel
 
 
@@ -114,7 +114,7 @@ def two_blobs():
 def test_clusterings(spark):
     x = two_blobs()
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
-    got = {r.id: r.cluster for r in cluster.dbscan(df, "id", "v", 1.0, 3).collect()}
+    got = {r.id: r.cluster for r in density.dbscan(df, "id", "v", 1.0, 3).collect()}
     assert {got[i] for i in range(20)} == {0} and {got[i] for i in range(20, 40)} == {20} and got[40] == -1
     link = {r.id: r.cluster for r in cluster.single_linkage(df, "id", "v", 1.0).collect()}
     assert len(set(link.values())) == 3 and link[40] == 40
