@@ -24,50 +24,82 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr"
 
 
 class Tree(HTMLParser):
+    """Nodes in document order, each with the numbers of its last descendant, of its pieces of text, and of the siblings (elements,
+    comments and texts that aren't blank) before it. Linear in the page: open nodes count their children by tag."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[int] = []
+        self.pieces: list[str] = []
+        self.top = {"by_tag": {}, "slots": 0, "in_text": False}
+
+    def _slot(self, text: bool) -> int:
+        """The place of a new child of the open node; pieces of one text share a place."""
+        up = self.nodes[self.open[-1]] if self.open else self.top
+        if not (text and up["in_text"]):
+            up["slots"] += 1
+        up["in_text"] = text
+        return up["slots"] - 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         ends = CLOSES.get(tag, set())
         if self.open and self.nodes[self.open[-1]]["tag"] in (ends or ({"p"} if tag in BLOCKS else set())):
-            self.open.pop()
+            self._close(len(self.open) - 1)
         parent = self.open[-1] if self.open else -1
-        nth = 1 + sum(1 for k in (self.nodes[parent]["kids"] if parent >= 0 else [i for i, n in enumerate(self.nodes) if n["parent"] < 0]) if self.nodes[k]["tag"] == tag)
-        path = (self.nodes[parent]["path"] if parent >= 0 else "") + f"/{tag}[{nth}]"
-        self.nodes.append({"tag": tag, "parent": parent, "path": path, "attrs": {k: v or "" for k, v in attrs}, "text": [], "kids": [], "depth": len(self.open)})
-        me = len(self.nodes) - 1
+        up = self.nodes[parent] if parent >= 0 else self.top
+        nth = up["by_tag"][tag] = up["by_tag"].get(tag, 0) + 1
+        before, me = self._slot(False), len(self.nodes)
+        path = (up["path"] if parent >= 0 else "") + f"/{tag}[{nth}]"
+        self.nodes.append({"tag": tag, "parent": parent, "path": path, "attrs": {k: v or "" for k, v in attrs}, "kids": [], "depth": len(self.open), "end": me, "own": False, "first": len(self.pieces), "last": len(self.pieces), "before": before, "by_tag": {}, "slots": 0, "in_text": False})
         if parent >= 0:
-            self.nodes[parent]["kids"].append(me)
+            up["kids"].append(me)
         if tag not in VOID:
             self.open.append(me)
 
+    def _close(self, k: int) -> None:
+        """Close the open nodes from the k-th on."""
+        for n in self.open[k:]:
+            self.nodes[n]["end"], self.nodes[n]["last"] = len(self.nodes) - 1, len(self.pieces)
+        del self.open[k:]
+
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.nodes[self.open[k]]["tag"] == tag:
-                del self.open[k:]
+                self._close(k)
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._slot(True)
         if self.open and self.nodes[self.open[-1]]["tag"] not in IGNORED:
-            self.nodes[self.open[-1]]["text"].append((len(self.nodes), data))
+            self.nodes[self.open[-1]]["own"] |= bool(data.strip())
+            self.pieces.append(data)
+
+    def handle_comment(self, data: str) -> None:
+        self._slot(False)
+
 
+class Nodes(list):
+    """A page's nodes, and its pieces of text in document order."""
 
-def parse(html: str | None) -> list[dict]:
+    pieces: list[str]
+    slots: int
+
+
+def parse(html: str | None) -> Nodes:
     tree = Tree()
     tree.feed(html or "")
     tree.close()
-    return tree.nodes
+    tree._close(0)
+    out = Nodes(tree.nodes)
+    out.pieces, out.slots = tree.pieces, tree.top["slots"]
+    return out
 
 
-def inner_texts(nodes: list[dict]) -> list[str]:
+def inner_texts(nodes: Nodes) -> list[str]:
     """Each node's own and descendants' text in document order."""
-    parts: list[list] = [list(n["text"]) for n in nodes]
-    for k in range(len(nodes) - 1, -1, -1):
-        if nodes[k]["parent"] >= 0:
-            parts[nodes[k]["parent"]] += parts[k]
-    return [" ".join("".join(t for _, t in sorted(p, key=lambda x: x[0])).split()) for p in parts]
+    return [" ".join("".join(nodes.pieces[n["first"] : n["last"]]).split()) for n in nodes]
 
 
 def _per_page(pages: DataFrame, rows_of, schema: str) -> DataFrame:
@@ -86,8 +118,14 @@ def _arrow(schema: str) -> list:
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """page_id, node_id, parent_id (-1 none), depth, tag, path, attrs, text (own and below)."""
-    return _per_page(pages, lambda ns: [(k, n["parent"], n["depth"], n["tag"], n["path"], list(n["attrs"].items()), t) for k, (n, t) in enumerate(zip(ns, inner_texts(ns)))], "page_id long, node_id long, parent_id long, depth long, tag string, path string, attrs map<string,string>, text string")
+    """page_id, node_id (from 0, in document order), parent_id (-1 none), end_id (last node below; itself if none), depth, tag, path, attrs,
+    own_text (whether it has a text of its own), before and after (siblings that aren't blank), and text (own and below)."""
+
+    def of(ns: Nodes) -> list[tuple]:
+        after = [(ns[n["parent"]]["slots"] if n["parent"] >= 0 else ns.slots) - n["before"] - 1 for n in ns]
+        return [(k, n["parent"], n["end"], n["depth"], n["tag"], n["path"], list(n["attrs"].items()), n["own"], n["before"], x, t) for k, (n, x, t) in enumerate(zip(ns, after, inner_texts(ns)))]
+
+    return _per_page(pages, of, "page_id long, node_id long, parent_id long, end_id long, depth long, tag string, path string, attrs map<string,string>, own_text boolean, before long, after long, text string")
 
 
 def _segments(ns: list[dict]) -> list[tuple]:
@@ -255,13 +293,16 @@ def content_vectors(pages: DataFrame) -> DataFrame:
 
 
 def sibling_similarity(node_table: DataFrame, content: DataFrame) -> DataFrame:
-    """page_id, parent_id and the mean cosine of the content vectors of all pairs of its children."""
-    from ..functions.measures import cosine
-
+    """page_id, parent_id, number of pairs of its children and their mean cosine, without the pairs: over unit vectors u the sum of
+    all pairs' cosines is (|sum u|^2 - sum |u|^2) / 2; a null vector's cosines are 0."""
     kids = node_table.filter("parent_id >= 0").select("page_id", "parent_id", "node_id").join(content, ["page_id", "node_id"])
-    a, b = (kids.select("page_id", "parent_id", F.col("node_id").alias(f"n{x}"), F.col("content").alias(f"c{x}")) for x in "ab")
-    pairs = a.join(b, ["page_id", "parent_id"]).filter("na < nb")
-    return pairs.groupBy("page_id", "parent_id").agg(F.count("*").alias("n_pairs"), F.avg(cosine(F.col("ca"), F.col("cb"))).alias("similarity"))
+    norm = F.sqrt(F.aggregate("content", F.lit(0.0), lambda s, x: s + x * x))
+    unit = kids.withColumn("norm", norm).withColumn("u", F.transform("content", lambda x: F.coalesce(F.try_divide(x, F.col("norm")), F.lit(0.0))))
+    places = unit.select("page_id", "parent_id", (F.col("norm") > 0).alias("real"), *(F.col("u")[k].alias(f"u{k}") for k in range(4)))
+    sums = places.groupBy("page_id", "parent_id").agg(F.count("*").alias("n"), F.count_if("real").alias("n_real"), *(F.sum(f"u{k}").alias(f"s{k}") for k in range(4)))
+    square = sum((F.col(f"s{k}") * F.col(f"s{k}") for k in range(4)), F.lit(0.0))
+    pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    return sums.filter("n > 1").select("page_id", "parent_id", pairs.alias("n_pairs"), ((square - F.col("n_real")) / 2 / pairs).alias("similarity"))
 
 
 def similar_blocks(node_table: DataFrame, content: DataFrame, most: float = 0.8) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists, measures, text, urls
-from ..operators import cluster, density, dom, features, linkage, scoring, series, sparse, suffixes
+from ..operators import cluster, density, dom, features, layout, linkage, scoring, series, sparse, suffixes
 from ..operators import relational as rel
 from ..session import Scratch, table
 from ..streaming import visits
@@ -636,6 +636,54 @@ def dom_segments(spark, sf):
     return dom.segments(table(spark, sf, "pages"))
 
 
+@query()
+def path_steps(spark, sf):
+    """Parents of the second item's links in navigation lists: //nav//li[2]/a[@href]/.."""
+    steps = [layout.Step("descendant", "nav"), layout.Step("descendant", "li", (2,)), layout.Step("child", "a", (layout.has("href"),)), layout.Step("parent")]
+    return layout.follow(dom.nodes(table(spark, sf, "pages")), steps).select("page_id", "node_id", "path")
+
+
+@query()
+def tree_distances(spark, sf):
+    """Each link of a page and the next one, by their distance in the tree."""
+    nodes = Scratch(spark, "distances").save(dom.nodes(table(spark, sf, "pages")).select("page_id", "node_id", "parent_id", "depth", "tag", "before", "after"), "nodes")
+    links = nodes.filter("tag = 'a'").select("page_id", F.col("node_id").alias("a"), F.lead("node_id").over(Window.partitionBy("page_id").orderBy("node_id")).alias("b")).filter("b IS NOT NULL")
+    return layout.tree_distance(links, layout.chains(nodes)).select("page_id", "a", "b", "distance")
+
+
+def laid_out(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes of all pages with rectangles: a column of blocks in document order, as wide as their depth leaves and as high as their
+    text asks for. The tables have no rendered layout."""
+    nodes = dom.nodes(table(spark, sf, "pages"))
+    rows = F.ceil(F.length("text") / 80) + 1
+    width = F.greatest(F.lit(1200.0) - 40 * F.col("depth"), F.lit(1.0))
+    return nodes.withColumn("shown", dom.shown(F.col("tag"), F.col("attrs"))).withColumn("left", F.pmod("node_id", F.lit(3)) * 60.0 + 20 * F.col("depth")).withColumn("top", 24.0 * F.col("node_id")).withColumn("width", width).withColumn("height", 20.0 * rows)
+
+
+@query()
+def layout_segments(spark, sf):
+    return layout.block_segments(laid_out(spark, sf), 1200.0 * 800).select("page_id", "node_id", "tag", "path")
+
+
+@query()
+def similarity_segments(spark, sf):
+    nodes = Scratch(spark, "segments").save(laid_out(spark, sf), "nodes")
+    return layout.similarity_segments(nodes, dom.content_vectors(table(spark, sf, "pages"))).select("page_id", "node_id", "tag", "path")
+
+
+@query()
+def trigger_lists(spark, sf):
+    """Lists that an article or one of its siblings holds or is."""
+    nodes = dom.nodes(table(spark, sf, "pages")).select("page_id", "path", "tag")
+    return dom.trigger_lists(nodes.filter("tag = 'article'"), nodes.filter("tag IN ('ul', 'ol')"))
+
+
+@query()
+def without_nested(spark, sf):
+    """Blocks that hold no other block."""
+    return dom.without_nested(dom.nodes(table(spark, sf, "pages")).filter(F.col("tag").isin(*sorted(dom.SEGMENT_BLOCKS))).select("page_id", "node_id", "path"))
+
+
 @query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages) SELECT page_id, href FROM a WHERE href <> '' GROUP BY ALL""")
 def dom_links(spark, sf):
     return dom.links(table(spark, sf, "pages")).select("page_id", "href")
