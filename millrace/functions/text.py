@@ -146,11 +146,16 @@ def tabs_expanded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.expandtabs())
 
 
-# The endings of Porter's published algorithm and what stands in their place, by step.
+# Words whose stems are given, not found.
+GIVEN_STEMS = {
+    "skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+    "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+}
+# The endings of Porter's algorithm, as later extended, and what stands in their place, by step.
 STEP_2 = (
-    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"),
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"),
     ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"),
-    ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+    ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"), ("logi", "log"),
 )
 STEP_3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
 STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
@@ -174,8 +179,9 @@ def _doubled(word: str) -> bool:
 
 
 def _short(word: str) -> bool:
-    """Consonant, vowel, consonant at the end, the last not w, x or y."""
-    return _kinds(word).endswith("cvc") and word[-1] not in "wxy"
+    """Consonant, vowel, consonant at the end, the last not w, x or y; or a vowel and a consonant alone."""
+    kinds = _kinds(word)
+    return kinds == "vc" or (kinds.endswith("cvc") and word[-1] not in "wxy")
 
 
 def _ending(word: str, endings) -> str | None:
@@ -184,13 +190,18 @@ def _ending(word: str, endings) -> str | None:
 
 
 def _stem(word: str) -> str:
-    """Porter's stemmer, on a word in lower case."""
+    """Porter's stemmer with its common extensions, on a word in lower case: y becomes i only after a consonant that isn't the word's
+    first letter, words of four letters in ies and ied keep ie, and some words have given stems."""
+    if word in GIVEN_STEMS:
+        return GIVEN_STEMS[word]
     if len(word) < 3:
         return word
-    plural = {"sses": "ss", "ies": "i", "ss": "ss", "s": ""}
+    plural = {"sses": "ss", "ies": "ie" if len(word) == 4 else "i", "ss": "ss", "s": ""}
     if (end := _ending(word, plural)) is not None:
         word = word[: -len(end)] + plural[end]
-    if word.endswith("eed"):
+    if word.endswith("ied"):
+        word = word[:-1] if len(word) == 4 else word[:-2]
+    elif word.endswith("eed"):
         word = word[:-1] if _measure(word[:-3]) else word
     elif (end := _ending(word, ("ed", "ing"))) and "v" in _kinds(word[: -len(end)]):
         word = word[: -len(end)]
@@ -198,10 +209,12 @@ def _stem(word: str) -> str:
             word += "e"
         elif _doubled(word) and word[-1] not in "lsz":
             word = word[:-1]
-    if word.endswith("y") and "v" in _kinds(word[:-1]):
+    if word.endswith("y") and len(word) > 2 and _kinds(word[:-1]).endswith("c"):
         word = word[:-1] + "i"
+    if word.endswith("alli") and _measure(word[:-4]):
+        word = word[:-2]
     for step in (dict(STEP_2), dict(STEP_3)):
-        if (end := _ending(word, step)) and _measure(word[: -len(end)]):
+        if (end := _ending(word, step)) and _measure(word[:-3] if end == "logi" else word[: -len(end)]):
             word = word[: -len(end)] + step[end]
     if (end := _ending(word, STEP_4)) and _measure(word[: -len(end)]) > 1 and (end != "ion" or word[-4:-3] in ("s", "t")):
         word = word[: -len(end)]

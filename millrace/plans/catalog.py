@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists, measures, text, urls
-from ..operators import cluster, density, dom, features, layout, linkage, scoring, series, sparse, suffixes
+from ..operators import cluster, density, dom, features, languages, layout, linkage, scoring, series, sparse, suffixes
 from ..operators import relational as rel
 from ..session import Scratch, table
 from ..streaming import visits
@@ -502,17 +502,15 @@ SELECT a, count(*) AS n, round(max(s), 5) AS best FROM p GROUP BY 1""")
 def cosine_self_join(spark, sf):
     """The vectors of every id divisible by 20 against all others, whatever their labels."""
     e = table(spark, sf, "embeddings")
-    a, b = (e.select(F.col("vec_id").alias(n), F.col("embedding").alias(f"v{n}")) for n in "ab")
-    p = a.filter("a % 20 = 0").join(b, F.col("a") != F.col("b")).withColumn("s", measures.cosine(F.col("va"), F.col("vb")))
-    return p.groupBy("a").agg(F.count("*").alias("n"), F.round(F.max("s"), 5).alias("best"))
+    return cluster.best_cosine(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding").withColumn("best", F.round("best", 5))
 
 
 @query("SELECT b.p_brand AS brand, r.r_name AS region, s.size FROM (SELECT DISTINCT p_brand FROM part) b, region r, (VALUES ('S'), ('M'), ('L')) s(size)")
 def option_cartesian(spark, sf):
-    lists = table(spark, sf, "region").agg(F.collect_set("r_name").alias("regions"))
-    brands = table(spark, sf, "part").select("p_brand").distinct().agg(F.collect_set("p_brand").alias("brands"))
-    both = brands.crossJoin(lists).withColumn("sizes", F.array(F.lit("S"), F.lit("M"), F.lit("L")))
-    chosen = dom.option_combinations(both, ["brands", "regions", "sizes"])
+    regions = table(spark, sf, "region").agg(F.collect_set("r_name").alias("regions"))  # a handful
+    brands = table(spark, sf, "part").select("p_brand").distinct().select(F.array("p_brand").alias("brands"))
+    rows = brands.join(F.broadcast(regions)).withColumn("sizes", F.array(F.lit("S"), F.lit("M"), F.lit("L")))
+    chosen = dom.option_combinations(rows, ["brands", "regions", "sizes"])
     return chosen.select(*(F.col("combination")[k].alias(n) for k, n in enumerate(("brand", "region", "size"))))
 
 
@@ -543,7 +541,18 @@ def silhouette(spark, sf):
     return cluster.silhouette(table(spark, sf, "embeddings"), "vec_id", "label", "embedding")
 
 
-@query()
+def _linked_sql(near: str, nodes: str) -> str:
+    """Least reachable node of each node over pairs (a, b), in DuckDB."""
+    return f"""r AS (SELECT id AS a, id AS b FROM {nodes} UNION SELECT r.a, l.b FROM r JOIN {near} l ON r.b = l.a), roots AS (SELECT a AS id, min(b) AS root FROM r GROUP BY 1)"""
+
+
+PAIRS = "p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"
+
+
+@query(f"""WITH RECURSIVE {PAIRS}, near AS MATERIALIZED (SELECT * FROM p WHERE d <= 0.9), core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY 1 HAVING count(*) + 1 >= 3),
+l AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)), {_linked_sql("l", "core")},
+border AS (SELECT a AS id, arg_min(root, (d, root)) AS root FROM near JOIN roots ON b = roots.id WHERE a NOT IN (SELECT id FROM core) GROUP BY 1)
+SELECT vec_id AS id, coalesce(roots.root, border.root, -1) AS cluster FROM embeddings LEFT JOIN roots ON vec_id = roots.id LEFT JOIN border ON vec_id = border.id""")
 def dbscan(spark, sf):
     return density.dbscan(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.9, 3)
 
@@ -558,7 +567,7 @@ def ward_linkage(spark, sf):
     return linkage.ward(table(spark, sf, "embeddings"), "vec_id", "embedding", 1.5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS}, l AS MATERIALIZED (SELECT a, b FROM p WHERE d < 0.8), n AS (SELECT vec_id AS id FROM embeddings), {_linked_sql("l", "n")} SELECT id, root AS cluster FROM roots""")
 def single_linkage(spark, sf):
     return cluster.single_linkage(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.8)
 
@@ -619,7 +628,7 @@ def gmm(spark, sf):
 @query()
 def logistic_cv(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    ready = features.hashed_vectors(features.grouped_folds(d, "source", 5), "text", 1 << 12)
+    ready = features.hashed_vectors(features.grouped_folds(d, "source", 5), "text")
     return spark.createDataFrame(features.logistic_cv(ready, "features", "quality"), "fold int, accuracy double")
 
 
@@ -636,6 +645,22 @@ def dom_segments(spark, sf):
     return dom.segments(table(spark, sf, "pages"))
 
 
+def _grams_sql(key: str, where: str) -> str:
+    """N-gram ranks of each key, in DuckDB."""
+    return f"""SELECT {key}, g, row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, g) - 1 AS r FROM (
+  SELECT {key}, unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, length(w) - k + 2), lambda i: substr(w, i, k))))) AS g FROM (
+    SELECT {key}, ' ' || w || ' ' AS w FROM (SELECT {key}, unnest(string_split(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g'), ' ')) AS w FROM documents WHERE {where}) WHERE w <> '')) WHERE g <> ' ' GROUP BY {key}, g QUALIFY r < 300"""
+
+
+@query(f"""WITH m AS ({_grams_sql("lang", "lang IS NOT NULL")}), d AS ({_grams_sql("doc_id", "length(text) >= 64")}),
+n AS (SELECT doc_id, lang, sum(300 - abs(d.r - m.r)) AS gain FROM d JOIN m USING (g) GROUP BY ALL), b AS (SELECT doc_id, arg_max(lang, (gain, lang)) AS language FROM n GROUP BY 1)
+SELECT doc_id, language FROM documents LEFT JOIN b USING (doc_id)""")
+def detected_language(spark, sf):
+    """Profiles of all labelled documents, and the language of each document of 64 characters and more."""
+    docs = table(spark, sf, "documents")
+    return languages.detect(docs, "doc_id", "text", languages.fit(docs, "text", "lang"))
+
+
 @query()
 def path_steps(spark, sf):
     """Parents of the second item's links in navigation lists: //nav//li[2]/a[@href]/.."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import cluster, density, features, linkage, near, sparse, suffixes
+from millrace.operators import cluster, density, features, languages, linkage, near, sparse, suffixes
 from millrace.operators import relational as rel
 from millrace.session import Scratch
 from millrace.sources import sinks
@@ -174,3 +174,14 @@ def test_cached_tables(spark, tmp_path):
     with pytest.raises(ValueError, match="version"):
         sinks.cached(spark.createDataFrame([(1,)], "a int"), place)
     assert sinks.cached(spark.createDataFrame([(1,)], "a int"), place, version="1").count() == 1
+
+
+def test_language_profiles_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL").withColumn("fold", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)))
+    model = languages.fit(docs.filter("fold <> 2"), "text", "lang")
+    held = docs.filter("fold = 2 AND length(text) >= 64")
+    got = languages.detect(held, "doc_id", "text", model).join(held.select("doc_id", "lang"), "doc_id")
+    right = got.agg(F.avg((F.col("language") == F.col("lang")).cast("double"))).first()[0]
+    assert right > 0.97
+    short = spark.createDataFrame([(1, "short text"), (2, None), (3, "7" * 80), (4, "")], "doc_id long, text string")
+    assert sorted(map(tuple, languages.detect(short, "doc_id", "text", model).collect())) == [(1, None), (2, None), (3, None), (4, None)]
