@@ -51,7 +51,7 @@ class Tree(HTMLParser):
         nth = up["by_tag"][tag] = up["by_tag"].get(tag, 0) + 1
         before, me = self._slot(False), len(self.nodes)
         path = (up["path"] if parent >= 0 else "") + f"/{tag}[{nth}]"
-        self.nodes.append({"tag": tag, "parent": parent, "path": path, "attrs": {k: v or "" for k, v in attrs}, "kids": [], "depth": len(self.open), "end": me, "own": False, "first": len(self.pieces), "last": len(self.pieces), "before": before, "by_tag": {}, "slots": 0, "in_text": False})
+        self.nodes.append({"tag": tag, "parent": parent, "path": path, "attrs": {k: v or "" for k, v in attrs}, "kids": [], "depth": len(self.open), "end": me, "own": [], "first": len(self.pieces), "last": len(self.pieces), "before": before, "by_tag": {}, "slots": 0, "in_text": False})
         if parent >= 0:
             up["kids"].append(me)
         if tag not in VOID:
@@ -73,7 +73,8 @@ class Tree(HTMLParser):
         if data.strip():
             self._slot(True)
         if self.open and self.nodes[self.open[-1]]["tag"] not in IGNORED:
-            self.nodes[self.open[-1]]["own"] |= bool(data.strip())
+            if data.strip():
+                self.nodes[self.open[-1]]["own"].append(data)
             self.pieces.append(data)
 
     def handle_comment(self, data: str) -> None:
@@ -119,13 +120,13 @@ def _arrow(schema: str) -> list:
 
 def nodes(pages: DataFrame) -> DataFrame:
     """page_id, node_id (from 0, in document order), parent_id (-1 none), end_id (last node below; itself if none), depth, tag, path, attrs,
-    own_text (whether it has a text of its own), before and after (siblings that aren't blank), and text (own and below)."""
+    own_text (whether it has a text of its own), said (its own texts, in lines), before and after (siblings that aren't blank), and text (own and below)."""
 
     def of(ns: Nodes) -> list[tuple]:
         after = [(ns[n["parent"]]["slots"] if n["parent"] >= 0 else ns.slots) - n["before"] - 1 for n in ns]
-        return [(k, n["parent"], n["end"], n["depth"], n["tag"], n["path"], list(n["attrs"].items()), n["own"], n["before"], x, t) for k, (n, x, t) in enumerate(zip(ns, after, inner_texts(ns)))]
+        return [(k, n["parent"], n["end"], n["depth"], n["tag"], n["path"], list(n["attrs"].items()), bool(n["own"]), "\n".join(n["own"]), n["before"], x, t) for k, (n, x, t) in enumerate(zip(ns, after, inner_texts(ns)))]
 
-    return _per_page(pages, of, "page_id long, node_id long, parent_id long, end_id long, depth long, tag string, path string, attrs map<string,string>, own_text boolean, before long, after long, text string")
+    return _per_page(pages, of, "page_id long, node_id long, parent_id long, end_id long, depth long, tag string, path string, attrs map<string,string>, own_text boolean, said string, before long, after long, text string")
 
 
 def _segments(ns: list[dict]) -> list[tuple]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists, measures, text, urls
-from ..operators import cluster, density, dom, features, languages, layout, linkage, scoring, series, sparse, suffixes
+from ..operators import cluster, density, dom, features, languages, layout, linkage, popups, scoring, series, sparse, suffixes
 from ..operators import relational as rel
 from ..session import Scratch, table
 from ..streaming import visits
@@ -696,6 +696,19 @@ def similarity_segments(spark, sf):
     return layout.similarity_segments(nodes, dom.content_vectors(table(spark, sf, "pages"))).select("page_id", "node_id", "tag", "path")
 
 
+def styled(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes of all pages with styles: the tables have none, so ads and articles stand above the page by their depth."""
+    n = dom.nodes(table(spark, sf, "pages"))
+    above = F.coalesce(F.element_at("attrs", "class") == "ad", F.lit(False)) | (F.col("tag") == "div")
+    z = F.when(above, F.col("depth") + F.pmod("node_id", F.lit(3)))
+    return n.select("*", dom.shown(F.col("tag"), F.col("attrs")).alias("shown"), above.alias("positioned"), z.alias("z"), F.lit(300.0).alias("width"), (F.length("text") + 100.0).alias("height"), F.lit(True).alias("centred"))
+
+
+@query()
+def popup_containers(spark, sf):
+    return popups.popup_containers(styled(spark, sf)).select("page_id", "node_id", "path", "z")
+
+
 @query()
 def trigger_lists(spark, sf):
     """Lists that an article or one of its siblings holds or is."""

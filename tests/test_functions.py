@@ -114,7 +114,7 @@ def test_tokens(spark):
     rows = spark.createDataFrame([(said,), (None,)], "t string").select(text.tokens(F.col("t"), ["the", "are"]).alias("t"), text.ascii_tokens(F.col("t")).alias("a"), text.normalised(F.col("t"), ["the"], stem=True).alias("n")).collect()
     assert rows[0].a == ["the", "poni", "are", "hop", "caf", "x9", "oper"]
     assert rows[0].t[:2] == ["poni", "hop"] and rows[0].t[-2:] == ["x9", "oper"]
-    assert rows[0].n == "poni ar dpnum hop caf xdpnum oper" and (rows[1].t, rows[1].a, rows[1].n) == ([], [], None)
+    assert rows[0].n == "poni are dpnum hop caf xdpnum oper" and (rows[1].t, rows[1].a, rows[1].n) == ([], [], None)
 
 
 def test_escapes_and_suffixes(spark):
