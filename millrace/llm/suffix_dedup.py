@@ -39,6 +39,9 @@ LENGTH, SHALLOW = 50, 16
 #: Bytes of text a bucket holds, bytes of text whose anchors a range holds, and suffixes read at once.
 BUCKET_BYTES, RANGE_BYTES, BLOCK = 2 << 20, 4 << 20, 1 << 17
 LEAST_GROUPS = 64
+#: Bytes of text whose anchors (12 bytes each, one in some 20 bytes) are matched in one range, and rows that are put together before
+#: they are cut by ranges.
+ANCHOR_RANGE_BYTES, HELD = 16 << 20, 1 << 17
 #: Rows that make an anchor heavy, and buckets a salted part of a heavy anchor's range holds about.
 HEAVY, PART_BUCKETS, LEAST_PARTS = 256, 64, 8
 NO_ID = np.iinfo(np.int64).max
@@ -138,6 +141,27 @@ def cuts_of(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(sorted_[first].tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_)]))
 
 
+def together(pieces: Iterator[tuple[np.ndarray, ...]], least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pieces of rows put together until they are `least` or more, so that what is cut by ranges isn't cut small."""
+    held, n = [], 0
+    for piece in pieces:
+        held.append(piece)
+        n += len(piece[0])
+        if n >= least:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def wanted_only(pieces: Iterator[tuple[np.ndarray, ...]], wanted: np.ndarray, is_heavy: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of (hashes, at, counts), those whose hash is wanted, with its flag."""
+    for hashes, at, counts in pieces:
+        near = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+        keep = np.flatnonzero(wanted[near] == hashes)
+        yield hashes[keep], at[keep], counts[keep], is_heavy[near[keep]]
+
+
 def shared_anchors(dealt: DataFrame, length: int, ranges: int, heavy: int) -> DataFrame:
     """bucket, hashes, heavy: the anchors in a bucket's texts that two rows or more have (8 bytes each), and
     for each a byte, 1 if `heavy` rows or more have it."""
@@ -148,9 +172,9 @@ def shared_anchors(dealt: DataFrame, length: int, ranges: int, heavy: int) -> Da
             data, starts, ends = joined(batch.column(2))
             buckets = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             rows = []
-            for hashes, at, _ in neighbourhoods(data, starts, ends, length):
-                text = np.searchsorted(starts, at, "right") - 1
-                # empty texts begin where the next does; the last of equal starts is the one that has bytes
+            # empty texts begin where the next does; the last of equal starts is the one that has bytes
+            found = ((hashes, np.searchsorted(starts, at, "right") - 1) for hashes, at, _ in neighbourhoods(data, starts, ends, length))
+            for hashes, text in together(found, HELD):
                 order = np.lexsort((text, hashes))
                 hashes, text = hashes[order], text[order]
                 once = np.ones(len(hashes), bool)  # a text counts once
@@ -469,7 +493,7 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, id_col:
     ranges = ranges or max(LEAST_GROUPS, total // RANGE_BYTES)
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
     parts = max(LEAST_PARTS, buckets // PART_BUCKETS)
-    shared = scratch.save(shared_anchors(dealt, length, ranges, heavy), "shared")
+    shared = scratch.save(shared_anchors(dealt, length, min(ranges, max(LEAST_GROUPS, total // ANCHOR_RANGE_BYTES)), heavy), "shared")
     size = gram_size(length)
     span = 2 * length - size
 
@@ -486,11 +510,8 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, id_col:
             ids = texts.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False)
             bucket = texts.column("bucket")[0].as_py()
             padded = np.concatenate([data, np.zeros(span, np.uint8)])
-            for hashes, at, counts in neighbourhoods(data, starts, ends, length):
-                near = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-                keep = np.flatnonzero(wanted[near] == hashes)
-                hashes, at, counts = hashes[keep], at[keep], counts[keep]
-                where = 2 * range_of(hashes, ranges) + is_heavy[near[keep]]
+            for hashes, at, counts, flags in together(wanted_only(neighbourhoods(data, starts, ends, length), wanted, is_heavy), HELD):
+                where = 2 * range_of(hashes, ranges) + flags
                 order = np.lexsort((hashes, where))
                 hashes, at, counts, where = hashes[order], at[order], counts[order], where[order]
                 text = np.searchsorted(starts, at, "right") - 1
