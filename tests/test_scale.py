@@ -185,3 +185,20 @@ def test_language_profiles_on_held_out_rows(spark):
     assert right > 0.97
     short = spark.createDataFrame([(1, "short text"), (2, None), (3, "7" * 80), (4, "")], "doc_id long, text string")
     assert sorted(map(tuple, languages.detect(short, "doc_id", "text", model).collect())) == [(1, None), (2, None), (3, None), (4, None)]
+
+
+def test_tfidf_by_broadcast_and_by_join(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a, b, c = ({(r.doc_id, r.term): round(r.weight, 9) for r in features.tfidf(docs, "doc_id", "text", most).collect()} for most in (200_000, 60, 5))
+    assert a == b == c and len(a) > 10_000
+
+
+def test_best_cosine_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "QUERY_ROWS", 7)
+    x = blobs(60, 4)
+    df = frame(spark, np.concatenate([x, [[0.0] * 4]]))
+    got = {r.a: (r.n, r.best) for r in cluster.best_cosine(df, df.filter("id % 3 = 0"), "id", "v").collect()}
+    u = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), [[0.0] * 4]])
+    s = u @ u.T
+    assert got.keys() == set(range(0, 61, 3))
+    assert all(n == 60 and abs(best - max(s[a, j] for j in range(61) if j != a)) < 1e-12 for a, (n, best) in got.items())
