@@ -157,6 +157,11 @@ def numbered(df: DataFrame, order: list[str], at: str, total: str | None = None)
     return (placed.withColumn(total, F.col("_all")) if total else placed).drop("_part", "_of", "_n", "_before", "_all", "_at")
 
 
+def shuffled(df: DataFrame, key: str, at: str, seed: int = 0) -> DataFrame:
+    """`df` with each row's place in a random order of all rows, the same in each run."""
+    return numbered(df.withColumn("_draw", _draw(key, seed)), ["_draw", key], at).drop("_draw")
+
+
 def ordered_split(df: DataFrame, order: str, share: float) -> DataFrame:
     """Whether a row is among the first floor(share * n) rows."""
     return numbered(df, [order], "_place", "_total").withColumn("in_head", F.col("_place") <= F.floor(F.col("_total") * share)).drop("_place", "_total")

@@ -51,6 +51,11 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def json_dict(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """name and value of each entry of JSON objects, one object a file."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string, {kind}>")).alias("name", "value"))
+
+
 def integers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").try_cast("int").alias("n")).filter("n IS NOT NULL")
 

@@ -44,6 +44,11 @@ def chunks(df: DataFrame, order: str, n: int, path: str) -> None:
     chunked(df, [order], n).write.mode("overwrite").partitionBy("chunk").csv(path)
 
 
+def matrix(df: DataFrame, column: str, path: str) -> None:
+    """A dense matrix: the numbers of an array column, a line a row, with spaces between them."""
+    df.select(F.array_join(F.transform(column, lambda x: x.cast("string")), " ", "nan")).write.mode("overwrite").text(path)
+
+
 def sparse_matrix(df: DataFrame, id_col: str, features: str, path: str) -> None:
     """A sparse matrix by rows: id, indices and values of the non-zero places."""
     from ..operators.sparse import layout
