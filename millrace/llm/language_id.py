@@ -11,9 +11,11 @@ of any length are walked side by side: one step moves every block of a batch, in
 letter with a table look-up. All blocks of a text count.
 
 Training takes whole texts: of each language at most ROWS documents of at most TRAIN_CHARS characters, those
-of least hash of doc_id and text; of more than LANGUAGES labels the most frequent ones are learned. So the
-driver gets at most 2 * LANGUAGES * ROWS such texts, however often rows or ids repeat. It builds the automata;
-workers get them as one packed table of some 20 bytes a letter.
+of least hash of doc_id and text, as far as the language's share of LETTERS goes (all have the same; the first document
+always counts); of more than LANGUAGES labels the most frequent ones are learned. A language whose labelled texts are
+all longer is learned from pieces of TRAIN_CHARS characters of its shortest text, as many, of least hash. So the
+driver gets at most 2 * LANGUAGES * ROWS such texts, however often rows or ids repeat, and at most LETTERS letters. It builds
+one automaton after the other and keeps each as a packed table of some 20 bytes a letter, which is what workers get.
 
 Defined results: `und`, score 0, for a null text or one without letters, and for all if no labelled
 document may be learned from; a row without doc_id isn't held out; languages are compared in order of name,
@@ -24,7 +26,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ from ..session import bound_batches, table
 from . import worker
 
 ROWS, TRAIN_CHARS, LANGUAGES = 20, 8000, 256
+#: Letters that all languages are learned from; 25 languages have ROWS full texts each, more have fewer.
+LETTERS = 4_000_000
 BLOCK = 2048
 #: Clean text costs about half of what its letters do, letters at random nearly twice as much.
 FOREIGN, SHORT = 1.25, 24
@@ -87,7 +92,7 @@ class Packed:
         total = sum(map(len, edges))
         used = bytearray(2 * total + 64 * letters)
         base = [letters] * len(edges)
-        taken: list[tuple[int, int, int]] = []
+        at_of, owner_of, next_of = array("i"), array("i"), array("i")
         low = 2 * letters
         for state in sorted(range(len(edges)), key=lambda s: -len(edges[s])):
             row = sorted(edges[state])
@@ -105,13 +110,30 @@ class Packed:
             base[state] = b
             for c in row:
                 used[b + c] = 1
-                taken.append((b + c, state, edges[state][c]))
-        places = max((t[0] for t in taken), default=0) + 2 * letters
+                at_of.append(b + c)
+                owner_of.append(state)
+                next_of.append(edges[state][c])
+        at, owner, to = (np.array(x, np.int32) for x in (at_of, owner_of, next_of))
+        places = int(at.max(initial=0)) + 2 * letters
         self.base = np.array(base, np.int32)
         self.owner, self.next = np.full(places, -1, np.int32), np.zeros(places, np.int32)
-        at, owner, to = (np.array([t[k] for t in taken], np.int64) for k in range(3))
         self.owner[at], self.next[at] = owner, to
 
+    @classmethod
+    def side_by_side(cls, parts: Iterable[Packed]) -> tuple[Packed, list[int]]:
+        """One table of several, made one after the other, and how far the states of each have moved."""
+        bases, owners, nexts, moved, states, places = [], [], [], [], 0, 0
+        for part in parts:
+            own = part.owner >= 0
+            bases.append(part.base + np.int32(places))
+            owners.append(np.where(own, part.owner + np.int32(states), np.int32(-1)))
+            nexts.append(np.where(own, part.next + np.int32(states), np.int32(0)))
+            moved.append(states)
+            states, places = states + len(part.base), places + len(part.owner)
+        whole, none = cls.__new__(cls), np.zeros(0, np.int32)
+        whole.base, whole.owner, whole.next = (np.concatenate([none, *x]) for x in (bases, owners, nexts))
+        return whole, moved
+
     def step(self, states: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """The states after a letter; 0 where there is no edge."""
         at = self.base[states] + letter
@@ -127,13 +149,8 @@ class Model:
         known = sorted({ch for t in texts.values() for ch in t})
         self.points = np.array([ord(ch) for ch in known], np.int64)
         code = {ch: 1 + i for i, ch in enumerate(known)}
-        edges, starts = [], []
-        for name in self.names:
-            base = len(edges)
-            starts.append(base + 1)
-            edges += [{c: to + base for c, to in row.items()} for row in automaton([code[ch] for ch in texts[name]])]
-        self.packed = Packed(edges, len(known) + 1)
-        self.starts = np.array(starts, np.int32)
+        self.packed, moved = Packed.side_by_side(Packed(automaton([code[ch] for ch in texts[name]]), len(known) + 1) for name in self.names)
+        self.starts = np.array(moved, np.int32) + np.int32(1)
         self.cost = np.log([max(len(texts[n]), 2) for n in self.names])
         #: Nats that a letter costs if letters are spelled out.
         self.letter = math.log(max(len(known), 2))
@@ -212,21 +229,30 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")), F.lit(4)), F.lit(-1))
 
 
-def training_texts(docs: DataFrame, rows: int = ROWS, chars: int = TRAIN_CHARS, languages: int = LANGUAGES) -> dict[str, str]:
+def training_texts(docs: DataFrame, rows: int = ROWS, chars: int = TRAIN_CHARS, languages: int = LANGUAGES, letters: int = LETTERS) -> dict[str, str]:
     """Cleaned training text by language, from labelled documents outside the held-out fold: at most `rows`
-    whole texts of at most `chars` characters for each of at most `languages` languages."""
+    whole texts of at most `chars` characters, or pieces of that size of the shortest text of a language that has longer ones alone,
+    for each of at most `languages` languages, and at most `letters` characters in all (`chars` a language at least)."""
     mark = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
-    usable = docs.select("lang", "text", mark.alias("mark")).filter((fold() != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") <= chars) & F.col("text").rlike(r"\p{L}"))
+    short = F.length("text") <= chars
+    usable = docs.select("lang", "text", mark.alias("mark")).filter((fold() != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # a language's share of marks that leaves about 3 * rows of them; with fewer, all. Rows that repeat are one.
-    sums = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("mark").alias("marks")).orderBy(F.desc("n"), "lang").limit(languages)
-    share = {r.lang: 1.0 if r.marks < 4 * rows else 3.0 * rows / r.marks for r in sums.collect()}
-    if not share:
+    sums = usable.groupBy("lang").agg(F.count_if(short).alias("n"), F.approx_count_distinct(F.when(short, F.col("mark"))).alias("marks"), F.count("*").alias("n_all"))
+    found = sums.orderBy(F.desc("n"), F.desc("n_all"), "lang").limit(languages).collect()
+    if not found:
         return {}
-    most = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))
-    near = usable.filter(F.col("mark") <= F.element_at(most, F.col("lang"))).groupBy("lang", "mark").agg(F.min("text").alias("text"))
-    chosen = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).filter(F.col("nth") <= rows)
+    share = {r.lang: 1.0 if r.marks < 4 * rows else 3.0 * rows / r.marks for r in found if r.n}
+    most = F.create_map(*(F.lit(x) for pair in share.items() for x in pair)) if share else F.lit(None).cast("map<string, double>")
+    near = usable.filter(short & (F.col("mark") <= F.element_at(most, F.col("lang")))).groupBy("lang", "mark").agg(F.min("text").alias("text"))
+    if longer := [r.lang for r in found if not r.n]:
+        least = usable.filter(F.col("lang").isin(longer)).groupBy("lang").agg(F.min_by("text", F.struct(F.length("text"), "mark")).alias("text"))
+        pieces = least.select("lang", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))).alias("nth", "text"))
+        near = near.unionByName(pieces.filter(F.col("text").rlike(r"\p{L}")).select("lang", (F.shiftrightunsigned(F.xxhash64("nth", "text"), 11) / float(1 << 53)).alias("mark"), "text"))
+    in_order = Window.partitionBy("lang").orderBy("mark")
+    chosen = near.withColumn("nth", F.row_number().over(in_order)).filter(F.col("nth") <= rows)
+    within = F.sum(F.length("text")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) <= max(chars, letters // len(found))
     out: dict[str, list[str]] = {}
-    for r in sorted(chosen.select("lang", "mark", "text").collect(), key=lambda r: (r.lang, r.mark)):
+    for r in sorted(chosen.withColumn("within", within).filter(F.col("within") | (F.col("nth") == 1)).select("lang", "mark", "text").collect(), key=lambda r: (r.lang, r.mark)):
         if c := cleaned(r.text):
             out.setdefault(r.lang, []).append(c)
     return {lang: " ".join(parts) for lang, parts in out.items()}

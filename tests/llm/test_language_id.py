@@ -76,10 +76,46 @@ def test_texts_of_no_language_go(spark):
 def test_training_rows_are_bounded(spark):
     rows = [(None, f"words of row {'abcdefghij'[i % 10] * (1 + i // 1000)}", "en", "") for i in range(20000)] + [(8, "one repeated row", "fr", "")] * 20000 + [(9, "w " * 9000, "de", "")]
     texts = L.training_texts(spark.createDataFrame(rows, SCHEMA), rows=10)
-    assert sorted(texts) == ["en", "fr"] and texts["fr"] == "one repeated row" and texts["en"].count("words") == 10
+    assert sorted(texts) == ["de", "en", "fr"] and texts["fr"] == "one repeated row" and texts["en"].count("words") == 10
+    assert set(texts["de"].split()) == {"w"} and len(texts["de"]) <= 18000
     assert len(L.training_texts(spark.createDataFrame([(i, "text", f"l{i}", "") for i in range(40)], SCHEMA), languages=5)) == 5
 
 
+def test_letters_are_shared_by_languages(spark):
+    rows = [(i, f"{'abcdefgh'[i % 8]} " * (300 + i), f"l{i % 8}", "") for i in range(800)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    full = L.training_texts(docs, rows=10, chars=3000)
+    some = L.training_texts(docs, rows=10, chars=3000, letters=8 * 5000)
+    assert sorted(full) == sorted(some) == [f"l{k}" for k in range(8)]
+    assert all(0 < len(some[k]) <= 5000 < len(full[k]) and full[k].startswith(some[k]) for k in some)
+    assert all(0 < len(t) <= 3000 for t in L.training_texts(docs, rows=10, chars=3000, letters=1).values())
+
+
+def test_language_of_long_texts_only(spark):
+    rng = random.Random(5)
+    words = {k: ["".join(rng.choice(k) for _ in range(rng.randint(2, 6))) for _ in range(60)] for k in ("abcd", "mnop")}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    rows = [(i, text("abcd", 30), "short", "") for i in range(40)] + [(100 + 4 * i, text("mnop", 3000 + 100 * i), "long", "") for i in range(5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    texts = L.training_texts(docs, rows=4, chars=500)
+    assert sorted(texts) == ["long", "short"] and 500 < len(texts["long"]) <= 4 * 501
+    assert texts == L.training_texts(docs.repartition(7), rows=4, chars=500)
+    assert sorted(L.training_texts(docs.filter("lang = 'long'"), rows=4, chars=500)) == ["long"]
+    model = L.Model(texts)
+    assert model.predict([text("mnop", 50), text("abcd", 50)])[0] == ["long", "short"]
+
+
+def test_tables_side_by_side_step_as_each_alone():
+    rng = random.Random(6)
+    parts = [L.Packed(L.automaton([rng.randint(1, 4) for _ in range(n)]), 6) for n in (50, 1, 80)]
+    whole, moved = L.Packed.side_by_side(iter(parts))
+    for part, by in zip(parts, moved):
+        for state in range(1, len(part.base)):
+            for c in range(6):
+                alone, beside = (int(p.step(np.array([s]), np.array([c]))[0]) for p, s in ((part, state), (whole, state + by)))
+                assert beside == (alone + by if alone else 0)
+
+
 def test_undetermined_and_long(spark):
     rows = [(1, None, None, ""), (2, "", "x", ""), (3, " 12 .!? _ \n", "x", ""), (4, "the cat and the dog", "en", ""), (5, "der hund und die katze", "de", ""), (6, "the dog and the cat " * 4000, None, ""), (7, "…日本語…", None, "")]
     docs = spark.createDataFrame(rows, SCHEMA)
