@@ -108,9 +108,11 @@ def fit(texts: Iterable[Counter], grades: list[int], n_grades: int, rounds: int
     return {w: float(x) for w, x in zip(words, theta)}, theta[len(words) :].tolist()
 
 
-def chosen_texts(docs: DataFrame, graded: DataFrame, n_grades: int, sample: int = SAMPLE) -> DataFrame:
-    """grade and text of at most `sample` labelled texts. A cut on the hash leaves about three times as many
-    rows before anything moves; what repeats is one row, and the rest is cut to `sample` by the hash."""
+def chosen_texts(docs: DataFrame, graded: DataFrame, n_grades: int, sample: int = SAMPLE, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, grade, text and number (`nth`, from 0) of at most `sample` labelled texts. A cut on the hash leaves about three times as
+    many labels before anything moves; what repeats is one row. The rest is cut to `sample` by the hash, and numbered, without the
+    texts, which stay where the join left them (an id may have several, so there may be more of them)."""
+    scratch = scratch or Scratch(docs.sparkSession, "chosen")
     usable = graded.filter(F.col("grade").between(0, n_grades - 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade"))
     mark = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
     ids = usable.agg(F.approx_count_distinct("doc_id")).first()[0]
@@ -118,15 +120,17 @@ def chosen_texts(docs: DataFrame, graded: DataFrame, n_grades: int, sample: int
     # of the ids that the cut leaves (about 3 * sample, or 4) at most `sample` are looked up among the texts
     some = usable.filter(mark <= cut).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "grade", F.xxhash64("text").alias("mark")).agg(F.min("text").alias("text"))
-    return rows.orderBy(F.xxhash64("doc_id", "grade", "mark"), "doc_id", "grade").limit(sample).select("doc_id", "grade", "mark", "text")
+    found = scratch.save(texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "grade", F.xxhash64("text").alias("mark")).agg(F.min("text").alias("text")), "found")
+    keys = found.select("doc_id", "grade", "mark").orderBy(F.xxhash64("doc_id", "grade", "mark"), "doc_id", "grade").limit(sample)
+    numbers = scratch.save(keys.withColumn("nth", F.row_number().over(Window.orderBy("doc_id", "grade", "mark")) - 1), "numbers")
+    return found.join(F.broadcast(numbers), ["doc_id", "grade", "mark"])
 
 
 def train(docs: DataFrame, graded: DataFrame, n_grades: int, sample: int = SAMPLE) -> tuple[dict[str, float], list[float]] | None:
     """The model from `graded` (doc_id, grade) and the texts of `docs`; None without two grades. The driver gets
     the grades of at most `sample` texts and their counts of the features that MIN_TEXTS of them have."""
     scratch = Scratch(docs.sparkSession, "train")
-    rows = scratch.save(chosen_texts(docs, graded, n_grades, sample).withColumn("nth", F.row_number().over(Window.orderBy("doc_id", "grade", "mark")) - 1), "rows")
+    rows = chosen_texts(docs, graded, n_grades, sample, scratch)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker.begin("toxicity")
@@ -141,7 +145,7 @@ def train(docs: DataFrame, graded: DataFrame, n_grades: int, sample: int = SAMPL
     counts = scratch.save(rows.select("nth", "text").repartition(64, "nth").mapInArrow(count, "nth int, feature string, n int"), "counts")
     often = counts.groupBy("feature").agg(F.count("*").alias("texts")).filter(F.col("texts") >= MIN_TEXTS).select("feature")
     held = counts.join(often, "feature").orderBy("nth", "feature").toArrow()
-    scratch.drop("rows", "counts")
+    scratch.drop("found", "numbers", "counts")
 
     def texts() -> Iterator[Counter]:  # one at a time: the driver never holds all words as objects
         now, at = Counter(), 0
