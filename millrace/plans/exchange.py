@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import measures, text
-from ..operators import dom, features
+from ..operators import dom, features, options
 from ..operators import relational as rel
 from ..session import Scratch, table
 from ..sources import readers, sinks
@@ -206,6 +206,21 @@ def interactable_counts(spark, sf):
     return n.groupBy("page_id").agg(F.count_if(dom.interactable(F.col("tag"), F.col("attrs"))).alias("n"))
 
 
+@query()
+def product_options(spark, sf):
+    """Option groups of pages whose styles are derived from their nodes: the tables have none. List items and links float in rows of
+    the middle of a window of 1,000; every third list is hidden."""
+    n = dom.nodes(table(spark, sf, "pages"))
+    small = F.col("tag").isin("li", "a", "button", "label", "div")
+    styled = n.select(
+        "*", ((F.pmod("node_id", F.lit(3)) > 0) | ~F.col("tag").isin("ul", "ol", "dl")).alias("shown"), F.lit(400.0).alias("left"), (F.lit(205.0) + F.pmod("node_id", F.lit(300)) * 2).alias("top"),
+        F.when(small, 60.0).otherwise(900.0).alias("width"), F.when(small, 24.0).otherwise(400.0).alias("height"), small.alias("border"), F.when(F.col("tag") == "li", "inline-block").alias("display"),
+        F.when(F.col("tag") == "a", "left").alias("float"), F.lit(False).alias("fixed"),
+    )
+    stored = Scratch(spark, "options").save(styled, "nodes")
+    return options.product_options(stored, 1000.0)
+
+
 # ---------------------------------------------------------------- orders and vectors
 
 
