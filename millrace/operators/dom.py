@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that segments leave out, and those that make a segment.
 IGNORED = frozenset("script style noscript br hr".split())
@@ -103,14 +105,29 @@ def inner_texts(nodes: Nodes) -> list[str]:
     return [" ".join("".join(nodes.pieces[n["first"] : n["last"]]).split()) for n in nodes]
 
 
-def _per_page(pages: DataFrame, rows_of, schema: str) -> DataFrame:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(page, *r) for page, html in zip(*(c.to_pylist() for c in batch.columns)) for r in rows_of(parse(html))]
-            out = pa.schema(_arrow(schema))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out)], schema=out)
+#: Bytes of pages that a worker takes at a time, and rows and letters of pages whose nodes it holds at a time.
+INPUT_BYTES, BATCH_ROWS, BATCH_CHARS = 4 << 20, 2000, 1 << 18
+
+
+def batched(batches: Iterator[pa.RecordBatch], rows_of, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of each page, given out in batches of BATCH_ROWS rows or BATCH_CHARS letters of pages, and of a page at least."""
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out)], schema=out)
+    rows, chars = [], 0
+    for batch in batches:
+        for page, html in zip(batch.column(0), batch.column(1)):
+            page, html = page.as_py(), html.as_py()
+            rows += [(page, *r) for r in rows_of(parse(html))]
+            chars += len(html or "")
+            if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                yield pack(rows)
+                rows, chars = [], 0
+    yield pack(rows)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(scan, schema)
+
+def _per_page(pages: DataFrame, rows_of, schema: str) -> DataFrame:
+    bound_batches(pages.sparkSession, INPUT_BYTES)
+    out = pa.schema(_arrow(schema))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(lambda batches: batched(batches, rows_of, out), schema)
 
 
 def _arrow(schema: str) -> list:
@@ -118,15 +135,20 @@ def _arrow(schema: str) -> list:
     return [pa.field(*(lambda n, t: (n, kinds[t]))(*f.split(" ", 1))) for f in schema.split(", ")]
 
 
-def nodes(pages: DataFrame) -> DataFrame:
+NODES = "page_id long, node_id long, parent_id long, end_id long, depth long, tag string, path string, attrs map<string,string>, own_text boolean, said string, before long, after long, text string"
+
+
+def nodes(pages: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     """page_id, node_id (from 0, in document order), parent_id (-1 none), end_id (last node below; itself if none), depth, tag, path, attrs,
     own_text (whether it has a text of its own), said (its own texts, in lines), before and after (siblings that aren't blank), and text (own and below)."""
 
     def of(ns: Nodes) -> list[tuple]:
         after = [(ns[n["parent"]]["slots"] if n["parent"] >= 0 else ns.slots) - n["before"] - 1 for n in ns]
-        return [(k, n["parent"], n["end"], n["depth"], n["tag"], n["path"], list(n["attrs"].items()), bool(n["own"]), "\n".join(n["own"]), n["before"], x, t) for k, (n, x, t) in enumerate(zip(ns, after, inner_texts(ns)))]
+        texts = inner_texts(ns) if "text" not in without else [""] * len(ns)
+        rows = ((k, n["parent"], n["end"], n["depth"], n["tag"], n["path"], list(n["attrs"].items()), bool(n["own"]), "\n".join(n["own"]), n["before"], x, t) for k, (n, x, t) in enumerate(zip(ns, after, texts)))
+        return [tuple(r[k] for k in kept) for r in rows]
 
-    return _per_page(pages, of, "page_id long, node_id long, parent_id long, end_id long, depth long, tag string, path string, attrs map<string,string>, own_text boolean, said string, before long, after long, text string")
+    return _per_page(pages, of, ", ".join(fields))
 
 
 def _segments(ns: list[dict]) -> list[tuple]:

@@ -202,7 +202,7 @@ def popup_flags(spark, sf):
 
 @query("""SELECT page_id, len(regexp_extract_all(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '', 'gs'), '<(a|button|input|select|textarea|option)[ >]')) AS n FROM pages""")
 def interactable_counts(spark, sf):
-    n = dom.nodes(table(spark, sf, "pages"))
+    n = dom.nodes(table(spark, sf, "pages"), ("parent_id", "end_id", "depth", "path", "own_text", "said", "before", "after", "text"))
     return n.groupBy("page_id").agg(F.count_if(dom.interactable(F.col("tag"), F.col("attrs"))).alias("n"))
 
 
