@@ -6,10 +6,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import bound_batches
+
 MASK = "DPNUM"
 
 
@@ -225,13 +227,22 @@ def _stem(word: str) -> str:
     return word
 
 
+#: Bytes of words that a worker takes at a time.
+STEM_BYTES = 1 << 20
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def stemmed(words: pd.Series) -> pd.Series:
+def _stems(words: pd.Series) -> pd.Series:
     known: dict[str, str] = {}  # of one batch
     stem = lambda w: known[w] if w in known else known.setdefault(w, _stem(w))
     return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
 
 
+def stemmed(words: Column) -> Column:
+    bound_batches(SparkSession.active(), STEM_BYTES)
+    return _stems(words)
+
+
 def language_or_null(c: Column, detected: Column, least: int = 64) -> Column:
     """A caller's detected language; null for texts under `least` characters."""
     return F.when(F.length(c) >= least, detected)
