@@ -7,7 +7,7 @@ the number of marked nodes; no step pairs nodes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
 from .dom import IGNORED, SEGMENT_BLOCKS
 
 def in_page():
@@ -214,23 +215,33 @@ def similarity_segments(nodes: DataFrame, content: DataFrame, measure: Callable
 
     From the top down: a block with shown children that are or hold blocks, and no text of its own (a body may have one), is split if it has
     a single such child, or if the seams or contents of its children are alike to UNLIKE at most. Every other shown node is a segment. A node's
-    children are compared in one group, of one node's children; only two numbers of it come out."""
+    children are compared in one row, of one node's children, and only where the split depends on them; two numbers of it come out."""
     ignored, block = F.col("tag").isin(*sorted(IGNORED)), F.col("tag").isin(*sorted(SEGMENT_BLOCKS))
     seen = F.col("shown") & ~((F.col("width") == 1) & (F.col("height") == 1))
     marked = counted_below(nodes, {"_inner": block}).withColumn("_seen", seen).withColumn("_block", block & ~ignored)
-    kids = marked.filter("parent_id >= 0 AND _seen").join(content, ["page_id", "node_id"])
-
-    def of(t: pa.Table) -> pa.Table:
-        t = t.sort_by("node_id")
-        x = {c: t.column(c).to_numpy().astype(np.float64) for c in ("left", "top", "width", "height")}
-        degree, like = measure(x["left"], x["top"], x["left"] + x["width"], x["top"] + x["height"], np.array(t.column("content").to_pylist(), np.float64).reshape(t.num_rows, -1))
-        return pa.table({"_kp": t.column("page_id")[:1], "_ki": t.column("parent_id")[:1], "_kids": pa.array([t.num_rows], pa.int64()), "_deep": pa.array([sum(t.column("_holds").to_pylist())], pa.int64()), "_degree": pa.array([degree]), "_like": pa.array([like])})
-
-    asked = kids.select("page_id", "parent_id", "node_id", *(F.col(c).cast("double").alias(c) for c in ("left", "top", "width", "height")), "content", (F.col("_block") | (F.col("_inner") > 0)).cast("int").alias("_holds"))
-    sums = asked.groupBy("page_id", "parent_id").applyInArrow(of, "_kp long, _ki long, _kids long, _deep long, _degree double, _like double")
-    known = marked.join(sums, (F.col("page_id") == F.col("_kp")) & (F.col("node_id") == F.col("_ki")), "left")
+    holds = F.col("_block") | (F.col("_inner") > 0)
+    kids = marked.filter("parent_id >= 0 AND _seen").groupBy(F.col("page_id").alias("_kp"), F.col("parent_id").alias("_ki")).agg(F.count("*").alias("_kids"), F.count_if(holds).alias("_deep"))
+    known = marked.join(kids.hint("merge"), (F.col("page_id") == F.col("_kp")) & (F.col("node_id") == F.col("_ki")), "left").drop("_kp", "_ki")
     whole = ~F.col("_block") | (F.coalesce("_deep", F.lit(0)) == 0) | (F.col("own_text") & (F.col("tag") != "body"))
+    known = known.withColumn("_whole", whole)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for c in batch.column(2).to_pylist():
+                left, top, width, height = (np.array([k[n] for k in c], np.float64) for n in ("left", "top", "width", "height"))
+                found.append(measure(left, top, left + width, top + height, np.array([k["content"] for k in c], np.float64).reshape(len(c), -1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1))], ["_kp", "_ki", "_degree", "_like"])
+
+    # only the children of nodes that their likeness decides on
+    asked = known.filter(~F.col("_whole") & ~ignored & F.col("_seen") & (F.col("_kids") > 1)).select(F.col("page_id").alias("_kp"), F.col("node_id").alias("_ki"))
+    own = marked.filter("parent_id >= 0 AND _seen").select("page_id", "parent_id", "node_id", *(F.col(c).cast("double").alias(c) for c in ("left", "top", "width", "height")))
+    some = own.join(asked.hint("merge"), (F.col("page_id") == F.col("_kp")) & (F.col("parent_id") == F.col("_ki"))).join(content.hint("merge"), ["page_id", "node_id"])
+    lists = some.groupBy("_kp", "_ki").agg(F.array_sort(F.collect_list(F.struct("node_id", "left", "top", "width", "height", "content"))).alias("c"))
+    bound_batches(nodes.sparkSession, 4 << 20)
+    sums = lists.select("_kp", "_ki", "c").mapInArrow(of, "_kp long, _ki long, _degree double, _like double")
+    known = known.join(sums.hint("merge"), (F.col("page_id") == F.col("_kp")) & (F.col("node_id") == F.col("_ki")), "left")
     unlike = (F.col("_kids") == 1) | (F.col("_degree") <= UNLIKE) | (F.col("_like") <= UNLIKE)
-    decided = known.withColumn("_way", F.when(ignored | ~F.col("_seen"), "none").when(whole, "segment").when(unlike, "split").otherwise("segment"))
+    decided = known.withColumn("_way", F.when(ignored | ~F.col("_seen"), "none").when(F.col("_whole"), "segment").when(unlike, "split").otherwise("segment"))
     reached = decided.withColumn("_hidden", below(F.col("_way") != "split"))
     return reached.filter((F.col("_way") == "segment") & ~F.col("_hidden")).select(*nodes.columns)
