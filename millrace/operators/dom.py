@@ -183,7 +183,7 @@ def links(pages: DataFrame) -> DataFrame:
 
 def without_nested(df: DataFrame, page: str = "page_id", path: str = "path") -> DataFrame:
     """Nodes that hold no other listed node: a path that begins another is dropped."""
-    held = df.select(F.col(page).alias("_p"), F.explode(_ancestors(F.col(path))).alias("_a")).distinct()
+    held = df.select(F.col(page).alias("_p"), F.col(path).alias("_own"), F.explode(_ancestors(F.col(path))).alias("_a")).filter("_a <> _own").select("_p", "_a").distinct()
     return df.join(held, (F.col(page) == F.col("_p")) & (F.col(path) == F.col("_a")), "left_anti")
 
 
