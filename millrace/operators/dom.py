@@ -140,7 +140,10 @@ NODES = "page_id long, node_id long, parent_id long, end_id long, depth long, ta
 
 def nodes(pages: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     """page_id, node_id (from 0, in document order), parent_id (-1 none), end_id (last node below; itself if none), depth, tag, path, attrs,
-    own_text (whether it has a text of its own), said (its own texts, in lines), before and after (siblings that aren't blank), and text (own and below)."""
+    own_text (whether it has a text of its own), said (its own texts, in lines), before and after (siblings that aren't blank), and text (own and below);
+    columns `without` which the caller does are left out, and cost nothing."""
+    fields = [f for f in NODES.split(", ") if f.split(" ")[0] not in without]
+    kept = [k for k, f in enumerate(NODES.split(", ")[1:]) if f in fields]
 
     def of(ns: Nodes) -> list[tuple]:
         after = [(ns[n["parent"]]["slots"] if n["parent"] >= 0 else ns.slots) - n["before"] - 1 for n in ns]
@@ -331,9 +334,10 @@ def sibling_similarity(node_table: DataFrame, content: DataFrame) -> DataFrame:
 def similar_blocks(node_table: DataFrame, content: DataFrame, most: float = 0.8) -> DataFrame:
     """Segments by similarity: nodes whose children differ (mean similarity at most `most`) are split,
     so a segment is a shown node all of whose ancestors are split while itself it isn't."""
+    from .layout import below
+
     like = sibling_similarity(node_table, content)
     split = like.filter(F.col("similarity") <= most).select("page_id", F.col("parent_id").alias("node_id"), F.lit(True).alias("split"))
     marked = node_table.join(split, ["page_id", "node_id"], "left").withColumn("split", F.coalesce("split", F.lit(False)))
-    whole = marked.filter("NOT split").select("page_id", F.col("path").alias("_whole"))
-    inside = marked.select("page_id", "node_id", F.explode(_ancestors(F.col("path"))).alias("_whole")).filter(F.col("_whole") != "").join(marked.select("page_id", F.col("path").alias("_whole"), F.col("node_id").alias("_up")), ["page_id", "_whole"]).filter("_up <> node_id").join(whole, ["page_id", "_whole"], "left_semi").select("page_id", "node_id").distinct()
-    return marked.filter("NOT split").join(inside, ["page_id", "node_id"], "left_anti").filter(shown(F.col("tag"), F.col("attrs"))).drop("split")
+    inside = marked.withColumn("_inside", below(~F.col("split")))
+    return inside.filter("NOT split AND NOT _inside").filter(shown(F.col("tag"), F.col("attrs"))).drop("split", "_inside")
