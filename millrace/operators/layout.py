@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bound_batches
+from ..session import Scratch, bound_batches
 from .dom import IGNORED, SEGMENT_BLOCKS
 
 def in_page():
@@ -33,7 +33,7 @@ def below(marked: Column) -> Column:
 def of_parent(nodes: DataFrame, columns: dict[str, str]) -> DataFrame:
     """`nodes` with columns of each node's parent, under new names; null without a parent."""
     up = nodes.select(F.col("page_id").alias("_page"), F.col("node_id").alias("_id"), *(F.col(c).alias(n) for c, n in columns.items()))
-    return nodes.join(up, (F.col("page_id") == F.col("_page")) & (F.col("parent_id") == F.col("_id")), "left").drop("_page", "_id")
+    return nodes.join(up.hint("merge"), (F.col("page_id") == F.col("_page")) & (F.col("parent_id") == F.col("_id")), "left").drop("_page", "_id")
 
 
 # ---------------------------------------------------------------- path steps
@@ -97,15 +97,19 @@ CONTAINED = 1.7976931348623157e308
 
 
 def chains(nodes: DataFrame) -> DataFrame:
-    """page_id, node_id and chain: (id, tag, before, after) of its ancestors from the top, and of itself."""
-    own = nodes.select("page_id", "node_id", F.struct(F.col("node_id").alias("id"), "tag", "before", "after").alias("me"), "parent_id", "depth")
-    top = own.filter("parent_id < 0").select("page_id", "node_id", F.array("me").alias("chain"))
-    out, level, deepest = top, top, nodes.agg(F.max("depth")).first()[0] or 0
-    for d in range(1, deepest + 1):
-        kids = own.filter(F.col("depth") == d).select(F.col("page_id").alias("_page"), F.col("node_id").alias("_id"), "me", "parent_id")
-        level = kids.join(level, (F.col("_page") == F.col("page_id")) & (F.col("parent_id") == F.col("node_id"))).select("page_id", F.col("_id").alias("node_id"), F.concat("chain", F.array("me")).alias("chain"))
-        out = out.unionByName(level)
-    return out
+    """page_id, node_id and chain: (id, tag, before, after) of its ancestors from the top, and of itself. Chains double in each round, so
+    that a page of depth d takes log2(d) saved tables; those are small files of long rows, so no join may broadcast them."""
+    scratch, step = Scratch(nodes.sparkSession, "chains"), 0
+    me = F.struct(F.col("node_id").alias("id"), "tag", "before", "after")
+    known = scratch.save(nodes.select("page_id", "node_id", F.col("parent_id").alias("up"), F.array(me).alias("chain")), "chains0")
+    while not known.filter("up >= 0").isEmpty():  # up: the first ancestor that the chain lacks
+        above = known.select(F.col("page_id").alias("_page"), F.col("node_id").alias("_id"), F.col("up").alias("_up"), F.col("chain").alias("_chain"))
+        longer = known.join(above.hint("merge"), (F.col("page_id") == F.col("_page")) & (F.col("up") == F.col("_id")), "left")
+        step += 1
+        chain = F.when(F.col("_chain").isNull(), F.col("chain")).otherwise(F.concat("_chain", "chain"))
+        known = scratch.save(longer.select("page_id", "node_id", F.coalesce("_up", F.lit(-1)).alias("up"), chain.alias("chain")), f"chains{step}")
+        scratch.drop(f"chains{step - 1}")
+    return known.drop("up")
 
 
 def tree_distance(pairs: DataFrame, chain_table: DataFrame, depth_cost: float = 2, other_tag: float = 2, same_tag: float = 1, stride: float = 1) -> DataFrame:
@@ -113,7 +117,7 @@ def tree_distance(pairs: DataFrame, chain_table: DataFrame, depth_cost: float =
     tags, or of a level that only one of them has, and of each sibling that lies between the two branches. Below
     the first level, those are the siblings after the left branch and those before the right one. 0 for a node and itself."""
     chain = lambda k: chain_table.select("page_id", F.col("node_id").alias(k), F.col("chain").alias(f"_{k}"))
-    both = pairs.join(chain("a"), ["page_id", "a"]).join(chain("b"), ["page_id", "b"])
+    both = pairs.join(chain("a").hint("merge"), ["page_id", "a"]).join(chain("b").hint("merge"), ["page_id", "b"])
     both = both.withColumn("_l", F.when(F.col("a") <= F.col("b"), F.col("_a")).otherwise(F.col("_b"))).withColumn("_r", F.when(F.col("a") <= F.col("b"), F.col("_b")).otherwise(F.col("_a")))
     shared = F.size(F.filter(F.arrays_zip("_l", "_r"), lambda z: F.coalesce(z["_l"]["id"] == z["_r"]["id"], F.lit(False))))
     both = both.withColumn("_c", shared)
@@ -145,7 +149,7 @@ def counted_below(nodes: DataFrame, marks: dict[str, Column]) -> DataFrame:
     for name, mark in marks.items():
         sums = sums.withColumn(f"_s_{name}", F.sum(mark.cast("int")).over(in_page()))
     ends = sums.select(F.col("page_id").alias("_page"), F.col("node_id").alias("_id"), *(F.col(f"_s_{n}").alias(f"_e_{n}") for n in marks))
-    out = sums.join(ends, (F.col("page_id") == F.col("_page")) & (F.col("end_id") == F.col("_id")))
+    out = sums.join(ends.hint("merge"), (F.col("page_id") == F.col("_page")) & (F.col("end_id") == F.col("_id")))
     for name in marks:
         out = out.withColumn(name, F.col(f"_e_{name}") - F.col(f"_s_{name}")).drop(f"_e_{name}", f"_s_{name}")
     return out.drop("_page", "_id")
