@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import latin1_only
 from ..session import Scratch
 from . import dom
-from .layout import chains, counted_below, in_page, of_parent, tree_distance
+from .layout import chains, counted_below, of_parent, tree_distance
 from .popups import without_holders
 
 # What the text or the classes of something say that is no option; where links of something lead that is none.
@@ -60,8 +60,8 @@ def toggle_nodes(nodes: DataFrame, window: float) -> DataFrame:
     counted = of_parent(counted_below(nodes, marks), {"display": "_display", "float": "_float"})
     for tag, at in (("a", "_link"), ("button", "_button")):  # the next one in the page is the one below, if one is below
         bare = F.concat_ws(" ", *(F.regexp_replace(_of(n), "^([^%]*)%", "$1") for n in ("href", "onclick", "class")))
-        ahead = in_page().rowsBetween(1, Window.unboundedFollowing)
-        counted = counted.withColumn(at, F.first(F.when(F.col("tag") == tag, bare), ignorenulls=True).over(ahead))
+        ahead = Window.partitionBy("page_id").orderBy(F.desc("node_id")).rowsBetween(Window.unboundedPreceding, -1)  # a running value; frames that begin at the row cost the square
+        counted = counted.withColumn(at, F.last(F.when(F.col("tag") == tag, bare), ignorenulls=True).over(ahead))
     said = F.lower(F.concat_ws(" ", "text", _of("class"), F.when(F.col("_links") == 1, F.col("_link")), F.when(F.col("_buttons") == 1, F.col("_button"))))
     kind = F.col("tag").isin("label", "a", "span", "div", "button") | ((F.col("tag") == "li") & (F.col("_lists") == 0))
     inline = F.coalesce((F.col("display") == "inline-block") | (F.col("float") == "left"), F.lit(False)) | F.coalesce((F.col("_display") == "flex") | (F.col("_float") == "left"), F.lit(False))
@@ -80,7 +80,7 @@ def near_pairs(listed: DataFrame, chain_table: DataFrame) -> DataFrame:
     levels = F.filter(F.array(F.lit(1), F.lit(2)), lambda up: up <= size)
     at = lambda up: F.get(chain, size - up)
     step = lambda up: F.struct(F.coalesce(at(up + 1)["id"], F.lit(-1)).alias("above"), up.alias("up"), at(up)["before"].alias("place"), at(1)["before"].alias("before"), at(1)["after"].alias("after"))
-    steps = listed.select("page_id", "node_id").join(chain_table, ["page_id", "node_id"]).select("page_id", "node_id", F.explode(F.transform(levels, step)).alias("s")).select("page_id", "node_id", "s.*")
+    steps = listed.select("page_id", "node_id").join(chain_table.hint("merge"), ["page_id", "node_id"]).select("page_id", "node_id", F.explode(F.transform(levels, step)).alias("s")).select("page_id", "node_id", "s.*")
     left = steps.filter("up = 1 OR after = 0").select("page_id", F.col("node_id").alias("a"), "above", "up", F.explode(F.array(F.col("place") + 1, F.col("place") + 2)).alias("place"))
     right = steps.filter("up = 1 OR before = 0").select("page_id", F.col("node_id").alias("b"), "above", "up", "place")
     pairs = left.join(right, ["page_id", "above", "up", "place"]).select("page_id", "a", "b")
@@ -113,7 +113,7 @@ def toggles(nodes: DataFrame, window: float) -> DataFrame:
     the group that begins with one of its items, unless they say what no option does."""
     scratch = Scratch(nodes.sparkSession, "toggles")
     listed = scratch.save(toggle_nodes(nodes, window), "listed")
-    chain_table = scratch.save(chains(nodes).join(listed.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi"), "chains")
+    chain_table = scratch.save(chains(nodes).join(listed.select("page_id", "node_id").hint("merge"), ["page_id", "node_id"], "left_semi"), "chains")
     of = scratch.save(grouped(listed, near_pairs(listed, chain_table)), "groups")
     own = of.select("page_id", "group", F.col("node_id").alias("option"))
     firsts = nodes.select("page_id", F.col("node_id").alias("group"), "top", F.when(F.col("tag") == "li", F.col("parent_id")).alias("parent_id"))
