@@ -82,6 +82,12 @@ def _ball(fp: str, half: int) -> str:
     return f"transform(sequence(-1, 63), k -> CASE WHEN k < 0 THEN {fp} ELSE {fp} ^ shiftleft(1L, k) END)"
 
 
+def _members(v: str, bits: str, n: str, least: str) -> str:
+    """SQL for the members above `least` of the ball of centre `v`, whose `n` members differ from it in `bits`."""
+    others = f"transform(filter(sequence(0, 63), k -> getbit({bits}, k) = 1), k -> {v} ^ shiftleft(1L, k))"
+    return f"filter(concat(CASE WHEN {n} > bit_count({bits}) THEN array({v}) ELSE array() END, {others}), x -> x > {least})"
+
+
 #: Fingerprints a task takes when it emits their variants.
 NODES_A_TASK = 1 << 14
 
@@ -92,19 +98,22 @@ def ball_links(scratch: Scratch, nodes: DataFrame, radius: int, keys: tuple[str,
 
     Fingerprints that share a variant lie within radius of each other, so linking the least of them to
     each other one keeps every class whole; links between two members of a ball that both have a link
-    to its least one aren't listed. That asks for an even radius; above 2 a fingerprint would have 2081 variants."""
+    to its least one aren't listed. That asks for an even radius; above 2 a fingerprint would have 2081 variants.
+
+    A member of a ball is its centre or differs from it in one bit, so those bits put together, and the number of
+    members, name them all: nothing is listed but members."""
     if radius not in (0, 2):
         raise ValueError("radius 0 or 2")
     half = radius // 2
     spread = nodes.select(*keys, "fp").repartition(1 + nodes.count() // NODES_A_TASK, "fp")
     variants = spread.select(*keys, "fp", F.explode(F.expr(_ball("fp", half))).alias("v"))
     # most variants are met once, so they move as they are rather than summed up first
-    balls = variants.repartition(*keys, "v").groupBy(*keys, "v").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
+    bits = F.bit_or(F.col("fp").bitwiseXOR(F.col("v"))).alias("bits")
+    balls = variants.repartition(*keys, "v").groupBy(*keys, "v").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), bits).filter("n > 1")
     found = scratch.save(balls, "balls")
-    # a ball of two: its ends; of more: the members are among the ball's centre and its neighbours
+    # a ball of two: its ends; of more: the least with each other one
     pairs = found.filter("n = 2").select(*keys, "a", "b")
-    members = nodes.select(*keys, F.col("fp").alias("b"))
-    more = found.filter("n > 2").select(*keys, "a", F.explode(F.expr(_ball("v", half))).alias("b")).join(members, [*keys, "b"], "left_semi").filter("a < b").select(*keys, "a", "b")
+    more = found.filter("n > 2").select(*keys, "a", F.explode(F.expr(_members("v", "bits", "n", "a"))).alias("b"))
     return pairs.unionByName(more).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
