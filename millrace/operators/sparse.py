@@ -20,7 +20,9 @@ from ..session import Scratch
 
 EXTRA, PASSES = 10, 7
 #: Columns of a block, parts in which triangles meet, and non-zero numbers that a task multiplies at once.
-BLOCK, PARTS, CHUNK = 128, 16, 100_000
+BLOCK, PARTS, CHUNK = 128, 16, 20_000
+#: Blocks of an Arrow batch.
+AT_ONCE = 128
 LAYOUT = "id long, indices array<int>, values array<double>"
 
 
@@ -29,6 +31,10 @@ def layout(df: DataFrame, id_col: str, features: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at, values, kinds = (pc.struct_field(batch.column(1), f) for f in ("indices", "values", "type"))
+            if not batch.column(1).null_count and not pc.any(pc.not_equal(kinds, 0)).as_py() and not pc.any(pc.equal(values.flatten(), 0.0)).as_py():
+                yield pa.RecordBatch.from_arrays([batch.column(0), at, values], ["id", "indices", "values"])
+                continue
             at, values = [], []
             for v in batch.column(1).to_pylist():
                 x = np.array(v["values"] if v else [], np.float64)
@@ -63,31 +69,28 @@ def times(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, w: np.
 
 
 def gram_times(rows: DataFrame, w: np.ndarray) -> np.ndarray:
-    """A'(A w) in one pass over the rows."""
+    """A'(A w) in one pass over the rows. A task has sums of the size of w, and there are as many tasks as cores, so
+    that what is shuffled doesn't grow with the rows."""
     spark, width = rows.sparkSession, w.shape[1]
     sent = spark.sparkContext.broadcast(w)
+    blocks = -(-len(w) // BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, held = sent.value, {}
+        w, held, met = sent.value, np.zeros((blocks * BLOCK, width)), np.zeros(blocks, bool)
         for batch in batches:
             for row, column, value, n in chunks(batch):
                 if not len(row):
                     continue
                 y = times(row, column, value, n, w)
                 order = np.argsort(column, kind="stable")
-                starts = np.flatnonzero(np.diff(column[order], prepend=-1))
-                sums = np.add.reduceat(y[row[order]] * value[order][:, None], starts)
-                at = column[order][starts]
-                cut = np.flatnonzero(np.diff(at // BLOCK, prepend=-1))
-                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(at)]):
-                    key = int(at[a]) // BLOCK
-                    if key not in held:
-                        held[key] = np.zeros((BLOCK, width))
-                    held[key][at[a:b] % BLOCK] += sums[a:b]
-            if len(held) * BLOCK * width > 1 << 23:
-                yield packed(held)
-                held.clear()
-        yield packed(held)
+                sorted_ = column[order]
+                starts = np.flatnonzero(np.diff(sorted_, prepend=-1))
+                at = sorted_[starts]
+                held[at] += np.add.reduceat(y[row[order]] * value[order][:, None], starts)
+                met[at // BLOCK] = True
+        found = np.flatnonzero(met)
+        for first in range(0, len(found), AT_ONCE):
+            yield packed({int(k): held[k * BLOCK : (k + 1) * BLOCK] for k in found[first : first + AT_ONCE]})
 
     def packed(held: dict[int, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([b.tobytes() for b in held.values()], pa.binary())], ["block", "sums"])
@@ -102,11 +105,12 @@ def gram_times(rows: DataFrame, w: np.ndarray) -> np.ndarray:
         yield packed(held)
 
     kind = "block long, sums binary"
-    parts = rows.select("indices", "values").mapInArrow(run, kind)
-    out = np.zeros((-(-len(w) // BLOCK) * BLOCK, width))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for r in parts.repartition(tasks, "block").mapInArrow(summed, kind).toLocalIterator():
-        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums, np.float64).reshape(BLOCK, width)
+    parts = rows.select("indices", "values").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(run, kind)
+    out = np.zeros((blocks * BLOCK, width))
+    # the driver has these numbers in `out` all the same: one job, not one for each part
+    for r in parts.repartition(PARTS, "block").mapInArrow(summed, kind).toArrow().to_batches():
+        for block, sums in zip(r.column(0).to_pylist(), r.column(1)):
+            out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(sums.as_buffer(), np.float64).reshape(BLOCK, width)
     sent.unpersist()
     return out[: len(w)]
 
