@@ -1,0 +1,35 @@
+"""Word vectors of a vocabulary that the driver doesn't hold."""
+
+import random
+
+import numpy as np
+from pyspark.ml.feature import Word2Vec
+
+from millrace.operators import features
+
+
+def test_rarer_words_have_vectors_too(spark, monkeypatch):
+    learned, plain = [], Word2Vec.fit
+    monkeypatch.setattr(Word2Vec, "fit", lambda self, df: learned.append(plain(self, df)) or learned[-1])
+    for name, value in (("WORD_VOCABULARY", 12), ("TEACHING_WORDS", 5), ("HELD_WORDS", 3)):
+        monkeypatch.setattr(features, name, value, raising=False)
+    rng = random.Random(1)
+    said = [" ".join(rng.choices("abcdefghijkl", k=30)) for _ in range(40)]
+    rows = [(k, t) for k, t in enumerate(said)] + [(40, "a b c rare d e f"), (41, "g rare h once"), (42, "rare"), (43, None), (44, "once twice"), (45, "12 !"), (46, "Rare a")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: r.features.toArray() for r in features.word_vectors(df, "text", 4).collect()}
+    known = {r.word: np.array(r.vector.toArray()) for r in learned[0].getVectors().collect()}
+    assert set(known) == set("abcdefghijkl") and set(got) == set(range(47))
+    for k, t in rows[:40]:
+        assert np.allclose(got[k], np.mean([known[w] for w in t.split()], 0))
+    rare, once = got[42], got[44] * 2
+    assert np.abs(rare).max() > 0 and np.abs(once).max() > 0  # "once" occurs twice, "twice" once
+    assert np.allclose(got[40] * 7, sum(known[w] for w in "abcdef") + rare)
+    assert np.allclose(got[41] * 4, known["g"] + known["h"] + rare + once)
+    assert np.allclose(got[46] * 2, rare + known["a"]) and not got[43].any() and not got[45].any()
+
+
+def test_equally_frequent_words_are_shared_out(spark):
+    df = spark.createDataFrame([(f"w{k}", 2) for k in range(4000)] + [("top", 5)], "term string, n long")
+    got = {r.term for r in features.most_frequent(df, 1001).collect()}
+    assert "top" in got and 800 < len(got) < 1200
